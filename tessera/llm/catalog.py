@@ -1,14 +1,17 @@
 """Registered queries of the training-data operators."""
-from . import bpe, exact_dedup, token_counts
+from . import bpe, exact_dedup, language_id, licenses, secrets, token_counts
 
 
 def queries():
     return {
+        "op2_licenses": licenses.query,
         "op5_bpe": bpe.query,
+        "op7_secrets": secrets.query,
+        "op8_language_id": language_id.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_token_counts": token_counts.query,
     }
 
 
 def oracle_sql():
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op2_licenses": licenses.sql(), "op7_secrets": secrets.sql(), "op9_exact_dedup": exact_dedup.SQL}
