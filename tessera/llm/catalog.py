@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators."""
-from . import bpe, exact_dedup, language_id, licenses, secrets, token_counts
+from . import bpe, exact_dedup, language_id, licenses, near_dedup, secrets, token_counts
 
 
 def queries():
     return {
+        "op1_near_dedup": near_dedup.query,
         "op2_licenses": licenses.query,
         "op5_bpe": bpe.query,
         "op7_secrets": secrets.query,
@@ -14,4 +15,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_licenses": licenses.sql(), "op7_secrets": secrets.sql(), "op9_exact_dedup": exact_dedup.SQL}
+    return {"op1_near_dedup": near_dedup.SQL, "op2_licenses": licenses.sql(), "op7_secrets": secrets.sql(), "op9_exact_dedup": exact_dedup.SQL}
