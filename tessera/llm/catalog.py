@@ -1,12 +1,14 @@
 """Registered queries of the training-data operators."""
-from . import bpe, exact_dedup, language_id, licenses, near_dedup, secrets, token_counts
+from . import bpe, decontaminate, exact_dedup, language_id, licenses, line_dedup, near_dedup, secrets, token_counts
 
 
 def queries():
     return {
         "op1_near_dedup": near_dedup.query,
         "op2_licenses": licenses.query,
+        "op3_decontaminate": decontaminate.query,
         "op5_bpe": bpe.query,
+        "op6_line_dedup": line_dedup.query,
         "op7_secrets": secrets.query,
         "op8_language_id": language_id.query,
         "op9_exact_dedup": exact_dedup.query,
@@ -15,4 +17,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_near_dedup": near_dedup.SQL, "op2_licenses": licenses.sql(), "op7_secrets": secrets.sql(), "op9_exact_dedup": exact_dedup.SQL}
+    return {"op1_near_dedup": near_dedup.SQL, "op2_licenses": licenses.sql(), "op6_line_dedup": line_dedup.SQL, "op7_secrets": secrets.sql(), "op9_exact_dedup": exact_dedup.SQL}
