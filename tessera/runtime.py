@@ -3,7 +3,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -72,9 +72,10 @@ class Scratch:
 HOT_KEYS = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: str, also: Column | None = None) -> DataFrame:
     """Inner join of rows with one group row per key, where a key may hold any
-    share of the rows. groups must be a written table.
+    share of the rows. groups must be a written table. ``also`` is a condition on
+    the joined rows, tested inside the join.
 
     Keys of at least 1/1000 of the rows (at most 1000 of them, whatever the
     input) are joined by broadcast, so that their rows stay where they are; the
@@ -85,4 +86,5 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: str) -> Da
     cold = groups.where(F.col(n_rows) < least)
     there = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return there.unionByName(rest)
+    both = there.unionByName(rest)
+    return both if also is None else both.where(also)
