@@ -1 +1 @@
-
+"""Scalar functions on number columns, as Column expressions."""

@@ -1 +1 @@
-
+"""Operators on ordered number columns."""
