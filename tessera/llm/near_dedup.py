@@ -28,6 +28,8 @@ from .components import components
 BANDS, ROWS = 32, 5
 #: Fixed random masks that choose the hubs of a bucket; 0 chooses the smallest id.
 MASKS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+#: Ids are broadcast up to this number (16 MB).
+FEW_IDS = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,6 +123,9 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t.as_py(), width, memo).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
+    # The texts stay where they are if the ids are few; else both are shuffled.
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
 
 
@@ -172,16 +177,18 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     reps = part.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"])
     reps = scratch.keep(reps, "representatives")
 
+    # Most buckets hold one document; these are gone before hubs are looked for.
     slim = reps.select("doc_id", F.explode("keys").alias("bucket"))
-    hubs = slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), *[_hub(m).alias(f"hub{i}") for i, m in enumerate(MASKS)])
-    hubs = scratch.keep(hubs.where("n_rows > 1"), "hubs")
-    members = scratch.keep(join_groups(slim, hubs, "bucket", "n_rows"), "members")
+    multi = scratch.keep(slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "buckets")
+    shared = scratch.keep(join_groups(slim, multi, "bucket", "n_rows"), "shared")
+    hubs = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), *[_hub(m).alias(f"hub{i}") for i, m in enumerate(MASKS)])
+    members = scratch.keep(join_groups(shared.drop("n_rows"), scratch.keep(hubs, "hubs"), "bucket", "n_rows"), "members")
     each = F.explode(F.array(*[f"hub{i}" for i in range(len(MASKS))]))
     stars = members.select(F.col("doc_id").alias("a"), each.alias("b")).where("a <> b").distinct()
     pairs = scratch.keep(_likely(stars, reps, percent, bands * rows), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    full = _sets(docs, ids, width).dropDuplicates(["doc_id"])
-    sets = scratch.keep(full, "sets")
+    ids = scratch.keep(ids, "ids")
+    sets = scratch.keep(_sets(docs, ids, width).dropDuplicates(["doc_id"]), "sets")
 
     # First one pair for each document, which joins most groups; then only what
     # is still apart.
@@ -195,18 +202,21 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     while True:
         # Buckets with more members than hubs that still hold several components.
         label = known.withColumnsRenamed({"node": "doc_id"})
+        # Who isn't in a bucket's largest component meets a hub of that component.
         state = members.where(F.col("n_rows") > len(MASKS) + 1).select("bucket", "doc_id").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         turn += 1
         mask = int(_mix(np.array([turn + 1000], np.uint64))[0] >> np.uint64(1))
-        opened = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.min("label").alias("lo"), F.max("label").alias("hi"), _hub(mask).alias("b")).where("lo < hi")
-        opened = scratch.keep(opened.select("bucket", "n_rows", "b"), "open")
+        inside = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), _hub(mask).alias("b"))
+        opened = inside.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label", "b")).alias("main")).where("parts > 1")
+        opened = scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main"), F.col("main.b").alias("b")), "open")
         if not opened.limit(1).count():
             break
-        stars = join_groups(state.select("bucket", F.col("doc_id").alias("a")), opened, "bucket", "n_rows").select("a", "b").where("a <> b").distinct()
+        stars = join_groups(state.select("bucket", F.col("doc_id").alias("a"), "label"), opened, "bucket", "n_rows", F.col("label") != F.col("main")).select("a", "b").distinct()
         fresh = scratch.keep(_likely(_apart(stars, known), reps, percent, bands * rows).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not fresh.limit(1).count():
             break
         ids = fresh.select(F.col("a").alias("doc_id")).union(fresh.select("b")).distinct()
+        ids = scratch.keep(ids, "ids")
         more = scratch.keep(_confirmed(fresh, scratch.keep(_sets(docs, ids, width).dropDuplicates(["doc_id"]), "sets"), percent), "links")
         if not more.limit(1).count():
             break
