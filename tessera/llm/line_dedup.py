@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from ..runtime import Scratch, join_groups
 from . import arrays
 
-SLOTS, SLOT_BLOCK = 1 << 22, 1 << 16
-RARE = 128
+SLOTS, SLOT_BLOCK = 1 << 21, 1 << 16
+RARE = 512
+#: Documents whose texts are fetched by broadcast of their ids.
+FEW_IDS = 1 << 20
 _LOW = 44
 _MASK = (1 << _LOW) - 1
 _MOST = (1 << (64 - _LOW - 1)) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_NONE = np.empty(0, np.int64)
 
 
 def lines_of(text: str | None) -> list[bytes]:
@@ -68,56 +69,96 @@ def line_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, out = WordHashes(), set(), np.zeros(SLOTS, np.int32)
         for batch in batches:
-            slots: list[int] = []
+            words: list[bytes] = []
             for text in batch.column("text"):
                 for line in lines_of(text.as_py()):
                     h = xxhash.xxh3_64_intdigest(line)
                     if h not in seen:
                         if len(seen) < 1 << 20:
                             seen.add(h)
-                        slots += map(memo.__getitem__, set(line.split()))
-                if len(slots) > 1 << 18:
-                    _count(out, slots)
-                    slots = []
-            _count(out, slots)
+                        words += line.split()
+                if len(words) > 1 << 18:
+                    _count(out, words, memo)
+                    words = []
+            _count(out, words, memo)
         yield arrays.blocks_of(np.minimum(out, 65535).astype(np.uint16), SLOT_BLOCK)
 
     counts = arrays.total(docs.select("text").mapInArrow(run, arrays.SCHEMA), np.uint16, SLOTS, SLOT_BLOCK)
     return np.minimum(counts, _MOST).astype(np.int32)
 
 
-def _count(out: np.ndarray, hashes: list[int]) -> None:
-    if hashes:
-        np.add.at(out, np.array(hashes, np.uint64) % np.uint64(SLOTS), 1)
-
-
-def ordered(line: bytes, order: WordOrder) -> np.ndarray:
-    """A line's distinct words by rarity."""
-    words = line.split()
-    keys = np.fromiter(map(order.__getitem__, words), np.int64, len(words))
-    keys.sort()
-    if len(keys) > 1:
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return keys
-
-
-def parity(keys: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(np.uint64(1) << ((keys.view(np.uint64) * _ODD) >> np.uint64(58)), initial=np.uint64(0)).view(np.int64))
-
-
-def signatures(keys: np.ndarray, percent: int, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
-    """(keys to meet under, position of each key's first word) of an ordered set."""
-    n = len(keys)
-    spare = n - -(-percent * n // 100)
-    once, often = np.searchsorted(keys, [2 << _LOW, (rare + 1) << _LOW])
-    own = keys[once : min(often, spare + 1)].view(np.uint64) * _ODD
-    own_at = np.arange(once, once + len(own))
-    more = keys[often : spare + 2].view(np.uint64)
-    if len(more) < 2:
-        return own.view(np.int64), own_at
-    i, j = np.triu_indices(len(more), 1)
-    two = (more[i] * _ODD ^ (more[j] >> np.uint64(7))) * _ODD + more[j]
-    return np.concatenate([own, two]).view(np.int64), np.concatenate([own_at, often + i])
+def _count(out: np.ndarray, words: list[bytes], memo: WordHashes) -> None:
+    np.add.at(out, np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) % np.uint64(SLOTS), 1)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Lines:
+    """The word sets of many lines at once.
+
+    Lines of similar length are the rows of one matrix, whose rows are sorted,
+    freed of repetitions and filled up with PAD."""
+
+    PAD = np.iinfo(np.int64).max
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        n = len(sizes)
+        self.n_words = np.zeros(n, np.int32)
+        self.key = np.zeros((n, 2), np.uint64)
+        self.bits = np.zeros(n, np.int64)
+        self.grids: list[tuple[np.ndarray, np.ndarray]] = []
+        starts = np.cumsum(sizes) - sizes
+        width = np.where(sizes > 0, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
+        for w in np.unique(width[width > 0]).tolist():
+            lines = np.flatnonzero(width == w)
+            col = np.arange(w)
+            own = col < sizes[lines, None]
+            grid = np.full(own.shape, self.PAD, np.int64)
+            grid[own] = flat[(starts[lines, None] + col)[own]]
+            grid.sort(axis=1)
+            again = (grid[:, 1:] == grid[:, :-1]) & (grid[:, 1:] != self.PAD)
+            if again.any():
+                grid[:, 1:][again] = self.PAD
+                grid.sort(axis=1)
+            own = grid != self.PAD
+            self.n_words[lines] = own.sum(axis=1)
+            h = _mix(grid.view(np.uint64))
+            self.key[lines, 0] = np.where(own, h, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+            self.key[lines, 1] = np.where(own, _mix(h ^ _ODD), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+            one = np.where(own, np.uint64(1) << (h >> np.uint64(58)), np.uint64(0))
+            self.bits[lines] = np.bitwise_xor.reduce(one, axis=1).view(np.int64)
+            self.grids.append((lines, grid))
+
+    def signatures(self, wanted: np.ndarray, percent: int, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key to meet under, position of the key's first word), sorted by line."""
+        out = []
+        for lines, grid in self.grids:
+            pick = wanted[lines]
+            lines, grid = lines[pick], grid[pick]
+            if not len(lines):
+                continue
+            n = self.n_words[lines].astype(np.int64)
+            spare = n + (-percent * n) // 100
+            once = (grid < 2 << _LOW).sum(axis=1)
+            often = (grid < (rare + 1) << _LOW).sum(axis=1)
+            col = np.arange(grid.shape[1])
+            row, at = np.nonzero((col >= once[:, None]) & (col < np.minimum(often, spare + 1)[:, None]))
+            out.append((lines[row], grid[row, at].view(np.uint64) * _ODD, at))
+            m = np.minimum(spare + 2, n) - often
+            for i in range(max(0, int(m.max()) - 1)):
+                for j in range(i + 1, int(m.max())):
+                    row = np.flatnonzero(m > j)
+                    a, b = (grid[row, often[row] + k].view(np.uint64) for k in (i, j))
+                    out.append((lines[row], (a * _ODD ^ (b >> np.uint64(7))) * _ODD + b, often[row] + i))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        line, sig, at = (np.concatenate(x) for x in zip(*out, strict=True))
+        by = np.argsort(line, kind="stable")
+        return line[by], sig[by].view(np.int64), at[by].astype(np.int32)
 
 
 def _lines(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
@@ -127,32 +168,40 @@ def _lines(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = WordOrder(shared.value), set()
         for batch in batches:
-            rows: list[tuple] = []
+            ids, spots, sizes, words = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 for at, line in enumerate(lines_of(text.as_py())):
-                    keys = ordered(line, order)
-                    if not len(keys):
-                        rows.append((doc, at, 0, None, None, None, None))
-                        continue
-                    digest, bits, sigs, spots = xxhash.xxh3_128_digest(keys.tobytes()), None, None, None
-                    if len(keys) * 100 // percent > len(keys) and digest not in seen:
-                        if len(seen) < 1 << 19:
-                            seen.add(digest)
-                        sigs, spots = signatures(keys, percent)
-                        bits = parity(keys)
-                    rows.append((doc, at, len(keys), digest, bits, sigs, spots))
-                if len(rows) > 1 << 15:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
+                    own = line.split()
+                    ids.append(doc)
+                    spots.append(at)
+                    sizes.append(len(own))
+                    words += own
+                if len(words) > 1 << 18:
+                    yield _batch(ids, spots, sizes, words, order, seen, percent)
+                    ids, spots, sizes, words = [], [], [], []
+            if ids:
+                yield _batch(ids, spots, sizes, words, order, seen, percent)
 
     return docs.mapInArrow(run, "doc_id long, line_no int, n_words int, set_key binary, bits long, sigs array<long>, spots array<int>")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "line_no", "n_words", "set_key", "bits", "sigs", "spots"])
+def _batch(ids: list, spots: list[int], sizes: list[int], words: list[bytes], order: WordOrder, seen: set, percent: int) -> pa.RecordBatch:
+    got = Lines(np.fromiter(map(order.__getitem__, words), np.int64, len(words)), np.array(sizes, np.int64))
+    n = got.n_words
+    # Sets that no set of another size can match have no keys.
+    wanted = n.astype(np.int64) * 100 // percent > n
+    for i in np.flatnonzero(wanted).tolist():
+        k = int(got.key[i, 0])
+        if k in seen:
+            wanted[i] = False
+        elif len(seen) < 1 << 19:
+            seen.add(k)
+    line, sig, at = got.signatures(wanted, percent)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(n)))]).astype(np.int32)
+    key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(got.key.tobytes())]).cast(pa.binary())
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (sig, at)]
+    columns = [pa.array(ids, pa.int64()), pa.array(spots, pa.int32()), pa.array(n), key, pa.array(got.bits), *lists]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "n_words", "set_key", "bits", "sigs", "spots"])
 
 
 def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +241,7 @@ def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
 def _candidates(lines: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of 64-bit class numbers that pass every filter."""
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = lines.where("sigs IS NOT NULL").select(F.xxhash64("set_key").alias("h"), "n_words", "bits", F.arrays_zip("sigs", "spots").alias("z"))
+    each = lines.where(F.size("sigs") > 0).select(F.xxhash64("set_key").alias("h"), "n_words", "bits", F.arrays_zip("sigs", "spots").alias("z"))
     each = each.select("h", "bits", "n_words", F.explode("z").alias("z")).select(F.col("z.sigs").alias("sig"), "h", "bits", (F.col("n_words").cast("long") * (1 << 31) + F.col("z.spots")).alias("size_at"))
     # A set's rows from several tasks are the same; one is left under each key.
     each = each.repartition(n, "sig").groupBy("sig", "h", "size_at").agg(F.first("bits").alias("bits"))
@@ -216,6 +265,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts: np.
     need = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     wanted = classes.join(need, "h").select("h", "set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h", "set_key")).alias("wanted"))
+    # Only texts that are looked into are shuffled; their ids are broadcast if few.
+    ids = Scratch(docs.sparkSession, "line-ids").keep(by_doc.select(F.col("doc_id").alias("i")), "ids")
+    if ids.count() <= FEW_IDS:
+        docs = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
     texts = docs.withColumnRenamed("doc_id", "d").join(by_doc, F.col("d").eqNullSafe(F.col("doc_id"))).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
