@@ -203,11 +203,12 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         # Buckets with more members than hubs that still hold several components.
         label = known.withColumnsRenamed({"node": "doc_id"})
         # Who isn't in a bucket's largest component meets a hub of that component.
-        state = members.where(F.col("n_rows") > len(MASKS) + 1).select("bucket", "doc_id").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        labelled = reps.select("doc_id", "keys").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        state = labelled.select("doc_id", "label", F.explode("keys").alias("bucket"))
         turn += 1
         mask = int(_mix(np.array([turn + 1000], np.uint64))[0] >> np.uint64(1))
         inside = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), _hub(mask).alias("b"))
-        opened = inside.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label", "b")).alias("main")).where("parts > 1")
+        opened = inside.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label", "b")).alias("main")).where((F.col("parts") > 1) & (F.col("n_rows") > len(MASKS) + 1))
         opened = scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main"), F.col("main.b").alias("b")), "open")
         if not opened.limit(1).count():
             break
