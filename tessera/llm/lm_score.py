@@ -29,7 +29,8 @@ SEGMENT = 1 << 20
 MOST_BITS, MOST_WORDS = 1 << 31, 1 << 23
 #: Weight of the bigram estimate.
 BIGRAM = 0.7
-CHUNK = 1 << 20
+#: Tokens that a worker holds at once, and words whose hashes it remembers.
+CHUNK, MEMO = 1 << 18, 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The end of a text, which no word can be; also what comes before the first word.
 END = xxhash.xxh3_64_intdigest(b" ")
@@ -44,7 +45,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 19:
+        if len(self) < MEMO:
             self[word] = h
         return h
 
