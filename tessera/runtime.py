@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Arrow batches: rows may be long texts, so they are small in rows and in bytes.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and
+    bound the Arrow batches that they hold, where the session doesn't say how.
 
     On a cluster the package is shipped with ``--py-files``; the path is only
     added to what the workers search."""
+    given = spark.sparkContext.getConf()
+    for key, value in BATCHES.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
