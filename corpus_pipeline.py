@@ -12,26 +12,31 @@ from tessera.runtime import Scratch, ready
 
 def language(spark, docs, sf_dir):
     """Documents without a language (null text or no letter) go."""
+    ready(spark)
     return language_id.known_language(docs)
 
 
 def exact(spark, docs, sf_dir):
     """Of equal texts the one with the largest doc_id stays."""
+    ready(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark, docs, sf_dir):
     """Of each group by five-word shingles and similarity 0.8 the smallest doc_id stays."""
+    ready(spark)
     return near_dedup.drop_near_copies(docs, width=5, percent=80)
 
 
 def leaks(spark, docs, sf_dir):
     """Documents with a benchmark passage go."""
+    ready(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark, docs, sf_dir):
     """Token ids of each document and back, as digests."""
+    ready(spark)
     return bpe.summary(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
@@ -48,7 +53,6 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    ready(spark)
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

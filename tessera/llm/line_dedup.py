@@ -44,7 +44,7 @@ def lines_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 19:
+        if len(self) < 1 << 18:
             self[word] = h
         return h
 
@@ -58,7 +58,7 @@ class WordOrder(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         key = int(self.counts[h % SLOTS]) << _LOW | (h >> 20) & _MASK
-        if len(self) < 1 << 19:
+        if len(self) < 1 << 18:
             self[word] = key
         return key
 

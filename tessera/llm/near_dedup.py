@@ -45,7 +45,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 19:
+        if len(self) < 1 << 17:
             self[word] = h
         return h
 
