@@ -68,13 +68,13 @@ def from_latent(u: Column) -> Column:
 
 def int_mult_split(o: Column, base: int) -> tuple[Column, Column]:
     """(multiplier, adjustment) of the latent, exact for every base."""
-    u, b = to_latent(o).cast("decimal(38,0)"), F.lit(base).cast(U64)
+    u, b = to_latent(o).cast("decimal(38,0)"), F.lit(str(base)).cast(U64)
     rest = u % b
     return ((u - rest) / b).cast(U64), rest.cast(U64)
 
 
 def int_mult_join(mult: Column, adj: Column, base: int) -> Column:
-    return from_latent(mult.cast("decimal(19,0)") * F.lit(base).cast("decimal(19,0)") + adj.cast(U64))
+    return from_latent(mult.cast(U64) * F.lit(str(base)).cast(U64) + adj.cast(U64))
 
 
 def float_mult_split(x: Column, base: float) -> tuple[Column, Column]:
