@@ -18,7 +18,7 @@ _ROW_BITS = 33
 def with_position(df: DataFrame, *keys: str, name: str = "pos") -> DataFrame:
     """df with 0-based positions by the keys, which must be unique together.
     The sorted rows are written once, so positions are the same on every read;
-    the offsets are as many numbers as partitions."""
+    the offsets are one number for each partition, and broadcast."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_ = F.monotonically_increasing_id()
@@ -28,10 +28,9 @@ def with_position(df: DataFrame, *keys: str, name: str = "pos") -> DataFrame:
     sizes = {r["p"]: r["n"] for r in kept.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before = dict(zip(sorted(sizes), accumulate((sizes[p] for p in sorted(sizes)), initial=0), strict=False))
     row = F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    if not before:
-        return kept.withColumn(name, row).drop("__id")
-    starts = F.create_map(*[F.lit(x) for p, s in before.items() for x in (p, s)])
-    return kept.withColumn(name, row + starts[part]).drop("__id")
+    starts = spark.createDataFrame(list(before.items()), "__part long, __start long")
+    placed = kept.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return placed.withColumn(name, row + F.col("__start")).drop("__id", "__part", "__start")
 
 
 def chunk_of(pos: Column, chunk_n: int = CHUNK_N) -> Column:

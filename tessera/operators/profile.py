@@ -1,13 +1,16 @@
 """What a column would cost: histograms, bins, divisors and bids."""
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.bits import bit_length, wrapping_sub
 from ..functions.numbers import triple_gcd
 
-#: Bin tables are joined by broadcast up to this size (the format's limit).
-MOST_BINS = 1 << 15
-
 
 def ntile_histogram(df: DataFrame, value: str, tie: str, n_log: int, group: str = "chunk_id") -> DataFrame:
     """(group, bin, lower, upper, n): equal-count bins by rank inside a group."""
@@ -23,15 +26,17 @@ def bin_index(rank: Column, n: Column, n_log: int) -> Column:
 
 def assign_bins(df: DataFrame, bins: DataFrame, value: str, key: str = "chunk_id") -> DataFrame:
     """Each value with the bin of the same group whose lower bound is the last
-    not above it (the first bin below all). bins (key, bin, lower) has at most
-    MOST_BINS rows a group, so a group's bins are one sorted array and values
-    find theirs by binary search over it, not by a range join."""
-    table = bins.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lower", "bin"))).alias("__bins"))
-    df = df.join(table, key)
-    # The number of lower bounds that aren't above the value.
-    last = F.size(F.filter("__bins", lambda b: b["lower"] <= F.col(value)))
-    chosen = F.get("__bins", F.greatest(last - 1, F.lit(0)))
-    return df.withColumn("bin", chosen["bin"]).withColumn("lower", chosen["lower"]).withColumn("offset", wrapping_sub(F.col(value), chosen["lower"])).drop("__bins")
+    not above it (the first bin if there is none). Values and bounds are sorted
+    together by group, so it is one pass and not a range join; bins (key, bin,
+    lower) may be as many as they like."""
+    marks = bins.select(key, F.col("lower").alias("__at"), F.struct("lower", "bin").alias("__bin"))
+    both = df.withColumn("__at", F.col(value)).withColumn("__row", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(F.col("__at"), F.col("__row").isNotNull())
+    before = F.last("__bin", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lowest = F.min("__bin").over(Window.partitionBy(key))
+    chosen = both.withColumn("__bin", F.coalesce(before, lowest)).where(F.col("__row"))
+    out = chosen.withColumn("bin", F.col("__bin.bin")).withColumn("lower", F.col("__bin.lower"))
+    return out.withColumn("offset", wrapping_sub(F.col(value), F.col("lower"))).drop("__at", "__row", "__bin")
 
 
 def min_max(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -76,16 +81,26 @@ def winning_bid(bids: DataFrame, *keys: str) -> DataFrame:
 
 
 def range_gcd(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Greatest common divisor of the distances to the smallest value, per key:
-    partial divisors of the distinct distances, merged by a fold."""
-    low = df.groupBy(*keys).agg(F.min(value).alias("low"))
-    far = df.join(low, list(keys)).select(*keys, (F.col(value) - F.col("low")).alias("d")).distinct()
-    step = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(a.alias("x"), b.alias("y")), lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, F.lit(1)).otherwise(s["y"])).alias("y"))), lambda s: s["x"])
-    # Distances go to buckets first, so that no group is gathered in one task.
-    parts = far.groupBy(*keys, F.pmod(F.xxhash64("d"), F.lit(64)).alias("__part")).agg(F.collect_list("d").alias("ds"))
-    fold = lambda c: F.aggregate(c, F.lit(0).cast("long"), step)
-    parts = parts.select(*keys, fold("ds").alias("g"))
-    return parts.groupBy(*keys).agg(F.collect_list("g").alias("gs")).select(*keys, fold("gs").alias("gcd"))
+    """Greatest common divisor of the distances to the smallest value, per key.
+    Each task folds its rows to one divisor per key; the rest is as many numbers
+    as tasks."""
+    low = df.groupBy(*keys).agg(F.min(value).alias("__low"))
+    far = df.join(low, list(keys)).select(*keys, (F.col(value) - F.col("__low")).alias("gcd"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, int] = {}
+        for batch in batches:
+            groups = pa.table(batch).group_by(list(keys)).aggregate([("gcd", "list")])
+            for r in groups.to_pylist():
+                k = tuple(r[c] for c in keys)
+                held[k] = math.gcd(held.get(k, 0), int(np.gcd.reduce(np.array([d for d in r["gcd_list"] if d is not None] or [0]))))
+        rows = [dict(zip(keys, k, strict=True)) | {"gcd": g} for k, g in held.items()]
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = to_arrow_schema(far.schema)
+    parts = far.mapInArrow(run, far.schema)
+    fold = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(96)), F.struct(a.alias("x"), b.alias("y")), lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, F.lit(1)).otherwise(s["y"])).alias("y"))), lambda s: s["x"])
+    return parts.groupBy(*keys).agg(F.collect_list("gcd").alias("gs")).select(*keys, F.aggregate("gs", F.lit(0).cast("long"), fold).alias("gcd"))
 
 
 def hash_sample(df: DataFrame, pos: str = "pos", one_in: int = 40) -> DataFrame:
