@@ -344,16 +344,26 @@ def read_pages(meta: ChunkMeta, pages: list[bytes], counts: list[int], whole: bo
     pos += rest
     if whole and (pos != end).any():
         raise CorruptionError("a page has bytes to spare")
-    result = []
-    for i, n in enumerate(counts):
-        lags = out["delta"][i, : kept["delta"][i]].astype(np.int64) if "delta" in out else None
-        got = {}
-        for v in meta.bins:
-            if v != "delta":
-                head = np.array(states[v][i], meta.latent(v))
-                got[v] = deltas.decode(head, out[v][i, : kept[v][i]], n, meta.own_delta(v), lags)
-        result.append(N.from_latent(modes.join(got["primary"], got.get("secondary"), t, meta.mode), t))
-    return result, int(pos[-1] // 8) if len(pages) else 0
+    return _joined(meta, states, out, kept, counts), int(pos[-1] // 8) if len(pages) else 0
+
+
+def _joined(meta: ChunkMeta, states: dict, out: dict, kept: dict, counts: list[int]) -> list[np.ndarray]:
+    """Numbers of pages from their stored latents; modes are joined for all pages at once."""
+    t, got = meta.ntype, {}
+    same = len(set(counts)) == 1
+    for v in meta.bins:
+        delta = meta.own_delta(v)
+        if v == "delta":
+            continue
+        if delta.kind == "none":
+            got[v] = out[v][np.arange(out[v].shape[1]) < kept[v][:, None]]
+        elif delta.kind == "consecutive" and same:
+            got[v] = deltas.decode_equal(np.array(states[v], meta.latent(v)), out[v][:, : kept[v][0]], counts[0]).reshape(-1)
+        else:
+            lags = [out["delta"][i, :k].astype(np.int64) for i, k in enumerate(kept["delta"])] if "delta" in out else [None] * len(counts)
+            got[v] = np.concatenate([deltas.decode(np.array(states[v][i], meta.latent(v)), out[v][i, : kept[v][i]], n, delta, lags[i]) for i, n in enumerate(counts)] or [np.zeros(0, meta.latent(v))])
+    x = N.from_latent(modes.join(got["primary"], got.get("secondary"), t, meta.mode), t)
+    return np.split(x, np.cumsum(counts)[:-1])
 
 
 def _symbols(table: tans.Table, data: Windows, state: np.ndarray, rows: np.ndarray, pos: np.ndarray, here: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

@@ -60,6 +60,15 @@ def decode(state: np.ndarray, stored: np.ndarray, n: int, delta: Delta, lags: np
     return out[max(0, k - n) :][:n] if n < k else out[:n]
 
 
+def decode_equal(state: np.ndarray, stored: np.ndarray, n: int) -> np.ndarray:
+    """Consecutive deltas of pages of n numbers each: (pages, order) moments and
+    (pages, stored) deltas."""
+    d = stored - middle(stored.dtype)
+    for i in range(state.shape[1] - 1, -1, -1):
+        d = np.cumsum(np.concatenate([state[:, i : i + 1], d], axis=1), axis=1, dtype=d.dtype)
+    return d[:, :n]
+
+
 def window_log(n: int) -> int:
     return int(np.clip((n - 1).bit_length(), 4, 15))
 
