@@ -7,10 +7,11 @@ order of its own. Bands of ROWS bins are bucket keys: at similarity 0.8 a pair
 misses all 32 bands with probability 3e-6.
 
 Documents with the same set are one class, so that copies never meet in a
-bucket. Inside a bucket candidates are stars: every member is paired with a few
-hubs (the smallest id, and the smallest under fixed xor masks), which keeps the
-pairs linear in the bucket; further hubs are drawn for buckets that still hold
-several components, until a round finds no link. Pairs pass a length filter and
+bucket. Inside a bucket candidates are stars, which keeps the pairs linear in
+the bucket: first every document meets one hub, the smallest id of its buckets;
+then, in buckets that still hold several components, the documents outside of
+the largest one meet three hubs of it, and go on as a smaller bucket, until a
+level finds no link. Pairs pass a length filter and
 an estimate from 8-bit bins that is five standard deviations below the
 threshold, then are confirmed on the full sets.
 """
@@ -26,8 +27,10 @@ from ..runtime import Scratch, join_groups
 from .components import components
 
 BANDS, ROWS = 32, 5
-#: Fixed random masks that choose the hubs of a bucket; 0 chooses the smallest id.
+#: Fixed random masks that choose the hubs of a component; 0 chooses the smallest id.
 MASKS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+#: Levels that are looked at even if one finds no link.
+LEVELS = 3
 #: Ids are broadcast up to this number (16 MB).
 FEW_IDS = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -113,9 +116,9 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>, low binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, set) for the documents in ids; a doc_id that repeats has the
-    set of one of its rows, the same on every run."""
+def _sets(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, set) for the documents in pairs; a doc_id that repeats has the
+    set of one of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -123,10 +126,11 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t.as_py(), width, memo).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
+    ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     # The texts stay where they are if the ids are few; else both are shuffled.
-    if ids.count() <= FEW_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+    few = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    sets = docs.join(few, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+    return scratch.keep(sets.dropDuplicates(["doc_id"]), "sets")
 
 
 def _likely(pairs: DataFrame, marks: DataFrame, percent: int, bins: int) -> DataFrame:
@@ -179,51 +183,42 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     # Most buckets hold one document; these are gone before hubs are looked for.
     slim = reps.select("doc_id", F.explode("keys").alias("bucket"))
-    multi = scratch.keep(slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "buckets")
-    shared = scratch.keep(join_groups(slim, multi, "bucket", "n_rows"), "shared")
-    hubs = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), *[_hub(m).alias(f"hub{i}") for i, m in enumerate(MASKS)])
-    members = scratch.keep(join_groups(shared.drop("n_rows"), scratch.keep(hubs, "hubs"), "bucket", "n_rows"), "members")
-    each = F.explode(F.array(*[f"hub{i}" for i in range(len(MASKS))]))
-    stars = members.select(F.col("doc_id").alias("a"), each.alias("b")).where("a <> b").distinct()
+    multi = slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("hub")).where("n_rows > 1")
+    members = join_groups(slim, scratch.keep(multi, "buckets"), "bucket", "n_rows", F.col("doc_id") != F.col("hub"))
+    # First one pair for each document, with its smallest hub, which joins most groups.
+    stars = members.groupBy(F.col("doc_id").alias("a")).agg(F.min("hub").alias("b"))
     pairs = scratch.keep(_likely(stars, reps, percent, bands * rows), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = scratch.keep(ids, "ids")
-    sets = scratch.keep(_sets(docs, ids, width).dropDuplicates(["doc_id"]), "sets")
-
-    # First one pair for each document, which joins most groups; then only what
-    # is still apart.
-    links = scratch.keep(_confirmed(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "links")
+    links = scratch.keep(_confirmed(pairs, _sets(scratch, docs, pairs, width), percent), "links")
     known = components(scratch, links)
-    more = scratch.keep(_confirmed(_apart(pairs, known), sets, percent), "links")
-    if more.limit(1).count():
-        links = scratch.keep(links.unionByName(more), "links")
-        known = components(scratch, links)
-    turn = 0
+
+    # Then, level by level, who isn't in a bucket's largest component meets hubs
+    # of that component, and these documents go on as a smaller bucket.
+    label = known.withColumnsRenamed({"node": "doc_id"})
+    state = reps.select("doc_id", "keys").join(label, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.explode("keys").alias("bucket"))
+    level = 0
     while True:
-        # Buckets with more members than hubs that still hold several components.
-        label = known.withColumnsRenamed({"node": "doc_id"})
-        # Who isn't in a bucket's largest component meets a hub of that component.
-        labelled = reps.select("doc_id", "keys").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        state = labelled.select("doc_id", "label", F.explode("keys").alias("bucket"))
-        turn += 1
-        mask = int(_mix(np.array([turn + 1000], np.uint64))[0] >> np.uint64(1))
-        inside = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), _hub(mask).alias("b"))
-        opened = inside.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label", "b")).alias("main")).where((F.col("parts") > 1) & (F.col("n_rows") > len(MASKS) + 1))
-        opened = scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main"), F.col("main.b").alias("b")), "open")
+        parts = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), *[_hub(m).alias(f"hub{i}") for i, m in enumerate(MASKS)])
+        hubs = [f"hub{i}" for i in range(len(MASKS))]
+        opened = parts.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label", *hubs)).alias("main")).where("parts > 1")
+        opened = scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main"), *[F.col(f"main.{h}").alias(h) for h in hubs]), "open")
         if not opened.limit(1).count():
             break
-        stars = join_groups(state.select("bucket", F.col("doc_id").alias("a"), "label"), opened, "bucket", "n_rows", F.col("label") != F.col("main")).select("a", "b").distinct()
+        rest = join_groups(state.select("bucket", "doc_id", "label"), opened, "bucket", "n_rows", F.col("label") != F.col("main"))
+        rest = scratch.keep(rest.select("bucket", "doc_id", "label", *hubs), "outside")
+        stars = rest.select(F.col("doc_id").alias("a"), F.explode(F.array(*hubs)).alias("b")).distinct()
         fresh = scratch.keep(_likely(_apart(stars, known), reps, percent, bands * rows).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.limit(1).count():
-            break
-        ids = fresh.select(F.col("a").alias("doc_id")).union(fresh.select("b")).distinct()
-        ids = scratch.keep(ids, "ids")
-        more = scratch.keep(_confirmed(fresh, scratch.keep(_sets(docs, ids, width).dropDuplicates(["doc_id"]), "sets"), percent), "links")
-        if not more.limit(1).count():
+        more = links.limit(0)
+        if fresh.limit(1).count():
+            more = scratch.keep(_confirmed(fresh, _sets(scratch, docs, fresh, width), percent), "links")
+        found = more.limit(1).count() > 0
+        if found:
+            links = scratch.keep(links.unionByName(more), "links")
+            known = components(scratch, links)
+            pairs = scratch.keep(pairs.unionByName(fresh), "pairs")
+        level += 1
+        if not found and level >= LEVELS:
             break
-        links = scratch.keep(links.unionByName(more), "links")
-        known = components(scratch, links)
-        pairs = scratch.keep(pairs.unionByName(fresh), "pairs")
+        state = rest.select("bucket", "doc_id", "label")
 
     top = known.select(F.col("node").alias("rep"), "label")
     classed = classes.join(top, "rep", "left").select("set_key", "n_rows", F.coalesce("label", "rep").alias("component_id"))
