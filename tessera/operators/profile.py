@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.bits import bit_length, wrapping_sub
 from ..functions.numbers import triple_gcd
+from ..kernel.bins import histogram
 
 
 def ntile_histogram(df: DataFrame, value: str, tie: str, n_log: int, group: str = "chunk_id") -> DataFrame:
@@ -19,6 +20,20 @@ def ntile_histogram(df: DataFrame, value: str, tie: str, n_log: int, group: str
     return binned.groupBy(group, "bin").agg(F.min(value).alias("lower"), F.max(value).alias("upper"), F.count(F.lit(1)).alias("n"))
 
 
+def exact_histogram(df: DataFrame, value: str, n_log: int, group: str = "chunk_id") -> DataFrame:
+    """(group, bin, lower, upper, n): the codec's own bins, in which equal values
+    are never split. One task holds one group, so groups are chunks."""
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        n, lower, upper = histogram(np.sort(table.column(value).to_numpy()), n_log)
+        keys = pa.array([table.column(group)[0].as_py()] * len(n), table.schema.field(group).type)
+        return pa.table([keys, pa.array(np.arange(len(n), dtype=np.int32)), pa.array(lower), pa.array(upper), pa.array(n)], names=[group, "bin", "lower", "upper", "n"])
+
+    some = df.select(group, F.col(value).cast("long").alias(value)).where(F.col(value).isNotNull())
+    return some.groupBy(group).applyInArrow(run, f"{group} {kind}, bin int, lower long, upper long, n long")
+
+
 def bin_index(rank: Column, n: Column, n_log: int) -> Column:
     """Bin of the value at 0-based rank among n."""
     return F.floor(F.shiftleft(rank, n_log) / n).cast("long")

@@ -443,6 +443,12 @@ def hist_ntile(spark, d):
     return _hist(spark, d)
 
 
+@query()
+def hist_exact(spark, d):
+    """The codec's own histogram of each chunk's values."""
+    return profile.exact_histogram(_values(spark, d), "ord", 4)
+
+
 @query(f"{NT}, r AS (SELECT event_id, row_number() OVER (PARTITION BY chunk_id ORDER BY ord, event_id) - 1 AS rank, count(*) OVER (PARTITION BY chunk_id) AS n FROM o) SELECT event_id, (rank << 4) // n AS bin FROM r")
 def hist_bin_idx(spark, d):
     w = Window.partitionBy("chunk_id")

@@ -1,7 +1,8 @@
 """``spark.read.format("tessera")`` and ``df.write.format("tessera")``.
 
 A data source over standalone files on a path that executors have mounted (for
-other stores use ``files.scan``). Options: ntype, level, mode, delta, chunkN.
+other stores use ``files.scan``). Options: ntype, level, mode, delta, chunkN, and
+raw=true to write plain little-endian numbers instead.
 Columns: pos (when read) and x. A writer's task makes one file of its rows in
 their order; the driver commits by renaming, so a failed task leaves nothing."""
 import glob
@@ -66,12 +67,12 @@ class ColumnSource(DataSource):
             raise InvalidArgumentError("give an ntype for this column")
         o = self.options
         conf = config(o.get("level", 8), o.get("mode", "auto"), o.get("delta", "auto"), int(o.get("chunkn", 1 << 18)))
-        return ColumnWriter(local(o["path"]), ntype.lower(), conf, overwrite)
+        return ColumnWriter(local(o["path"]), ntype.lower(), conf, overwrite, str(o.get("raw", "")).lower() == "true")
 
 
-def _files(path: str) -> list[str]:
+def _files(path: str, extension: str = EXTENSION) -> list[str]:
     path = local(path)
-    return sorted(glob.glob(os.path.join(path, f"*{EXTENSION}"))) if os.path.isdir(path) else sorted(glob.glob(path))
+    return sorted(glob.glob(os.path.join(path, f"*{extension}"))) if os.path.isdir(path) else sorted(glob.glob(path))
 
 
 class ColumnReader(DataSourceReader):
@@ -94,41 +95,48 @@ class ColumnReader(DataSourceReader):
 
 
 class ColumnWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, ntype: str, conf, overwrite: bool):
-        self.path, self.ntype, self.conf, self.overwrite = path, ntype, conf, overwrite
-        if not overwrite and _files(path):
+    def __init__(self, path: str, ntype: str, conf, overwrite: bool, raw: bool = False):
+        self.path, self.ntype, self.conf, self.overwrite, self.raw = path, ntype, conf, overwrite, raw
+        self.extension = ".bin" if raw else EXTENSION
+        if not overwrite and _files(path, self.extension):
             raise CodecIOError(f"{path} has files; use mode overwrite")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        t, made = N.TYPES[self.ntype], None
+        t = N.TYPES[self.ntype]
         chunk_n = self.conf.paging.most
         held: list[np.ndarray] = []
         n = 0
         os.makedirs(self.path, exist_ok=True)
-        made = os.path.join(self.path, f".{uuid.uuid4().hex}{EXTENSION}")
+        made = os.path.join(self.path, f".{uuid.uuid4().hex}{self.extension}")
         with open(made, "wb") as f:
-            f.write(standalone.header())
+            if not self.raw:
+                f.write(standalone.header())
             for batch in batches:
                 column = batch.column("x")
                 if column.null_count:
                     raise InvalidArgumentError("a null in the column")
-                held.append(to_numpy(column, t))
-                n += len(held[-1])
+                x = to_numpy(column, t)
+                if self.raw:
+                    f.write(x.astype(t.dtype.newbyteorder("<")).tobytes())
+                    continue
+                held.append(x)
+                n += len(x)
                 while n >= chunk_n:
                     x = np.concatenate(held)
                     f.write(standalone.write_chunk(x[:chunk_n], self.conf, t))
                     held, n = [x[chunk_n:]], n - chunk_n
             if n:
                 f.write(standalone.write_chunk(np.concatenate(held), self.conf, t))
-            f.write(standalone.FOOTER)
+            if not self.raw:
+                f.write(standalone.FOOTER)
         return Written([made])
 
     def commit(self, messages: list) -> None:
         if self.overwrite:
-            for old in _files(self.path):
+            for old in _files(self.path, self.extension):
                 os.remove(old)
         for i, made in enumerate(p for m in messages if m for p in m.files):
-            os.rename(made, os.path.join(self.path, f"part-{i:05d}{EXTENSION}"))
+            os.rename(made, os.path.join(self.path, f"part-{i:05d}{self.extension}"))
 
     def abort(self, messages: list) -> None:
         for made in (p for m in messages if m for p in m.files):

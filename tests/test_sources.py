@@ -53,6 +53,8 @@ def test_data_source(spark, tmp_path):
     assert [r["x"] for r in back.orderBy("pos").collect()] == [i % 17 for i in range(1000)]
     with pytest.raises(Exception, match="overwrite"):
         df.write.format("tessera").mode("append").save(path)
+    df.coalesce(1).write.format("tessera").option("raw", "true").mode("append").save(str(tmp_path / "r"))
+    assert [r["x"] for r in files.scan(spark, str(tmp_path / "r"), "binary", "i32").orderBy("pos").collect()] == [i % 17 for i in range(1000)]
     df.limit(10).coalesce(1).write.format("tessera").mode("overwrite").save(path)
     assert spark.read.format("tessera").load(path).count() == 10
 
