@@ -1,4 +1,5 @@
 """Session helpers: tables, the shared scratch folder, and code on workers."""
+import gc
 import os
 import tempfile
 import uuid
@@ -68,6 +69,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now. It does so
+        once the driver has collected the plans that they belong to."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *dfs: DataFrame) -> None:
         """Delete written tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
