@@ -64,19 +64,15 @@ class WordOrder(dict):
 
 
 def line_counts(docs: DataFrame) -> np.ndarray:
-    """For each slot, at least the number of different lines that have a word of that slot."""
+    """For each slot, at least the number of lines that have a word of that
+    slot: words are counted as often as they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, out = WordHashes(), set(), np.zeros(SLOTS, np.int32)
+        memo, out = WordHashes(), np.zeros(SLOTS, np.int32)
         for batch in batches:
             words: list[bytes] = []
             for text in batch.column("text"):
-                for line in lines_of(text.as_py()):
-                    h = xxhash.xxh3_64_intdigest(line)
-                    if h not in seen:
-                        if len(seen) < 1 << 20:
-                            seen.add(h)
-                        words += line.split()
+                words += (text.as_py() or "").encode().lower().split()
                 if len(words) > 1 << 18:
                     _count(out, words, memo)
                     words = []
@@ -225,13 +221,16 @@ def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     classes = scratch.keep(classes.withColumn("h", F.xxhash64("set_key")), "classes")
 
     pairs = scratch.keep(_candidates(lines, percent), "pairs")
+    # The keys have done their work; what they took on disk goes before the sets are fetched.
+    slim = scratch.keep(lines.select("doc_id", "line_no", "n_words", "set_key"), "places")
+    scratch.drop(lines)
+    scratch.release()
     links = scratch.keep(_verified(docs, classes, pairs, counts, percent), "links")
     both = links.unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a")))
     other = classes.select(F.col("set_key").alias("b"), F.col("first").alias("other"), F.col("n_rows").alias("n_other"))
     around = both.join(other, "b").groupBy("a").agg(F.min("other").alias("other"), F.sum("n_other").alias("n_other"))
     told = classes.join(around.withColumnRenamed("a", "set_key"), "set_key", "left")
     told = told.select("set_key", "n_rows", "first", F.least("first", "other").alias("earliest"), (F.col("n_rows") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"))
-    slim = lines.select("doc_id", "line_no", "n_words", "set_key")
     there = join_groups(slim.where("n_words > 0"), scratch.keep(told, "told"), "set_key", "n_rows")
     there = there.select("doc_id", "line_no", "n_words", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n_links", place.eqNullSafe(F.col("earliest")).alias("kept"))
     none = slim.where("n_words = 0").select("doc_id", "line_no", "n_words", F.lit(None).cast("long").alias("class_doc"), F.lit(None).cast("int").alias("class_line"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
@@ -260,6 +259,18 @@ def _candidates(lines: DataFrame, percent: int) -> DataFrame:
     return x.join(y, near).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
 
 
+HASH_BYTES = 6
+
+
+def packed(words: set[bytes]) -> bytes:
+    """A set of words as 48-bit hashes."""
+    return b"".join({xxhash.xxh3_64_digest(w)[:HASH_BYTES] for w in words})
+
+
+def unpacked(data: bytes) -> set[bytes]:
+    return {data[i : i + HASH_BYTES] for i in range(0, len(data), HASH_BYTES)}
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """(a, b) of set_key for pairs that match; sets come from the first line of each class."""
     need = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
@@ -277,9 +288,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts: np.
             for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
                 lines = lines_of(text.as_py())
                 for w in wanted.as_py():
-                    words = sorted(set(lines[w["line_no"]].split())) if w["line_no"] < len(lines) else []
-                    hashes = np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in words], np.uint64))
-                    rows.append((w["h"], w["set_key"], hashes.tobytes()))
+                    words = set(lines[w["line_no"]].split()) if w["line_no"] < len(lines) else []
+                    rows.append((w["h"], w["set_key"], packed(words)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["h", "set_key", "words"])
 
     sets = texts.mapInArrow(run, "h long, set_key binary, words binary").dropDuplicates(["set_key"])
@@ -288,8 +298,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts: np.
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                same = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = unpacked(x.as_py()), unpacked(y.as_py())
+                same = len(x & y)
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["ka", "kb"]).rename_columns(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
