@@ -30,7 +30,9 @@ MOST_BITS, MOST_WORDS = 1 << 31, 1 << 23
 #: Weight of the bigram estimate.
 BIGRAM = 0.7
 #: Tokens that a worker holds at once, and words whose hashes it remembers.
-CHUNK, MEMO = 1 << 18, 1 << 17
+CHUNK, MEMO = 1 << 18, 1 << 18
+#: N-grams that are entered into the filter at once.
+ROWS = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The end of a text, which no word can be; also what comes before the first word.
 END = xxhash.xxh3_64_intdigest(b" ")
@@ -71,14 +73,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], memo: WordHashes) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, tokens, starts) in parts of about CHUNK tokens."""
+def _texts(batches: Iterator[pa.RecordBatch], memo: WordHashes, chunk: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, tokens, starts) in parts of about ``chunk`` tokens."""
     for batch in batches:
         held, n, first = [], 0, 0
         for i, text in enumerate(batch.column("text")):
             held.append(tokens(text.as_py(), memo))
             n += len(held[-1])
-            if n >= CHUNK or i + 1 == batch.num_rows:
+            if n >= chunk or i + 1 == batch.num_rows:
                 starts = np.cumsum([0, *map(len, held)])[:-1]
                 yield batch.slice(first, i + 1 - first), np.concatenate(held), starts
                 held, n, first = [], 0, i + 1
@@ -89,7 +91,7 @@ def ngram_counts(train: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for _, h, starts in _texts(batches, memo):
+        for _, h, starts in _texts(batches, memo, 2 * CHUNK):
             for order, grams in ((1, h), (2, pairs(h, starts)[1])):
                 grams, n = np.unique(grams, return_counts=True)
                 shard = ((grams >> np.uint64(44)) * np.uint64(shards)) >> np.uint64(20)
@@ -141,24 +143,26 @@ def count_of(level: np.ndarray) -> np.ndarray:
 def build_filter(counts: DataFrame, entries: int) -> LogFilter:
     n = max(1, -(-min(MOST_BITS, entries * ENTRY_BITS) // SEGMENT))
 
+    def enter(found: dict[int, np.ndarray], h: np.ndarray, order: np.ndarray, count: np.ndarray) -> None:
+        top, where = np.frexp(count.astype(np.float64))[1], LogFilter.segment(h, n)
+        for k in np.unique(order).tolist():
+            by = np.flatnonzero(order == k)
+            by = by[np.argsort(where[by], kind="stable")]
+            for at, end in _runs(where[by]):
+                part, least = h[by[at:end]], top[by[at:end]]
+                bits = np.zeros(SEGMENT, bool)
+                for level in range(1, int(least.max()) + 1):
+                    part, least = part[least >= level], least[least >= level]
+                    for spot in LogFilter.spots(part, k, level):
+                        bits[spot] = True
+                own = int(where[by[at]])
+                packed = np.packbits(bits, bitorder="little")
+                found[own] = found[own] | packed if own in found else packed
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            orders = batch.column("order").to_numpy()
-            for order in np.unique(orders).tolist():
-                mine = orders == order
-                h = batch.column("h").to_numpy()[mine].view(np.uint64)
-                top = np.frexp(batch.column("n").to_numpy()[mine].astype(np.float64))[1]
-                where = LogFilter.segment(h, n)
-                by = np.argsort(where, kind="stable")
-                h, top, where = h[by], top[by], where[by]
-                for at, end in _runs(where):
-                    bits = found.setdefault(int(where[at]), np.zeros(SEGMENT // 8, np.uint8))
-                    part, least = h[at:end], top[at:end]
-                    for level in range(1, int(least.max()) + 1):
-                        part, least = part[least >= level], least[least >= level]
-                        for spot in LogFilter.spots(part, order, level):
-                            np.bitwise_or.at(bits, spot >> 3, np.uint8(1) << (spot & 7).astype(np.uint8))
+        for h, order, count in _gathered(batches):
+            enter(found, h.view(np.uint64), order, count)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([b.tobytes() for b in found.values()], pa.binary())], ["segment", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +180,19 @@ def build_filter(counts: DataFrame, entries: int) -> LogFilter:
     return LogFilter(out)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns h, order and n of about ROWS rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("h", "order", "n")])
+        n += batch.num_rows
+        if n >= ROWS:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
     edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, int)
     return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
