@@ -7,6 +7,8 @@ from .numbers import bit_length
 
 #: Bits per number that a single bin, or bins without offsets, may cost more: they decode faster.
 SINGLE_WORTH = TRIVIAL_WORTH = np.float32(0.1)
+#: Bins whose merging costs are worked out together.
+BLOCK = 256
 #: The largest table (log) that training makes.
 MOST_SIZE_LOG = 12
 
@@ -90,10 +92,16 @@ def merge(count: np.ndarray, lower: np.ndarray, upper: np.ndarray, size_log: int
     before = np.concatenate([[0], np.cumsum(count)])
     best = np.zeros(n + 1, np.float32)
     start = np.zeros(n, np.int64)
-    for i in range(n):
-        cost = best[: i + 1] + merge_cost(before[i + 1] - before[: i + 1], lower[: i + 1], upper[i], total, meta)
-        j = i - int(np.argmin(cost[::-1]))
-        best[i + 1], start[i] = cost[j], j
+    for at in range(0, n, BLOCK):
+        # Costs of all ranges that end in a block of bins; a range can't begin after its end.
+        last = np.arange(at, min(n, at + BLOCK))
+        first = np.arange(last[-1] + 1)[:, None]
+        counts = np.maximum(before[last + 1] - before[first], 1)
+        own = merge_cost(counts, np.minimum(lower[first], upper[last]), upper[last], total, meta)
+        for k, i in enumerate(last.tolist()):
+            cost = best[: i + 1] + own[: i + 1, k]
+            j = i - int(np.argmin(cost[::-1]))
+            best[i + 1], start[i] = cost[j], j
     single = merge_cost(np.array([total]), lower[:1], upper[-1:], total, meta)[0]
     if single < best[n] + SINGLE_WORTH * np.float32(total):
         return [(0, n - 1)]

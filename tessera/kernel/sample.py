@@ -36,16 +36,20 @@ def choose(x: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray | None:
     n, target = len(x), size(len(x))
     if not target:
         return None
-    rng, seen, out = Xoroshiro(), set(), []
-    for _ in range(4 * target):
-        i = rng.next() % n
-        if i not in seen:
-            seen.add(i)
-            if keep is None or keep[i]:
-                out.append(i)
-                if len(out) == target:
-                    break
-    return x[out] if len(out) >= 10 else None
+    at = _outputs(4 * target) % np.uint64(n)
+    at = at[np.sort(np.unique(at, return_index=True)[1])].astype(np.int64)
+    if keep is not None:
+        at = at[keep[at]]
+    return x[at[:target]] if len(at) >= 10 else None
+
+
+_RNG, _SEEN = Xoroshiro(), []
+
+
+def _outputs(n: int) -> np.ndarray:
+    """The generator's first n outputs for seed 0, which every sample starts from."""
+    _SEEN.extend(_RNG.next() for _ in range(n - len(_SEEN)))
+    return np.array(_SEEN[:n], np.uint64)
 
 
 def delta_positions(n: int, group: int = 200, extra: int | None = None) -> np.ndarray:
