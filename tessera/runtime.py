@@ -14,9 +14,13 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
+#: Python workers live on between tasks; they shall give memory back that they don't use.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, and
-    bound the Arrow batches that they hold, where the session doesn't say how.
+    bound what they hold, where the session doesn't say how.
 
     On a cluster the package is shipped with ``--py-files``; the path is only
     added to what the workers search."""
@@ -25,6 +29,8 @@ def ready(spark: SparkSession) -> SparkSession:
         if not given.contains(key):
             spark.conf.set(key, value)
     env = spark.sparkContext.environment
+    for key, value in WORKERS.items():
+        env.setdefault(key, value)
     known = env.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, known) if x)
