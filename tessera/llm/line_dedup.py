@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, join_groups
@@ -201,16 +201,16 @@ def _batch(ids: list, spots: list[int], sizes: list[int], words: list[bytes], or
 
 
 def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), n_words, class_doc, class_line, n_links, kept:
+    """doc_id, line_no (from 0), n_words, class_doc, class_line, class_size, kept:
     a row for each line of each row of docs.
 
     class_doc and class_line name the first line (by doc_id and line_no) with
-    the same set of words; n_links counts the other lines that match this one; a
-    line is kept unless an earlier line matches it. Lines without words match
-    nothing and are kept, with null class; a null text is one such line. A null
-    doc_id comes before all others. Rows that repeat entirely give the same
-    lines twice, kept or not alike. Other columns aren't looked at; an empty
-    table gives no rows."""
+    the same set of words, class_size counts its lines. A line is kept unless an
+    earlier line matches it, removed or not. Lines without words match nothing
+    and are kept, with null class; a null text is one such line. A null doc_id
+    comes before all others. Rows that repeat entirely give the same lines
+    twice, kept or not alike. Other columns aren't looked at; an empty table
+    gives no rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -219,44 +219,72 @@ def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     place = F.struct("doc_id", "line_no")
     classes = lines.where("n_words > 0").groupBy("set_key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows"))
     classes = scratch.keep(classes.withColumn("h", F.xxhash64("set_key")), "classes")
-
-    pairs = scratch.keep(_candidates(lines, percent), "pairs")
-    # The keys have done their work; what they took on disk goes before the sets are fetched.
+    # One row of keys for each class; the lines go on without keys.
+    keyed = lines.where(F.size("sigs") > 0).select("set_key", "n_words", "bits", "sigs", "spots").join(classes.select("set_key", "h", "first"), "set_key").dropDuplicates(["set_key"])
+    keyed = scratch.keep(keyed.select("h", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("d"), F.col("first.line_no").alias("l"), "n_words", "bits", "sigs", "spots"), "keys")
     slim = scratch.keep(lines.select("doc_id", "line_no", "n_words", "set_key"), "places")
     scratch.drop(lines)
     scratch.release()
-    links = scratch.keep(_verified(docs, classes, pairs, counts, percent), "links")
-    both = links.unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a")))
-    other = classes.select(F.col("set_key").alias("b"), F.col("first").alias("other"), F.col("n_rows").alias("n_other"))
-    around = both.join(other, "b").groupBy("a").agg(F.min("other").alias("other"), F.sum("n_other").alias("n_other"))
-    told = classes.join(around.withColumnRenamed("a", "set_key"), "set_key", "left")
-    told = told.select("set_key", "n_rows", "first", F.least("first", "other").alias("earliest"), (F.col("n_rows") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"))
+
+    # First every class meets the three earliest of its lists, which settles
+    # groups of near copies with few pairs; then what isn't matched yet meets all.
+    stars = scratch.keep(_stars(keyed, percent), "stars")
+    scratch.release()
+    matched = scratch.keep(_verified(docs, classes, stars, percent), "matched")
+    scratch.release()
+    rest = scratch.keep(_rest(keyed, matched, percent), "rest")
+    scratch.release()
+    matched = matched.union(_verified(docs, classes, rest, percent)).distinct()
+
+    told = classes.join(matched.withColumn("later", F.lit(True)), "set_key", "left").select("set_key", "n_rows", "first", F.coalesce("later", F.lit(False)).alias("later"))
     there = join_groups(slim.where("n_words > 0"), scratch.keep(told, "told"), "set_key", "n_rows")
-    there = there.select("doc_id", "line_no", "n_words", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n_links", place.eqNullSafe(F.col("earliest")).alias("kept"))
-    none = slim.where("n_words = 0").select("doc_id", "line_no", "n_words", F.lit(None).cast("long").alias("class_doc"), F.lit(None).cast("int").alias("class_line"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    there = there.select("doc_id", "line_no", "n_words", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), F.col("n_rows").alias("class_size"), (place.eqNullSafe(F.col("first")) & ~F.col("later")).alias("kept"))
+    none = slim.where("n_words = 0").select("doc_id", "line_no", "n_words", F.lit(None).cast("long").alias("class_doc"), F.lit(None).cast("int").alias("class_line"), F.lit(None).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return there.unionByName(none)
 
 
-def _candidates(lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of 64-bit class numbers that pass every filter."""
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = lines.where(F.size("sigs") > 0).select(F.xxhash64("set_key").alias("h"), "n_words", "bits", F.arrays_zip("sigs", "spots").alias("z"))
-    each = each.select("h", "bits", "n_words", F.explode("z").alias("z")).select(F.col("z.sigs").alias("sig"), "h", "bits", (F.col("n_words").cast("long") * (1 << 31) + F.col("z.spots")).alias("size_at"))
-    # A set's rows from several tasks are the same; one is left under each key.
-    each = each.repartition(n, "sig").groupBy("sig", "h", "size_at").agg(F.first("bits").alias("bits"))
-    size = lambda s: F.shiftright(F.col(f"{s}.size_at"), 31)
-    rest = lambda s: size(s) - F.col(f"{s}.size_at").bitwiseAND((1 << 31) - 1)
-    x, y = each.alias("x"), each.alias("y")
-    both = size("x") + size("y")
-    near = (
-        (F.col("x.sig") == F.col("y.sig"))
-        & (F.col("x.h") < F.col("y.h"))
-        & (100 * F.least(size("x"), size("y")) >= percent * F.greatest(size("x"), size("y")))
-        & ((100 + percent) * F.least(rest("x"), rest("y")) >= percent * both)
-        # 2 (100 + p) * overlap >= 2 p * both, so the symmetric difference is at most both (100 - p) / (100 + p).
-        & ((100 + percent) * F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= (100 - percent) * both)
+def _postings(keyed: DataFrame, *more: str) -> DataFrame:
+    each = keyed.select("h", "d", "l", "n_words", "bits", *more, F.explode(F.arrays_zip("sigs", "spots")).alias("z"))
+    return each.select(F.col("z.sigs").alias("sig"), "h", "d", "l", "bits", (F.col("n_words").cast("long") * (1 << 31) + F.col("z.spots")).alias("size_at"), *more)
+
+
+def _near(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """The length, positional and parity filters for two postings of a key."""
+    size = lambda p: F.shiftright(p["size_at"], 31)
+    rest = lambda p: size(p) - p["size_at"].bitwiseAND((1 << 31) - 1)
+    both = size(x) + size(y)
+    return (
+        (100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y)))
+        & ((100 + percent) * F.least(rest(x), rest(y)) >= percent * both)
+        # (100 + p) * overlap >= p * both, so the symmetric difference is at most both (100 - p) / (100 + p).
+        & ((100 + percent) * F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= (100 - percent) * both)
     )
-    return x.join(y, near).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
+
+
+HUBS = 3
+
+
+def _stars(keyed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of class numbers: a and one of the earliest in a list of a's."""
+    w = Window.partitionBy("sig").orderBy("d", "l", "h")
+    own = {c: F.col(c) for c in ("h", "bits", "size_at")}
+    hubs = [F.nth_value(F.struct("h", "bits", "size_at"), i + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"hub{i}") for i in range(HUBS)]
+    rows = _postings(keyed).select("sig", *own, *hubs)
+    near = [F.when(_near(own, {c: F.col(f"hub{i}")[c] for c in own}, percent) & (F.col("h") != F.col(f"hub{i}.h")), F.col(f"hub{i}.h")) for i in range(HUBS)]
+    pairs = rows.select(F.col("h").alias("a"), F.filter(F.array(*near), lambda b: b.isNotNull()).alias("bs")).where(F.size("bs") > 0)
+    return pairs.select("a", F.explode("bs").alias("b")).distinct()
+
+
+def _rest(keyed: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): a isn't matched yet, b is any earlier class under a key of a."""
+    done = matched.select(F.xxhash64("set_key").alias("h")).distinct()
+    done = F.broadcast(done) if done.count() <= FEW_IDS else done
+    open_ = keyed.join(done.withColumn("done", F.lit(True)), "h", "left").withColumn("open", F.col("done").isNull()).drop("done")
+    each = _postings(open_, "open").repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig")
+    x, y = ({c: F.col(f"{t}.{c}") for c in ("h", "d", "l", "bits", "size_at")} for t in "xy")
+    earlier = (y["d"] < x["d"]) | ((y["d"] == x["d"]) & ((y["l"] < x["l"]) | ((y["l"] == x["l"]) & (y["h"] < x["h"]))))
+    both = each.alias("x").join(each.alias("y"), (F.col("x.sig") == F.col("y.sig")) & F.col("x.open") & earlier & _near(x, y, percent))
+    return both.select(x["h"].alias("a"), y["h"].alias("b")).distinct()
 
 
 HASH_BYTES = 6
@@ -271,8 +299,9 @@ def unpacked(data: bytes) -> set[bytes]:
     return {data[i : i + HASH_BYTES] for i in range(0, len(data), HASH_BYTES)}
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(a, b) of set_key for pairs that match; sets come from the first line of each class."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(set_key) of each a that really matches its b, for pairs (a, b) of class
+    numbers; sets come from the first line of each class."""
     need = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     wanted = classes.join(need, "h").select("h", "set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h", "set_key")).alias("wanted"))
@@ -301,12 +330,12 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts: np.
                 x, y = unpacked(x.as_py()), unpacked(y.as_py())
                 same = len(x & y)
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(["ka", "kb"]).rename_columns(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["ka"]).rename_columns(["set_key"]).filter(pa.array(ok, pa.bool_()))
 
     scratch = Scratch(docs.sparkSession, "line-sets")
     sets = scratch.keep(sets, "sets")
     a, b = sets.toDF("a", "ka", "wa"), sets.toDF("b", "kb", "wb")
-    return pairs.join(a, "a").join(b, "b").select("ka", "kb", "wa", "wb").mapInArrow(check, "a binary, b binary").distinct()
+    return pairs.join(a, "a").join(b, "b").select("ka", "wa", "wb").mapInArrow(check, "set_key binary").distinct()
 
 
 def drop_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -332,9 +361,9 @@ c AS (SELECT ws, min((doc_id, line_no)) AS first, count(*) AS n, len(ws) AS k, r
 e AS (SELECT id, k, unnest(ws) AS w FROM c),
 p AS (SELECT a.id AS a, b.id AS b, any_value(a.k) AS ka, any_value(b.k) AS kb, count(*) AS n FROM e a JOIN e b ON a.w = b.w AND a.id <> b.id AND 5 * a.k >= 4 * b.k AND 5 * b.k >= 4 * a.k GROUP BY 1, 2),
 l AS (SELECT a, b FROM p WHERE 100 * n >= 80 * (ka + kb - n)),
-o AS (SELECT l.a, min(c.first) AS first, sum(c.n) AS n FROM l JOIN c ON c.id = l.b GROUP BY l.a),
-r AS (SELECT c.ws, c.first, least(c.first, coalesce(o.first, c.first)) AS earliest, c.n - 1 + coalesce(o.n, 0) AS n_links FROM c LEFT JOIN o ON o.a = c.id)
-SELECT v.doc_id, v.line_no, len(v.ws) AS n_words, r.first[1] AS class_doc, r.first[2] AS class_line,
-       CAST(coalesce(r.n_links, 0) AS BIGINT) AS n_links, coalesce((v.doc_id, v.line_no) = r.earliest, true) AS kept
+o AS (SELECT l.a, min(c.first) AS first FROM l JOIN c ON c.id = l.b GROUP BY l.a),
+r AS (SELECT c.ws, c.first, c.n, least(c.first, coalesce(o.first, c.first)) AS earliest FROM c LEFT JOIN o ON o.a = c.id)
+SELECT v.doc_id, v.line_no, len(v.ws) AS n_words, r.first[1] AS class_doc, r.first[2] AS class_line, r.n AS class_size,
+       coalesce((v.doc_id, v.line_no) = r.earliest, true) AS kept
 FROM v LEFT JOIN r ON v.ws = r.ws
 """

@@ -142,7 +142,7 @@ def brute_lines(docs):
     out = {}
     for d, i, s in lines:
         match = [(e, j) for e, j, u in lines if (e, j) != (d, i) and s and u and 100 * len(s & u) >= 80 * len(s | u)]
-        out[d, i] = len(s), len(match), not any(m < (d, i) for m in match)
+        out[d, i] = len(s), not any(m < (d, i) for m in match)
     return out
 
 
@@ -159,7 +159,7 @@ def test_lines_match_brute_force(spark, monkeypatch, rare):
         texts = [t for _, t in corpus(60, seed=8)]
         docs = [(i, "\n".join(rng.sample(texts, rng.randint(1, 6)))) for i in range(50)]
         df = spark.createDataFrame(docs, "doc_id long, text string")
-        got = {(r["doc_id"], r["line_no"]): (r["n_words"], r["n_links"], r["kept"]) for r in line_dedup.line_classes(df).collect()}
+        got = {(r["doc_id"], r["line_no"]): (r["n_words"], r["kept"]) for r in line_dedup.line_classes(df).collect()}
         assert got == brute_lines(docs)
     finally:
         cloudpickle.unregister_pickle_by_value(line_dedup)
@@ -168,7 +168,7 @@ def test_lines_match_brute_force(spark, monkeypatch, rare):
 def test_line_oddities(odd, spark):
     got = line_dedup.line_classes(odd)
     assert got.where("n_words = 0 AND NOT kept").count() == 0
-    assert got.where("doc_id = 2 AND kept").count() == 0 and got.where("doc_id = 1 AND kept AND n_links = 2").count() == 1
+    assert got.where("doc_id = 2 AND kept").count() == 0 and got.where("doc_id = 1 AND kept AND class_size = 3").count() == 1
     df = spark.createDataFrame([(1, "keep me\nand this line"), (2, "and this line\nnew"), (3, None)], "doc_id long, text string").selectExpr("*", "1 AS line_no")
     clean = line_dedup.drop_lines(df)
     assert clean.columns == df.columns
