@@ -4,7 +4,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -66,13 +66,20 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it again."""
+    def keep(self, df: DataFrame, name: str, **counts: Column) -> DataFrame:
+        """Write df and read it again. The result knows ``n_rows``, and for each
+        of ``counts`` how many rows have it true, from the write itself."""
         self._n += 1
         path = self.path(f"{self._n}-{name}")
-        df.write.mode("overwrite").parquet(path)
+        seen = Observation()
+        sums = {"n_rows": F.count(F.lit(1))} | {k: F.count(F.when(c, 1)) for k, c in counts.items()}
+        df.observe(seen, *[c.alias(k) for k, c in sums.items()]).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        # A plan that Spark finds empty reports nothing.
+        told = seen.get or out.agg(*[c.alias(k) for k, c in sums.items()]).first().asDict()
+        for k in sums:
+            setattr(out, k, told[k])
         return out
 
     def release(self) -> None:
