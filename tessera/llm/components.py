@@ -12,16 +12,18 @@ from ..runtime import Scratch
 
 
 def _flatten(scratch: Scratch, up: DataFrame) -> DataFrame:
-    """up: (node, label) with label <= node. Labels become roots."""
+    """up: (node, label) with label <= node. Labels become roots, two jumps at a time."""
     while True:
-        top = up.select(F.col("node").alias("label"), F.col("label").alias("root")).where(F.col("label") != F.col("root"))
-        nxt = up.join(top, "label", "left").select("node", F.coalesce("root", "label").alias("label"), F.col("root").isNotNull().alias("moved"))
-        nxt = scratch.keep(nxt, "jump")
-        moved = nxt.where("moved").limit(1).count()
+        top = up.where("node <> label")
+        once = top.select(F.col("node").alias("label"), F.col("label").alias("one"))
+        twice = top.select(F.col("node").alias("one"), F.col("label").alias("two"))
+        nxt = up.join(once, "label", "left").join(twice, "one", "left")
+        nxt = nxt.select("node", F.coalesce("two", "one", "label").alias("label"), F.col("two").isNotNull().alias("moved"))
+        nxt = scratch.keep(nxt, "jump", moves=F.col("moved"))
         scratch.drop(up)
         out = nxt.select("node", "label")
         out._scratch_path = nxt._scratch_path
-        if not moved:
+        if not nxt.moves:
             return out
         up = out
 
@@ -31,7 +33,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     of its component. Self links and repeated links do no harm."""
     rest = scratch.keep(links.select("a", "b"), "links")
     known = None
-    while known is None or rest.limit(1).count():
+    while known is None or rest.n_rows:
         both = rest.select(F.col("a").alias("node"), "b").unionByName(rest.select(F.col("b").alias("node"), F.col("a").alias("b")))
         up = both.groupBy("node").agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"))
         up = _flatten(scratch, scratch.keep(up, "up"))

@@ -307,7 +307,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h", "set_key")).alias("wanted"))
     # Only texts that are looked into are shuffled; their ids are broadcast if few.
     ids = Scratch(docs.sparkSession, "line-ids").keep(by_doc.select(F.col("doc_id").alias("i")), "ids")
-    if ids.count() <= FEW_IDS:
+    if ids.n_rows <= FEW_IDS:
         docs = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
     texts = docs.withColumnRenamed("doc_id", "d").join(by_doc, F.col("d").eqNullSafe(F.col("doc_id"))).select("text", "wanted")
 

@@ -10,8 +10,8 @@ Documents with the same set are one class, so that copies never meet in a
 bucket. Inside a bucket candidates are stars, which keeps the pairs linear in
 the bucket: first every document meets one hub, the smallest id of its buckets;
 then, in buckets that still hold several components, the documents outside of
-the largest one meet three hubs of it, and go on as a smaller bucket, until a
-level finds no link. Pairs pass a length filter and
+the largest one meet three hubs of it and one of each of the next eight; what is
+in none of these goes on as a smaller bucket, until a level finds no link. Pairs pass a length filter and
 an estimate from 8-bit bins that is five standard deviations below the
 threshold, then are confirmed on the full sets.
 """
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, join_groups
@@ -29,10 +29,12 @@ from .components import components
 BANDS, ROWS = 32, 5
 #: Fixed random masks that choose the hubs of a component; 0 chooses the smallest id.
 MASKS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
-#: Levels that are looked at even if one finds no link.
-LEVELS = 3
 #: Ids are broadcast up to this number (16 MB).
 FEW_IDS = 1 << 20
+#: Pairs are broadcast, with their sketches, up to this number (16 MB).
+FEW_PAIRS = 1 << 16
+#: Components of a bucket, after its largest, that are looked at in one level.
+NEXT = 8
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,18 +130,24 @@ def _sets(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int) -> Da
 
     ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     # The texts stay where they are if the ids are few; else both are shuffled.
-    few = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    sets = docs.join(few, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+    sets = docs.join(_few(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
     return scratch.keep(sets.dropDuplicates(["doc_id"]), "sets")
 
 
+def _few(df: DataFrame, most: int = FEW_IDS) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.n_rows <= most else df
+
+
 def _likely(pairs: DataFrame, marks: DataFrame, percent: int, bins: int) -> DataFrame:
     """Pairs (a, b) that can reach the threshold by length and by 8-bit bins."""
     p = percent / 100
     least = bins * max(0.0, p - 5 * (p * (1 - p) / bins) ** 0.5)
     a = marks.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("low").alias("la"))
     b = marks.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("low").alias("lb"))
-    near = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    first = _few(pairs, FEW_PAIRS).join(a, "a")
+    first = F.broadcast(first) if pairs.n_rows <= FEW_PAIRS else first
+    near = first.join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,38 +195,42 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     members = join_groups(slim, scratch.keep(multi, "buckets"), "bucket", "n_rows", F.col("doc_id") != F.col("hub"))
     # First one pair for each document, with its smallest hub, which joins most groups.
     stars = members.groupBy(F.col("doc_id").alias("a")).agg(F.min("hub").alias("b"))
-    pairs = scratch.keep(_likely(stars, reps, percent, bands * rows), "pairs")
+    pairs = scratch.keep(_likely(scratch.keep(stars, "stars"), reps, percent, bands * rows), "pairs")
     links = scratch.keep(_confirmed(pairs, _sets(scratch, docs, pairs, width), percent), "links")
     known = components(scratch, links)
 
     # Then, level by level, who isn't in a bucket's largest component meets hubs
     # of that component, and these documents go on as a smaller bucket.
-    label = known.withColumnsRenamed({"node": "doc_id"})
+    label = _few(known).withColumnsRenamed({"node": "doc_id"})
     state = reps.select("doc_id", "keys").join(label, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.explode("keys").alias("bucket"))
-    level = 0
     while True:
         parts = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), *[_hub(m).alias(f"hub{i}") for i, m in enumerate(MASKS)])
         hubs = [f"hub{i}" for i in range(len(MASKS))]
         opened = parts.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label", *hubs)).alias("main")).where("parts > 1")
         opened = scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main"), *[F.col(f"main.{h}").alias(h) for h in hubs]), "open")
-        if not opened.limit(1).count():
+        if not opened.n_rows:
             break
         rest = join_groups(state.select("bucket", "doc_id", "label"), opened, "bucket", "n_rows", F.col("label") != F.col("main"))
         rest = scratch.keep(rest.select("bucket", "doc_id", "label", *hubs), "outside")
-        stars = rest.select(F.col("doc_id").alias("a"), F.explode(F.array(*hubs)).alias("b")).distinct()
-        fresh = scratch.keep(_likely(_apart(stars, known), reps, percent, bands * rows).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = links.limit(0)
-        if fresh.limit(1).count():
-            more = scratch.keep(_confirmed(fresh, _sets(scratch, docs, fresh, width), percent), "links")
-        found = more.limit(1).count() > 0
+        stars = rest.select(F.col("doc_id").alias("a"), F.explode(F.array(*hubs)).alias("b"))
+        # The next largest components of the bucket have a hub each.
+        own = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub"))
+        own = own.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "label"))).where(F.col("rank") <= NEXT)
+        own = scratch.keep(own.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.collect_list(F.struct("label", "hub")).alias("next")), "next")
+        rest = join_groups(rest.select("bucket", "doc_id", "label"), own, "bucket", "n_rows")
+        others = F.filter("next", lambda m: m["label"] != F.col("label"))
+        stars = stars.unionByName(rest.select(F.col("doc_id").alias("a"), F.explode(F.transform(others, lambda m: m["hub"])).alias("b"))).distinct()
+        stars = scratch.keep(_apart(stars, known).join(_few(pairs), ["a", "b"], "left_anti"), "stars")
+        fresh = scratch.keep(_likely(stars, reps, percent, bands * rows), "pairs")
+        more = scratch.keep(_confirmed(fresh, _sets(scratch, docs, fresh, width), percent), "links") if fresh.n_rows else None
+        found = more is not None and more.n_rows > 0
         if found:
             links = scratch.keep(links.unionByName(more), "links")
             known = components(scratch, links)
             pairs = scratch.keep(pairs.unionByName(fresh), "pairs")
-        level += 1
-        if not found and level >= LEVELS:
+        if not found:
             break
-        state = rest.select("bucket", "doc_id", "label")
+        state = rest.where(~F.array_contains(F.transform("next", lambda m: m["label"]), F.col("label"))).select("bucket", "doc_id", "label")
 
     top = known.select(F.col("node").alias("rep"), "label")
     classed = classes.join(top, "rep", "left").select("set_key", "n_rows", F.coalesce("label", "rep").alias("component_id"))
@@ -234,7 +246,8 @@ def _hub(mask: int):
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
-    a, b = known.toDF("a", "ca"), known.toDF("b", "cb")
+    few = _few(known)
+    a, b = few.toDF("a", "ca"), few.toDF("b", "cb")
     both = pairs.join(a, "a", "left").join(b, "b", "left")
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
