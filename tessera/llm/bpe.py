@@ -21,7 +21,7 @@ LONG = 65_536
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def encoding(rank_bytes: bytes, pattern: str):
     import tiktoken
 
@@ -55,6 +55,16 @@ def read_ranks(rank_file: str) -> bytes:
         return f.read()
 
 
+def encoded(enc, batch: pa.Array) -> pa.ListArray:
+    ids = [np.asarray(encode_text(enc, t.as_py()), np.int32) for t in batch]
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+
+
+def decoded(enc, batch: pa.Array) -> pa.Array:
+    return pa.array([enc.decode_bytes(x.as_py() or []) for x in batch], pa.binary())
+
+
 def encode(text: Column, rank_file: str, pattern: str) -> Column:
     """array<int> of token ids, without special tokens. A null text counts as
     empty; an empty text has no ids."""
@@ -64,9 +74,7 @@ def encode(text: Column, rank_file: str, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(ranks, pattern)
         for batch in batches:
-            ids = [np.asarray(encode_text(enc, t.as_py()), np.int32) for t in batch]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            yield encoded(enc, batch)
 
     return run.asNondeterministic()(text)
 
@@ -80,7 +88,7 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(ranks, pattern)
         for batch in batches:
-            yield pa.array([enc.decode_bytes(x.as_py() or []) for x in batch], pa.binary())
+            yield decoded(enc, batch)
 
     return run.asNondeterministic()(ids)
 
@@ -89,8 +97,18 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     """(doc_id, token_ids, decoded): ids of each whole text, and the bytes that
     these ids decode to. One row per row of docs, repeated rows and null doc_id
     included; other columns of docs are not looked at; a map without shuffle."""
-    encoded = docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col), rank_file, pattern).alias("token_ids"))
-    return encoded.select("doc_id", "token_ids", decode(F.col("token_ids"), rank_file, pattern).alias("decoded"))
+    ranks = read_ranks(rank_file)
+
+    @F.arrow_udf("struct<token_ids: array<int>, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoding(ranks, pattern)
+        for batch in batches:
+            ids = encoded(enc, batch)
+            yield pa.StructArray.from_arrays([ids, decoded(enc, ids)], ["token_ids", "decoded"])
+
+    # One function for both ways: a second one would take a worker of its own in every task.
+    trip = docs.select(F.col(id_col).alias("doc_id"), both.asNondeterministic()(F.col(text_col)).alias("t"))
+    return trip.select("doc_id", "t.token_ids", "t.decoded")
 
 
 def summary(trip: DataFrame) -> DataFrame:

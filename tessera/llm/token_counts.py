@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Symbol after the last byte of a word.
 END = 256
 _PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_MEMO = 1 << 19
+_MEMO = 1 << 18
 
 
 class Automaton:

@@ -36,6 +36,12 @@ def test_bpe_equals_the_library(odd, enc):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["n_tokens"] == len(ids)
 
 
+def test_bpe_columns(odd, enc):
+    ids = odd.select("text", bpe.encode(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("ids"))
+    for r in ids.select("text", "ids", bpe.decode(F.col("ids"), RANKS, public_tokenizers.PATTERN).alias("back")).collect():
+        assert list(r["ids"]) == enc.encode_ordinary(r["text"] or "") and bytes(r["back"]).decode() == (r["text"] or "")
+
+
 def test_cut_texts_encode_as_whole_ones(enc):
     rng = random.Random(2)
     parts = ["word", "  ", "\n\n ", "don't", "'s", "12", "!!", "é", " ", "　", "\x1c", "\x85", "\t", " x", "<|endoftext|>"]
