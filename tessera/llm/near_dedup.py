@@ -10,7 +10,7 @@ Documents with the same set are one class, so that copies never meet in a
 bucket. Inside a bucket candidates are stars, which keeps the pairs linear in
 the bucket: first every document meets one hub, the smallest id of its buckets;
 then, in buckets that still hold several components, the documents outside of
-the largest one meet three hubs of it and one of each of the next eight; what is
+the largest one meet three hubs of it and one of each of the next four; what is
 in none of these goes on as a smaller bucket, until a level finds no link. Pairs pass a length filter and
 an estimate from 8-bit bins that is five standard deviations below the
 threshold, then are confirmed on the full sets.
@@ -34,7 +34,7 @@ FEW_IDS = 1 << 20
 #: Pairs are broadcast, with their sketches, up to this number (16 MB).
 FEW_PAIRS = 1 << 16
 #: Components of a bucket, after its largest, that are looked at in one level.
-NEXT = 8
+NEXT = 4
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
