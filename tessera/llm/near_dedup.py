@@ -11,8 +11,10 @@ bucket. Inside a bucket candidates are stars, which keeps the pairs linear in
 the bucket: first every document meets one hub, the smallest id of its buckets;
 then, in buckets that still hold several components, the documents outside of
 the largest one meet three hubs of it and one of each of the next four; what is
-in none of these goes on as a smaller bucket, until a level finds no link. Pairs pass a length filter and
-an estimate from 8-bit bins that is five standard deviations below the
+in none of these goes on as a smaller bucket, until a level finds no link. This
+only merges groups early. Documents of buckets that still hold several components
+are then settled by an exact prefix join on their full sets. Pairs pass a length
+filter and an estimate from 8-bit bins that is five standard deviations below the
 threshold, then are confirmed on the full sets.
 """
 from collections.abc import Iterator
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, join_groups
+from . import arrays
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -35,6 +38,8 @@ FEW_IDS = 1 << 20
 FEW_PAIRS = 1 << 16
 #: Components of a bucket, after its largest, that are looked at in one level.
 NEXT = 4
+#: Slots that shingles of open documents are counted in, to order them by rarity.
+SLOTS, SLOT_BLOCK = 1 << 21, 1 << 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -232,6 +237,14 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
             break
         state = rest.where(~F.array_contains(F.transform("next", lambda m: m["label"]), F.col("label"))).select("bucket", "doc_id", "label")
 
+    # What the levels leave in open buckets is settled on the full sets.
+    last = _open_pairs(scratch, docs, reps, known, width, percent)
+    if last is not None and last[0].n_rows:
+        near = scratch.keep(_likely(last[0], reps, percent, bands * rows), "pairs")
+        more = scratch.keep(_confirmed(near, last[1], percent), "links")
+        if more.n_rows:
+            known = components(scratch, links.unionByName(more))
+
     top = known.select(F.col("node").alias("rep"), "label")
     classed = classes.join(top, "rep", "left").select("set_key", "n_rows", F.coalesce("label", "rep").alias("component_id"))
     inside = join_groups(part.select("doc_id", "n_shingles", "set_key"), scratch.keep(classed, "classed"), "set_key", "n_rows").select("doc_id", "n_shingles", "component_id")
@@ -240,6 +253,61 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _open_pairs(scratch: Scratch, docs: DataFrame, reps: DataFrame, known: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs (a, b) of documents in open buckets and different components that
+    can reach the threshold, and the sets of these documents.
+
+    Shingles are ordered by rarity. A pair that reaches the threshold has its
+    rarest common shingle within the first n - ceil(p n) + 1 of the larger set
+    and the first m - ceil(2 p m / (1 + p)) + 1 of the smaller one. Of two
+    components in a bucket one isn't its largest, so one side is ``out``."""
+    label = _few(known).withColumnsRenamed({"node": "doc_id"})
+    state = reps.select("doc_id", "keys").join(label, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.explode("keys").alias("bucket"))
+    parts = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    opened = parts.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("main")).where("parts > 1")
+    opened = scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main")), "open")
+    if not opened.n_rows:
+        return None
+    members = join_groups(state, opened, "bucket", "n_rows").groupBy("doc_id", "label").agg(F.max(F.col("label") != F.col("main")).alias("out"))
+    members = scratch.keep(members, "members")
+    sets = _sets(scratch, docs, members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")), width)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("set"):
+                np.add.at(out, np.frombuffer(x.as_py(), np.uint64) % np.uint64(SLOTS), 1)
+        yield arrays.blocks_of(np.minimum(out, 65535).astype(np.uint16), SLOT_BLOCK)
+
+    counts = arrays.total(sets.select("set").mapInArrow(count, arrays.SCHEMA), np.uint16, SLOTS, SLOT_BLOCK)
+    shared = scratch.spark.sparkContext.broadcast(counts.astype(np.int32))
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("set"), strict=True):
+                s = np.frombuffer(x.as_py(), np.uint64)
+                n, often = len(s), shared.value[s % np.uint64(SLOTS)]
+                by = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
+                # A shingle of one document only can't be shared.
+                at = np.flatnonzero(often[by] > 1)
+                m = len(at)
+                held.append((s[by[at]].view(np.int64), np.full(m, doc, np.int64), np.full(m, n, np.int32), at.astype(np.int32), at < n - -(-2 * percent * n // (100 + percent)) + 1))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["sh", "doc_id", "n", "at", "first"])
+
+    posts = sets.mapInArrow(prefix, "sh long, doc_id long, n int, at int, first boolean").join(_few(members), "doc_id")
+    posts = scratch.keep(posts.select("sh", "doc_id", "label", "out", "n", "at", "first"), "prefixes")
+    x, y = posts.alias("x"), posts.where("first").alias("y")
+    near = F.expr(
+        f"(y.n < x.n OR y.n = x.n AND y.doc_id < x.doc_id) AND x.label <> y.label AND 100 * y.n >= {percent} * x.n"
+        f" AND {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)"
+    )
+    same = F.expr("x.sh = y.sh")
+    both = [p.join(q, same & near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")) for p, q in ((x.where("x.out"), y), (x.where("NOT x.out"), y.where("y.out")))]
+    return scratch.keep(both[0].unionByName(both[1]).distinct(), "pairs"), sets
+
+
 def _hub(mask: int):
     return F.min(F.col("doc_id").bitwiseXOR(F.lit(mask))).bitwiseXOR(F.lit(mask))
 

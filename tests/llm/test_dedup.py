@@ -98,6 +98,28 @@ def test_a_chain_in_one_bucket_is_one_component(spark):
     assert near == 41 and {r["component_id"] for r in got} == {0}
 
 
+def test_pairs_inside_a_crowded_bucket_are_found(spark):
+    """Texts that share a template at similarity 0.79, among them pairs of near copies."""
+    rng = random.Random(6)
+    base, texts = [f"b{i}" for i in range(200)], []
+    for i in range(600):
+        own = [f"o{i}_{j}" for j in range(27)]
+        texts.append(" ".join(base + own))
+        if i % 50 == 0:
+            texts.append(" ".join(base + own[:2] + [f"p{i}_{j}" for j in range(25)]))
+    rng.shuffle(texts)
+    sets = [shingle_set(t, 2) for t in texts]
+    want = {i: i for i in range(len(texts))}
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        share = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        assert share >= 0.8 or 0.76 <= share < 0.79
+        if share >= 0.8:
+            want[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(df, 2).collect()}
+    assert got == want and len(set(want.values())) == 600
+
+
 def test_near_oddities(odd):
     got = near_dedup.near_dedup(odd, 2).collect()
     by_id = {r["doc_id"]: r for r in got}
