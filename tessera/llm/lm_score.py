@@ -8,8 +8,10 @@ positive rate. The model interpolates the bigram estimate with an add-one-half
 unigram estimate.
 
 Counting is a scan with partial counts per task and one shuffle. The filter has
-ENTRY_BITS for each entry, at most MOST_BITS: beyond that it stays at that size
-and false positives become more frequent. Exact unigram counts, which the base
+ENTRY_BITS for each entry, whatever their number. Up to MOST_BITS are broadcast
+at once; a larger filter is a written table whose ranges of segments are
+broadcast one after the other, and each pass over the texts looks up the n-grams
+of its range, so that false positives don't grow with the input. Exact unigram counts, which the base
 score needs, are broadcast up to MOST_WORDS words and joined beyond that.
 """
 import math
@@ -25,7 +27,7 @@ from ..runtime import Scratch
 
 ENTRY_BITS, PROBES = 10, 4
 SEGMENT = 1 << 20
-#: Bounds of what is broadcast: bits of the filter, words with exact counts.
+#: Bounds of what is broadcast at once: bits of the filter, words with exact counts.
 MOST_BITS, MOST_WORDS = 1 << 31, 1 << 23
 #: Weight of the bigram estimate.
 BIGRAM = 0.7
@@ -103,10 +105,12 @@ def ngram_counts(train: DataFrame, shards: int) -> DataFrame:
 
 
 class LogFilter:
-    """The filter as packed segments; an n-gram's probes stay in one segment."""
+    """The filter as packed segments, or those from ``first`` on of ``count``;
+    an n-gram's probes stay in one segment."""
 
-    def __init__(self, segments: np.ndarray):
-        self.segments = segments  # (count, SEGMENT // 8) bytes
+    def __init__(self, segments: np.ndarray, first: int = 0, count: int | None = None):
+        self.segments = segments  # (held, SEGMENT // 8) bytes
+        self.first, self.count = first, count or len(segments)
 
     @staticmethod
     def segment(h: np.ndarray, count: int) -> np.ndarray:
@@ -121,10 +125,11 @@ class LogFilter:
             x = x + step
 
     def levels(self, h: np.ndarray, order: int) -> np.ndarray:
-        """The level of each n-gram, 0 for one that isn't there."""
+        """The level of each n-gram, 0 for one that isn't there or whose segment isn't held."""
         out = np.zeros(len(h), np.int32)
-        flat, base = self.segments.reshape(-1), self.segment(h, len(self.segments)) * (SEGMENT // 8)
-        alive, level = np.arange(len(h)), 1
+        own = self.segment(h, self.count) - self.first
+        flat, base = self.segments.reshape(-1), own * (SEGMENT // 8)
+        alive, level = np.flatnonzero((own >= 0) & (own < len(self.segments))), 1
         while len(alive) and level < 64:
             at, keep = base[alive], np.ones(len(alive), bool)
             for spot in self.spots(h[alive], order, level):
@@ -140,8 +145,24 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (3 * np.exp2(level - 1.0) - 1) / 2, 0.0)
 
 
+def n_segments(entries: int) -> int:
+    return max(1, -(-entries * ENTRY_BITS // SEGMENT))
+
+
 def build_filter(counts: DataFrame, entries: int) -> LogFilter:
-    n = max(1, -(-min(MOST_BITS, entries * ENTRY_BITS) // SEGMENT))
+    n = n_segments(entries)
+    return _held(filter_table(counts, n), 0, n, n)
+
+
+def _held(table: DataFrame, first: int, end: int, count: int) -> LogFilter:
+    out = np.zeros((end - first, SEGMENT // 8), np.uint8)
+    for r in table.toLocalIterator():
+        out[r["segment"] - first] = np.frombuffer(r["bits"], np.uint8)
+    return LogFilter(out, first, count)
+
+
+def filter_table(counts: DataFrame, n: int) -> DataFrame:
+    """(segment, bits) of a filter of n segments, without empty ones."""
 
     def enter(found: dict[int, np.ndarray], h: np.ndarray, order: np.ndarray, count: np.ndarray) -> None:
         top, where = np.frexp(count.astype(np.float64))[1], LogFilter.segment(h, n)
@@ -174,10 +195,7 @@ def build_filter(counts: DataFrame, entries: int) -> LogFilter:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([b.tobytes() for b in found.values()], pa.binary())], ["segment", "bits"])
 
     kind = "segment int, bits binary"
-    out = np.zeros((n, SEGMENT // 8), np.uint8)
-    for r in counts.mapInArrow(fill, kind).repartition("segment").mapInArrow(merge, kind).toLocalIterator():
-        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return LogFilter(out)
+    return counts.mapInArrow(fill, kind).repartition("segment").mapInArrow(merge, kind)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -229,12 +247,16 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     level = F.length(F.bin("n"))
     told = counts.agg(F.sum(F.when(one, F.col("n"))).alias("n"), F.count(F.when(one, 1)).alias("v"), F.sum(level).alias("entries")).first()
     n, v = told["n"] or 0, told["v"]
-    model = build_filter(counts, told["entries"] or 0)
-    exact = v <= most_words
-    shared = spark.sparkContext.broadcast((model.segments, *(_word_table(counts) if exact else (None, None))))
+    exact, size = v <= most_words, n_segments(told["entries"] or 0)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    asked, several = docs.select("doc_id", "text"), size * SEGMENT > max(MOST_BITS, SEGMENT)
+    if several:
+        asked, segments = _looked_up(scratch, asked, scratch.keep(filter_table(counts, size), "filter"), size), None
+    else:
+        segments = build_filter(counts, told["entries"] or 0).segments
+    shared = spark.sparkContext.broadcast((segments, *(_word_table(counts) if exact else (None, None))))
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    found = docs.select("doc_id", "text").mapInArrow(_scorer(shared, n, v, names), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, text_key binary")
+    found = asked.mapInArrow(_scorer(shared, n, v, names), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, text_key binary")
     if exact:
         return found.drop("text_key")
     base = _joined_base(docs, counts, n, v)
@@ -242,10 +264,43 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     return found.drop("n_known", "base_score").join(base, same).select(*names)
 
 
+def _looked_up(scratch: Scratch, docs: DataFrame, table: DataFrame, count: int) -> DataFrame:
+    """docs (doc_id, text) with the levels of each token's unigram and bigram, a
+    byte each, from passes of at most MOST_BITS of the filter."""
+    step = max(1, MOST_BITS // SEGMENT)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, one binary, two binary"
+    for first in range(0, count, step):
+        end = min(count, first + step)
+        model = _held(table.where((F.col("segment") >= first) & (F.col("segment") < end)), first, end, count)
+        shared = scratch.spark.sparkContext.broadcast(model.segments)
+
+        def run(batches: Iterator[pa.RecordBatch], first=first, shared=shared) -> Iterator[pa.RecordBatch]:
+            model, memo = LogFilter(shared.value, first, count), WordHashes()
+            for rows, h, starts in _texts(batches, memo):
+                own, back = np.unique(h, return_inverse=True)
+                found = [model.levels(own, 1)[back].astype(np.uint8), model.levels(pairs(h, starts)[1], 2).astype(np.uint8)]
+                if "one" in rows.schema.names:
+                    found = [x | y for x, y in zip(found, _told(rows), strict=True)]
+                cuts = [*starts.tolist(), len(h)]
+                parts = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in found]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), *parts], ["doc_id", "text", "one", "two"])
+
+        known = scratch.keep(docs.mapInArrow(run, schema), "levels")
+        shared.unpersist()
+        if first:
+            scratch.drop(docs)
+        docs = known
+    return docs
+
+
+def _told(rows: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8) for c in ("one", "two")]
+
+
 def _scorer(shared, n: int, v: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments, words, word_n = shared.value
-        model, memo, total = LogFilter(segments), WordHashes(), n + 0.5 * (v + 1)
+        model, memo, total = None if segments is None else LogFilter(segments), WordHashes(), n + 0.5 * (v + 1)
         for rows, h, starts in _texts(batches, memo):
             own, back = np.unique(h, return_inverse=True)
             c = np.zeros(len(own))
@@ -255,9 +310,14 @@ def _scorer(shared, n: int, v: int, names: list[str]):
             ends = np.diff(np.append(starts, len(h)))
             base = np.add.reduceat(np.log10((c + 0.5) / total)[back], starts)
             known = np.add.reduceat((c > 0)[back].astype(np.int64), starts)
-            single = count_of(model.levels(own, 1))
-            _, two = pairs(h, starts)
-            together = count_of(model.levels(two, 2))
+            if model is None:
+                one, two = _told(rows)
+                single = np.zeros(len(own))
+                single[back] = count_of(one.astype(np.int32))
+                together = count_of(two.astype(np.int32))
+            else:
+                single = count_of(model.levels(own, 1))
+                together = count_of(model.levels(pairs(h, starts)[1], 2))
             alone = (single + 0.5) / total
             # What comes before: the token before, or at a start the end of another text.
             before = np.empty(len(h))

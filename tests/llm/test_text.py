@@ -140,6 +140,21 @@ def test_base_scores(spark, most_words):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3] and abs(r["base_score"] - w[3]) < 1e-6 and r["score"] < 0
 
 
+@pytest.mark.parametrize("most_words", [lm_score.MOST_WORDS, 0])
+def test_scores_do_not_depend_on_what_is_broadcast_at_once(spark, monkeypatch, most_words):
+    rng = random.Random(7)
+    rows = [(i, None if i % 97 == 0 else " ".join(f"w{rng.randrange(5000)}" for _ in range(80))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    want = {r["doc_id"]: r for r in lm_score.scores(df, learn, most_words=most_words).collect()}
+    monkeypatch.setattr(lm_score, "MOST_BITS", lm_score.SEGMENT)
+    got = {r["doc_id"]: r for r in lm_score.scores(df, learn, most_words=most_words).collect()}
+    assert len(got) == 4000 and got.keys() == want.keys()
+    for k, r in got.items():
+        assert r["n_tokens"] == want[k]["n_tokens"] and r["n_known"] == want[k]["n_known"]
+        assert abs(r["score"] - want[k]["score"]) < 1e-9 and abs(r["base_score"] - want[k]["base_score"]) < 1e-9
+
+
 def test_log_filter_reads_counts_back(spark):
     rng = np.random.default_rng(3)
     h, n = rng.integers(0, 2**63, 3000, dtype=np.uint64), 2 ** rng.integers(0, 12, 3000)
