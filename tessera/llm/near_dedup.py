@@ -7,72 +7,69 @@ order of its own. Bands of ROWS bins are bucket keys: at similarity 0.8 a pair
 misses all 32 bands with probability 3e-6.
 
 Documents with the same set are one class, so that copies never meet in a
-bucket. Inside a bucket candidates are stars, which keeps the pairs linear in
-the bucket: first every document meets one hub, the smallest id of its buckets;
-then, in buckets that still hold several components, the documents outside of
-the largest one meet three hubs of it and one of each of the next four; what is
-in none of these goes on as a smaller bucket, until a level finds no link. This
-only merges groups early. Documents of buckets that still hold several components
-are then settled by an exact prefix join on their full sets. Pairs pass a length
-filter and an estimate from 8-bit bins that is five standard deviations below the
-threshold, then are confirmed on the full sets.
+bucket. Candidates are stars, a bounded number for each document: first every
+document meets the hub (smallest id) that it shares the most buckets with; then,
+LEVELS times, a document outside of the largest component of some of its buckets
+meets the MEET hubs of such components that it shares the most buckets with. This
+merges most groups with few pairs, but decides nothing: documents of buckets that
+still hold several components are settled by an exact prefix join on their full
+sets, so no link inside a bucket is lost. Star pairs pass a length filter and, for
+sets larger than the sketch, an estimate from 8-bit bins that is five standard
+deviations below the threshold; all pairs are confirmed on the full sets.
 """
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, join_groups
-from . import arrays
+from . import arrays, words
 from .components import components
+from .words import mix
 
 BANDS, ROWS = 32, 5
+#: Rounds of stars after the first, and hubs that a document meets in each. More of
+#: them only save work: what they leave open is settled exactly.
+LEVELS, MEET = 1, 3
 #: Fixed random masks that choose the hubs of a component; 0 chooses the smallest id.
 MASKS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 #: Ids are broadcast up to this number (16 MB).
 FEW_IDS = 1 << 20
 #: Pairs are broadcast, with their sketches, up to this number (16 MB).
 FEW_PAIRS = 1 << 16
-#: Components of a bucket, after its largest, that are looked at in one level.
-NEXT = 4
 #: Slots that shingles of open documents are counted in, to order them by rarity.
 SLOTS, SLOT_BLOCK = 1 << 21, 1 << 16
+#: Bytes of text whose words are hashed at once.
+TEXT_BYTES = 1 << 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads them evenly."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-class WordHashes(dict):
-    """Hashes of words, the frequent ones remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 17:
-            self[word] = h
-        return h
-
-
-def shingles(text: str | None, width: int, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a whole text: A-Z in lower
-    case, words between ASCII white space; with fewer words than width the whole
-    sequence is one shingle, without words there is none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    k = min(width, len(words))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        out = out * _MULT + h[j : len(h) - k + 1 + j]
-    return np.unique(_mix(out))
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each whole text the sorted distinct hashes of its word shingles: A-Z in
+    lower case, words between ASCII white space; with fewer words than width the
+    whole sequence is one shingle, without words there is none."""
+    for _, some in words.parts(texts, TEXT_BYTES):
+        h, n = words.counted(some)
+        full = np.full(max(0, len(h) - width + 1), width, np.uint64)
+        for j in range(width):
+            full = full * _MULT + h[j : len(h) - width + 1 + j]
+        full = mix(full)
+        at = 0
+        for k in n.tolist():
+            if k >= width:
+                yield np.unique(full[at : at + k - width + 1])
+            elif k:
+                one = np.uint64(k)
+                with np.errstate(over="ignore"):
+                    for x in h[at : at + k]:
+                        one = one * _MULT + x
+                yield mix(np.array([one]))
+            else:
+                yield np.empty(0, np.uint64)
+            at += k
 
 
 class Sketcher:
@@ -95,25 +92,25 @@ class Sketcher:
         return sig
 
     def keys(self, sig: np.ndarray) -> np.ndarray:
-        mixed = _mix(sig.reshape(self.bands, self.rows) * self.odd).sum(axis=1, dtype=np.uint64)
-        return _mix(mixed + np.arange(self.bands, dtype=np.uint64) * _MULT).view(np.int64)
+        mixed = mix(sig.reshape(self.bands, self.rows) * self.odd).sum(axis=1, dtype=np.uint64)
+        return mix(mixed + np.arange(self.bands, dtype=np.uint64) * _MULT).view(np.int64)
 
 
 def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, keys, bytes) of docs (doc_id, text)."""
+    """(doc_id, n_shingles, set_key, keys, low) of docs (doc_id, text): the set's
+    digest, its bucket keys, and 8 bits of each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, memo = Sketcher(bands, rows), WordHashes()
+        maker = Sketcher(bands, rows)
         for batch in batches:
             n, key, keys, low = [], [], [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py(), width, memo)
+            for s in shingle_sets(batch.column("text"), width):
                 n.append(len(s))
                 if len(s):
                     sig = maker.signature(s)
                     key.append(xxhash.xxh3_128_digest(s.tobytes()))
                     keys.append(maker.keys(sig))
-                    low.append((_mix(sig) & np.uint64(255)).astype(np.uint8).tobytes())
+                    low.append((mix(sig) & np.uint64(255)).astype(np.uint8).tobytes())
                 else:
                     key.append(None)
                     keys.append(None)
@@ -123,33 +120,33 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>, low binary")
 
 
-def _sets(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, set) for the documents in pairs; a doc_id that repeats has the
-    set of one of its rows."""
+def _few(df: DataFrame, most: int = FEW_IDS) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.n_rows <= most else df
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            sets = [shingles(t.as_py(), width, memo).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
-    ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    # The texts stay where they are if the ids are few; else both are shuffled.
-    sets = docs.join(_few(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
-    return scratch.keep(sets.dropDuplicates(["doc_id"]), "sets")
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, set) for a written table of (doc_id, set_key), from the rows that
+    have both. The texts stay where they are if the ids are few."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x.tobytes() for x in shingle_sets(batch.column("text"), width)]
+            own = [xxhash.xxh3_128_digest(x) == key for x, key in zip(sets, batch.column("set_key").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"]).filter(pa.array(own, pa.bool_()))
 
-def _few(df: DataFrame, most: int = FEW_IDS) -> DataFrame:
-    """A written table, to be broadcast if it is small."""
-    return F.broadcast(df) if df.n_rows <= most else df
+    asked = docs.join(_few(ids), "doc_id").select("doc_id", "text", "set_key")
+    return asked.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
-def _likely(pairs: DataFrame, marks: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Pairs (a, b) that can reach the threshold by length and by 8-bit bins."""
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, bins: int) -> DataFrame:
+    """Pairs (a, b) that can reach the threshold by length and, for sets of at
+    least as many shingles as bins, by 8-bit bins. (The bins of smaller sets
+    depend on each other, so they tell too little.)"""
     p = percent / 100
     least = bins * max(0.0, p - 5 * (p * (1 - p) / bins) ** 0.5)
-    a = marks.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("low").alias("la"))
-    b = marks.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("low").alias("lb"))
+    a = nodes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("low").alias("la"))
+    b = nodes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("low").alias("lb"))
     first = _few(pairs, FEW_PAIRS).join(a, "a")
     first = F.broadcast(first) if pairs.n_rows <= FEW_PAIRS else first
     near = first.join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -158,12 +155,15 @@ def _likely(pairs: DataFrame, marks: DataFrame, percent: int, bins: int) -> Data
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("la", "lb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+                small = batch.column("n").to_numpy() < bins
+                yield batch.select(["a", "b"]).filter(pa.array(small | ((x == y).sum(axis=1) >= least)))
 
-    return near.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long").distinct()
+    return near.select("a", "b", F.least("na", "nb").alias("n"), "la", "lb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, that reach the threshold on full sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -173,8 +173,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    few = _few(pairs)
+    ids = F.broadcast(pairs.select("b").distinct()) if pairs.n_rows <= FEW_IDS else pairs.select("b").distinct()
+    # Where the pairs are few, only sets that are asked for are shuffled.
+    left, right = sets.toDF("a", "sa").join(few, "a"), sets.toDF("b", "sb").join(ids, "b", "left_semi")
+    return left.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -183,94 +186,99 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     component_id is the smallest doc_id reachable over links of at least
     ``percent`` per cent Jaccard similarity. Null and empty texts have no
     shingles and are linked with nothing. Rows with a null doc_id take no part:
-    their component_id is null and they are kept. Rows that share a doc_id and a
-    set are classed alike. Other columns aren't looked at; an empty table gives
-    no rows."""
+    their component_id is null and they are kept. Rows that repeat entirely are
+    classed alike. Rows that share a doc_id but not a text are one document to
+    their copies, and their links are those of the set with the least digest.
+    Other columns aren't looked at; an empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = scratch.keep(sketches(docs, width, bands, rows), "sketches")
     part = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(part.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows")), "classes")
-    reps = part.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.keep(reps, "representatives")
+    first = F.min(F.struct("doc_id", "n_shingles", "keys", "low")).alias("first")
+    classes = scratch.keep(part.groupBy("set_key").agg(first, F.count(F.lit(1)).alias("n_rows")).select("set_key", "n_rows", "first.*"), "classes")
+    again = scratch.keep(classes.groupBy("doc_id").agg(F.min("set_key").alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "own"), "again")
+    nodes = classes if not again.n_rows else classes.join(_few(again), "doc_id", "left").where("own IS NULL OR own = set_key").drop("own")
 
     # Most buckets hold one document; these are gone before hubs are looked for.
-    slim = reps.select("doc_id", F.explode("keys").alias("bucket"))
+    slim = nodes.select("doc_id", F.explode("keys").alias("bucket"))
     multi = slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("hub")).where("n_rows > 1")
-    members = join_groups(slim, scratch.keep(multi, "buckets"), "bucket", "n_rows", F.col("doc_id") != F.col("hub"))
-    # First one pair for each document, with its smallest hub, which joins most groups.
-    stars = members.groupBy(F.col("doc_id").alias("a")).agg(F.min("hub").alias("b"))
-    pairs = scratch.keep(_likely(scratch.keep(stars, "stars"), reps, percent, bands * rows), "pairs")
-    links = scratch.keep(_confirmed(pairs, _sets(scratch, docs, pairs, width), percent), "links")
-    known = components(scratch, links)
-
-    # Then, level by level, who isn't in a bucket's largest component meets hubs
-    # of that component, and these documents go on as a smaller bucket.
-    label = _few(known).withColumnsRenamed({"node": "doc_id"})
-    state = reps.select("doc_id", "keys").join(label, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.explode("keys").alias("bucket"))
-    while True:
-        parts = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), *[_hub(m).alias(f"hub{i}") for i, m in enumerate(MASKS)])
-        hubs = [f"hub{i}" for i in range(len(MASKS))]
-        opened = parts.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label", *hubs)).alias("main")).where("parts > 1")
-        opened = scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main"), *[F.col(f"main.{h}").alias(h) for h in hubs]), "open")
-        if not opened.n_rows:
+    multi = scratch.keep(multi, "buckets")
+    members = scratch.keep(join_groups(slim, multi, "bucket", "n_rows").select("bucket", "doc_id", "hub"), "members")
+    ids = scratch.keep(members.select("doc_id").distinct().join(nodes.select("doc_id", "set_key"), "doc_id"), "ids")
+    sets = scratch.keep(_sets(docs, ids, width), "sets")
+
+    links, known = None, None
+    for level in range(LEVELS + 1):
+        if level:
+            opened = _opened(scratch, members, known, MASKS[level % len(MASKS)])
+            rest = join_groups(_labelled(members, known), opened, "bucket", "n_rows", F.col("label") != F.col("main"))
+        else:
+            rest = members.where("doc_id <> hub")
+        stars = scratch.keep(_stars(rest, MEET if level else 1), "stars")
+        if not stars.n_rows:
             break
-        rest = join_groups(state.select("bucket", "doc_id", "label"), opened, "bucket", "n_rows", F.col("label") != F.col("main"))
-        rest = scratch.keep(rest.select("bucket", "doc_id", "label", *hubs), "outside")
-        stars = rest.select(F.col("doc_id").alias("a"), F.explode(F.array(*hubs)).alias("b"))
-        # The next largest components of the bucket have a hub each.
-        own = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub"))
-        own = own.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "label"))).where(F.col("rank") <= NEXT)
-        own = scratch.keep(own.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.collect_list(F.struct("label", "hub")).alias("next")), "next")
-        rest = join_groups(rest.select("bucket", "doc_id", "label"), own, "bucket", "n_rows")
-        others = F.filter("next", lambda m: m["label"] != F.col("label"))
-        stars = stars.unionByName(rest.select(F.col("doc_id").alias("a"), F.explode(F.transform(others, lambda m: m["hub"])).alias("b"))).distinct()
-        stars = scratch.keep(_apart(stars, known).join(_few(pairs), ["a", "b"], "left_anti"), "stars")
-        fresh = scratch.keep(_likely(stars, reps, percent, bands * rows), "pairs")
-        more = scratch.keep(_confirmed(fresh, _sets(scratch, docs, fresh, width), percent), "links") if fresh.n_rows else None
-        found = more is not None and more.n_rows > 0
-        if found:
-            links = scratch.keep(links.unionByName(more), "links")
+        pairs = scratch.keep(_likely(stars, nodes, percent, bands * rows), "pairs")
+        found = scratch.keep(_confirmed(pairs, sets, percent), "links")
+        links = found if links is None else scratch.keep(links.unionByName(found), "links")
+        if known is None or found.n_rows:
             known = components(scratch, links)
-            pairs = scratch.keep(pairs.unionByName(fresh), "pairs")
-        if not found:
-            break
-        state = rest.where(~F.array_contains(F.transform("next", lambda m: m["label"]), F.col("label"))).select("bucket", "doc_id", "label")
-
-    # What the levels leave in open buckets is settled on the full sets.
-    last = _open_pairs(scratch, docs, reps, known, width, percent)
-    if last is not None and last[0].n_rows:
-        near = scratch.keep(_likely(last[0], reps, percent, bands * rows), "pairs")
-        more = scratch.keep(_confirmed(near, last[1], percent), "links")
-        if more.n_rows:
-            known = components(scratch, links.unionByName(more))
-
-    top = known.select(F.col("node").alias("rep"), "label")
-    classed = classes.join(top, "rep", "left").select("set_key", "n_rows", F.coalesce("label", "rep").alias("component_id"))
+        scratch.release()
+    if known is not None:
+        # What is left in open buckets is settled on the full sets.
+        pairs = _open_pairs(scratch, members, sets, known, percent)
+        if pairs is not None and pairs.n_rows:
+            found = scratch.keep(_confirmed(pairs, sets, percent), "links")
+            if found.n_rows:
+                known = components(scratch, links.unionByName(found))
+        scratch.release()
+
+    top = (members.select(F.col("doc_id"), F.col("hub").alias("label")).limit(0) if known is None else known.toDF("doc_id", "label"))
+    classed = classes.select("set_key", "n_rows", "doc_id").join(top, "doc_id", "left").select("set_key", "n_rows", F.coalesce("label", "doc_id").alias("component_id"))
     inside = join_groups(part.select("doc_id", "n_shingles", "set_key"), scratch.keep(classed, "classed"), "set_key", "n_rows").select("doc_id", "n_shingles", "component_id")
     outside = marks.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = inside.unionByName(outside)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _open_pairs(scratch: Scratch, docs: DataFrame, reps: DataFrame, known: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame] | None:
+def _stars(rest: DataFrame, meet: int) -> DataFrame:
+    """Pairs (a, b) of a document and the hubs, at most ``meet``, that it shares
+    the most buckets with. A document has one hub in a bucket, so its list is
+    bounded by the number of bands."""
+    each = rest.groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "hub"))), 1, meet)
+    return each.groupBy("doc_id").agg(best.alias("hubs")).select(F.col("doc_id").alias("a"), F.explode("hubs.hub").alias("b"))
+
+
+def _labelled(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members (bucket, doc_id) with the label of each document's component."""
+    label = _few(known).withColumnsRenamed({"node": "doc_id"})
+    return members.join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+
+
+def _opened(scratch: Scratch, members: DataFrame, known: DataFrame, mask: int) -> DataFrame:
+    """(bucket, n_rows, main, hub): the buckets that hold several components, the
+    label of the largest and its hub. Partial sums by task come before the shuffles."""
+    hub = F.min(F.col("doc_id").bitwiseXOR(F.lit(mask))).bitwiseXOR(F.lit(mask)).alias("hub")
+    parts = _labelled(members, known).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), hub)
+    main = F.max(F.struct("n", "label", "hub")).alias("main")
+    opened = parts.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), main).where("parts > 1")
+    return scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main"), F.col("main.hub").alias("hub")), "open")
+
+
+def _open_pairs(scratch: Scratch, members: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
     """Pairs (a, b) of documents in open buckets and different components that
-    can reach the threshold, and the sets of these documents.
+    can reach the threshold.
 
     Shingles are ordered by rarity. A pair that reaches the threshold has its
     rarest common shingle within the first n - ceil(p n) + 1 of the larger set
     and the first m - ceil(2 p m / (1 + p)) + 1 of the smaller one. Of two
     components in a bucket one isn't its largest, so one side is ``out``."""
-    label = _few(known).withColumnsRenamed({"node": "doc_id"})
-    state = reps.select("doc_id", "keys").join(label, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.explode("keys").alias("bucket"))
-    parts = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    opened = parts.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("main")).where("parts > 1")
-    opened = scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main")), "open")
+    opened = _opened(scratch, members, known, 0)
     if not opened.n_rows:
         return None
-    members = join_groups(state, opened, "bucket", "n_rows").groupBy("doc_id", "label").agg(F.max(F.col("label") != F.col("main")).alias("out"))
-    members = scratch.keep(members, "members")
-    sets = _sets(scratch, docs, members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")), width)
+    own = join_groups(_labelled(members, known), opened, "bucket", "n_rows").groupBy("doc_id", "label").agg(F.max(F.col("label") != F.col("main")).alias("out"))
+    own = scratch.keep(own, "own")
+    sets = sets.join(_few(own), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(SLOTS, np.int64)
@@ -285,19 +293,18 @@ def _open_pairs(scratch: Scratch, docs: DataFrame, reps: DataFrame, known: DataF
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
-            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("set"), strict=True):
+            for doc, label, out, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "out")), batch.column("set"), strict=True):
                 s = np.frombuffer(x.as_py(), np.uint64)
                 n, often = len(s), shared.value[s % np.uint64(SLOTS)]
                 by = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
                 # A shingle of one document only can't be shared.
                 at = np.flatnonzero(often[by] > 1)
                 m = len(at)
-                held.append((s[by[at]].view(np.int64), np.full(m, doc, np.int64), np.full(m, n, np.int32), at.astype(np.int32), at < n - -(-2 * percent * n // (100 + percent)) + 1))
+                held.append((s[by[at]].view(np.int64), np.full(m, doc, np.int64), np.full(m, label, np.int64), np.full(m, out), np.full(m, n, np.int32), at.astype(np.int32), at < n - -(-2 * percent * n // (100 + percent)) + 1))
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["sh", "doc_id", "n", "at", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["sh", "doc_id", "label", "out", "n", "at", "first"])
 
-    posts = sets.mapInArrow(prefix, "sh long, doc_id long, n int, at int, first boolean").join(_few(members), "doc_id")
-    posts = scratch.keep(posts.select("sh", "doc_id", "label", "out", "n", "at", "first"), "prefixes")
+    posts = scratch.keep(sets.mapInArrow(prefix, "sh long, doc_id long, label long, out boolean, n int, at int, first boolean"), "prefixes")
     x, y = posts.alias("x"), posts.where("first").alias("y")
     near = F.expr(
         f"(y.n < x.n OR y.n = x.n AND y.doc_id < x.doc_id) AND x.label <> y.label AND 100 * y.n >= {percent} * x.n"
@@ -305,19 +312,7 @@ def _open_pairs(scratch: Scratch, docs: DataFrame, reps: DataFrame, known: DataF
     )
     same = F.expr("x.sh = y.sh")
     both = [p.join(q, same & near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")) for p, q in ((x.where("x.out"), y), (x.where("NOT x.out"), y.where("y.out")))]
-    return scratch.keep(both[0].unionByName(both[1]).distinct(), "pairs"), sets
-
-
-def _hub(mask: int):
-    return F.min(F.col("doc_id").bitwiseXOR(F.lit(mask))).bitwiseXOR(F.lit(mask))
-
-
-def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    few = _few(known)
-    a, b = few.toDF("a", "ca"), few.toDF("b", "cb")
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return scratch.keep(both[0].unionByName(both[1]).distinct(), "pairs")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

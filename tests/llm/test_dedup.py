@@ -1,4 +1,5 @@
 """Exact, near and line dedup against brute force, and their edge cases."""
+import collections
 import itertools
 import random
 
@@ -120,6 +121,33 @@ def test_pairs_inside_a_crowded_bucket_are_found(spark):
     assert got == want and len(set(want.values())) == 600
 
 
+@pytest.mark.parametrize("n, pairs", [(302, [(150, 151)]), (2000, [(3, 900), (700, 1200), (1201, 1202), (1990, 1999)])])
+def test_links_between_middle_ids_of_a_family_are_found(spark, n, pairs):
+    """Documents with 100 common two-word shingles and 17 of their own, which are not
+    linked, but for pairs with fewer of their own."""
+    common, few = " ".join(f"b{i}" for i in range(101)), {i for p in pairs for i in p}
+    docs = [(i, " ".join([common, *(f"o{i}_{j}" for j in range(11 if i in few else 17))])) for i in range(n)]
+    want = {i: i for i in range(n)}
+    sets = {i: shingle_set(dict(docs)[i], 2) for i in few}
+    for a, b in itertools.combinations(sorted(few), 2):
+        share = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        assert share >= 0.8
+        want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(df, 2).collect()}
+    assert got == want
+
+
+def test_small_sets_and_repeated_ids(spark):
+    """Sets of four and five shingles at similarity 0.8; a doc_id with two texts."""
+    rows = [(i, f"a{i // 2} b{i // 2} c{i // 2} d{i // 2} e{i // 2}" + (f" f{i // 2}" if i % 2 else "")) for i in range(200)]
+    rows += [(500, "one two three four"), (500, "five six seven eight"), (501, "one two three four"), (502, "five six seven eight")]
+    got = collections.defaultdict(set)
+    for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect():
+        got[r["doc_id"]].add(r["component_id"])
+    assert all(got[i] == {i - i % 2} for i in range(200)) and got[500] == got[501] == got[502] == {500}
+
+
 def test_near_oddities(odd):
     got = near_dedup.near_dedup(odd, 2).collect()
     by_id = {r["doc_id"]: r for r in got}
