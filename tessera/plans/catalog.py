@@ -72,12 +72,13 @@ def float_sample_filter(spark, d):
 
 @query(f"{EVP} SELECT event_id, ts, value FROM pg WHERE ts >= (SELECT min(ts) + (max(ts) - min(ts)) // 3 FROM ev) AND ts < (SELECT min(ts) + (max(ts) - min(ts)) // 2 FROM ev)")
 def page_pruned_range_scan(spark, d):
-    df = paged(events(spark, d))
-    pages = profile.min_max(df, "ts", "chunk_id", "page_id")
-    lo, hi = pages.agg(F.min("min_ord"), F.max("max_ord")).first()
+    """Rows of a range of timestamps: the sequence is stored in its order, so the
+    bounds prune the stored row groups by their statistics, and only columns that
+    are asked for are read."""
+    df = events(spark, d)
+    lo, hi = df.agg(F.min("ts"), F.max("ts")).first()
     lo, hi = (lo + (hi - lo) // 3, lo + (hi - lo) // 2) if lo is not None else (0, 0)
-    some = report.prune_pages(pages, lo, hi).select("chunk_id", "page_id")
-    return df.join(some, ["chunk_id", "page_id"], "left_semi").where((F.col("ts") >= lo) & (F.col("ts") < hi)).select("event_id", "ts", "value")
+    return df.where((F.col("ts") >= lo) & (F.col("ts") < hi)).select("event_id", "ts", "value")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000")
@@ -119,9 +120,9 @@ def hash_sample(spark, d):
     return profile.hash_sample(orders(spark, d)).select("o_orderkey", "pos")
 
 
-@query("WITH f AS (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100), n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM f) SELECT 0 AS chunk_id, pos, o_orderkey AS x FROM n UNION ALL SELECT 1, pos, o_custkey FROM n")
+@query(f"{OD} SELECT 0 AS chunk_id, pos, o_orderkey AS x FROM od UNION ALL SELECT 1, pos, o_custkey FROM od")
 def multi_chunk_concat(spark, d):
-    df = orders(spark, d).where("pos < 100")
+    df = orders(spark, d)
     a, b = (df.select(F.lit(i).alias("chunk_id"), "pos", F.col(c).alias("x")) for i, c in enumerate(("o_orderkey", "o_custkey")))
     return a.unionByName(b).orderBy("chunk_id", "pos")
 
@@ -212,13 +213,17 @@ def float_quant_join(spark, d):
     return df.select("c_custkey", numbers.float_quant_join(F.col("q"), F.col("r"), 20).alias("ord"))
 
 
-@query("SELECT c_custkey, CAST(round(c_acctbal) AS BIGINT) AS rank FROM customer WHERE abs(c_acctbal) >= 1")
+#: Integers up to 2**53 one by one, then every float; a negative one, -0.0 too, is one less.
+RANK = "CASE WHEN ({0}::BIT)::BIGINT >= 0 THEN {1} ELSE -1 - {1} END"
+SIZE = "(CASE WHEN abs({0}) < 9007199254740992 THEN CAST(abs({0}) AS BIGINT) ELSE (abs({0})::BIT)::BIGINT - (9007199254740992.0::DOUBLE::BIT)::BIGINT + 9007199254740992 END)"
+
+
+@query(f"WITH r AS (SELECT c_custkey, round(c_acctbal) + 0.0::DOUBLE AS x FROM customer), f AS (SELECT *, -x * 1152921504606846976.0::DOUBLE AS y FROM r) SELECT c_custkey, {RANK.format('x', SIZE.format('x'))} AS rank, {RANK.format('y', SIZE.format('y'))} AS far FROM f")
 def int_float_rank(spark, d):
-    df = table(spark, d, "customer", "c_custkey", "c_acctbal").where("abs(c_acctbal) >= 1")
-    # The rank of a negative integer is one less: -0.0 has a rank of its own.
-    rank = numbers.int_float_rank(F.round("c_acctbal"))
-    df = df.select("c_custkey", rank.alias("rank"))
-    return df.select("c_custkey", F.when(F.col("rank") < 0, F.col("rank") + 1).otherwise(F.col("rank")).alias("rank"))
+    """Ranks of whole balances, and of their negatives times 2**60."""
+    df = table(spark, d, "customer", "c_custkey", "c_acctbal").select("c_custkey", (F.round("c_acctbal") + F.lit(0.0)).alias("x"))
+    df = df.withColumn("y", -F.col("x") * F.lit(2.0**60))
+    return df.select("c_custkey", numbers.int_float_rank(F.col("x")).alias("rank"), numbers.int_float_rank(F.col("y")).alias("far"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, gcd(l_partkey, l_suppkey) AS g FROM lineitem")
@@ -356,7 +361,7 @@ def _delta_query(order: int):
     return lambda spark, d: delta.deltas(paged(events(spark, d)), "ts", order).select("event_id", "delta")
 
 
-for _k in (1, 2, 3):
+for _k in range(1, 8):
     query(_delta_sql(_k), f"delta_order{_k}")(_delta_query(_k))
 
 
@@ -443,7 +448,24 @@ def hist_ntile(spark, d):
     return _hist(spark, d)
 
 
-@query()
+# The histogram of equal-count bins that never split equal values, as a walk from
+# one bin's nominal end to the next over the runs of equal values.
+EXACT = f"""{EVP.replace("WITH", "WITH RECURSIVE", 1)}, o AS (SELECT chunk_id, {F64.format('value')} AS ord FROM pg WHERE value IS NOT NULL),
+s AS (SELECT chunk_id, ord, row_number() OVER (PARTITION BY chunk_id ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY chunk_id) AS n FROM o),
+r AS (SELECT chunk_id, ord, min(i) AS lo, max(i) + 1 AS hi, any_value(n) AS n FROM s GROUP BY chunk_id, ord),
+w(chunk_id, n, here, opened, free, ends) AS (SELECT chunk_id, any_value(n), 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM r GROUP BY chunk_id
+  UNION ALL SELECT chunk_id, n, hi, CASE WHEN ending THEN hi WHEN opening THEN l ELSE opened END, CASE WHEN ending THEN own + 1 WHEN opening THEN mid ELSE free END,
+    list_concat(ends, list_concat(CASE WHEN opening THEN [l] ELSE [] END, CASE WHEN ending THEN [hi] ELSE [] END))
+  FROM (SELECT *, hi >= ((own + 1) * n + 15) // 16 AS ending FROM (SELECT *, mid > free AND l > opened AS opening, CASE WHEN mid > free AND l <= opened THEN mid - 1 ELSE mid END AS own
+    FROM (SELECT w.*, r.hi, greatest(w.here, r.lo) AS l, ((greatest(w.here, r.lo) + (r.hi - greatest(w.here, r.lo)) // 2) * 16) // w.n AS mid
+      FROM w JOIN r ON r.chunk_id = w.chunk_id AND r.lo < ((w.here * 16 // w.n + 1) * w.n + 15) // 16 AND r.hi >= ((w.here * 16 // w.n + 1) * w.n + 15) // 16
+      WHERE w.here < w.n AND ((w.here * 16 // w.n + 1) * w.n + 15) // 16 < w.n)))),
+z AS (SELECT chunk_id, arg_max(CASE WHEN opened < n THEN list_append(ends, n) ELSE ends END, here) AS ends FROM w GROUP BY chunk_id),
+b AS (SELECT chunk_id, unnest(range(len(ends))) AS bin, unnest(ends) AS e, unnest(list_prepend(0::BIGINT, ends[:-2])) AS a FROM z)
+SELECT b.chunk_id, CAST(bin AS INTEGER) AS bin, x.ord AS lower, y.ord AS upper, e - a AS n FROM b JOIN s x ON x.chunk_id = b.chunk_id AND x.i = a JOIN s y ON y.chunk_id = b.chunk_id AND y.i = e - 1"""
+
+
+@query(EXACT)
 def hist_exact(spark, d):
     """The codec's own histogram of each chunk's values."""
     return profile.exact_histogram(_values(spark, d), "ord", 4)

@@ -88,12 +88,14 @@ SELECT chunk_id, count(*) AS n, min(x) AS min_ord, max(x) AS max_ord FROM e GROU
 
 
 def codec_file_scan(spark, d):
-    """A column through standalone files: written by the data source, scanned as files."""
+    """A column through standalone files, one for each range of keys: written by the
+    data source, scanned as files, numbered in their order."""
     datasource.register(spark)
     path = Scratch(spark, "files").path("custkey")
-    df = table(spark, d, "orders", "o_orderkey", "o_custkey").repartition(1).sortWithinPartitions("o_orderkey")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = table(spark, d, "orders", "o_orderkey", "o_custkey").repartitionByRange(n, "o_orderkey").sortWithinPartitions("o_orderkey")
     df.select(F.col("o_custkey").alias("x")).write.format("tessera").option("chunkN", 5000).mode("append").save(path)
-    return files.scan(spark, f"{path}/*.tcol", "standalone", "i64").select("pos", "x")
+    return files.in_order(files.scan(spark, f"{path}/*.tcol", "standalone", "i64")).select("pos", "x")
 
 
 QUERIES["codec_file_scan"] = codec_file_scan

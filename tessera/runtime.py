@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import InvalidArgumentError
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -45,10 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a local
-    folder is made and set."""
+    Only where the session leaves it unset and all runs in one process (tests) a
+    local folder is made and set; on a cluster an unset folder raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise InvalidArgumentError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         path = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -104,9 +104,10 @@ def _chunk_rows(group: pa.Table, t: N.NumberType, opt: ChunkConfig) -> pa.Table:
     return pa.table([pa.array(r, f.type) for r, f in zip(rows, ARROW, strict=True)], schema=ARROW)
 
 
-def decompress(pages: DataFrame, ntype: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+def decompress(pages: DataFrame, ntype: str, lo: int | None = None, hi: int | None = None, also: str | None = None) -> DataFrame:
     """(pos, x) of a page table; with bounds, only numbers whose ord is in
-    [lo, hi): pages outside are pruned before they are decoded."""
+    [lo, hi): pages outside are pruned before they are decoded. ``also`` names a
+    column of longs that comes along; chunks are told apart by it too."""
     t = N.TYPES[ntype]
     if lo is not None:
         pages = pages.where(F.col("max_ord") >= lo)
@@ -116,15 +117,19 @@ def decompress(pages: DataFrame, ntype: str, lo: int | None = None, hi: int | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = N.TYPES[ntype]
         for batch in batches:
-            for rows in _steps(batch.column("chunk_id").to_pylist(), batch.column("n").to_pylist()):
-                yield _decoded(batch.take(pa.array(rows)), t, lo, hi)
+            names = [batch.column(c).to_pylist() for c in ("chunk_id", *extra)]
+            for rows in _steps(list(zip(*names, strict=True)), batch.column("n").to_pylist()):
+                part = _decoded(batch.take(pa.array(rows)), t, lo, hi)
+                more = [pa.array(np.full(part.num_rows, names[-1][rows[0]], np.int64))] if extra else []
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], ["pos", "x", *extra])
 
-    return pages.select("chunk_id", "first_pos", "n", "meta", "payload").mapInArrow(run, f"pos long, x {SPARK[t.name]}")
+    extra = [also] if also else []
+    return pages.select("chunk_id", "first_pos", "n", "meta", "payload", *extra).mapInArrow(run, f"pos long, x {SPARK[t.name]}" + "".join(f", {c} long" for c in extra))
 
 
-def _steps(chunks: list[int], counts: list[int]) -> Iterator[list[int]]:
+def _steps(chunks: list[tuple], counts: list[int]) -> Iterator[list[int]]:
     """Row numbers of pages of one chunk at a time, at most about STEP_N numbers."""
-    by_chunk: dict[int, list[int]] = {}
+    by_chunk: dict[tuple, list[int]] = {}
     for i, c in enumerate(chunks):
         by_chunk.setdefault(c, []).append(i)
     for rows in by_chunk.values():

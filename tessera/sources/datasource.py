@@ -3,10 +3,14 @@
 A data source over standalone files on a path that executors have mounted (for
 other stores use ``files.scan``). Options: ntype, level, mode, delta, chunkN, and
 raw=true to write plain little-endian numbers instead.
-Columns: pos (when read) and x. A writer's task makes one file of its rows in
-their order; the driver commits by renaming, so a failed task leaves nothing."""
+Columns: pos (when read, in its file; ``files.in_order`` numbers over files) and x.
+A writer's task makes one file of its rows in their order, under a hidden name that
+it removes if it fails. The driver commits by renaming; the names sort by write,
+then by task, so appended rows come last. Overwriting removes what was there only
+after the new files have their names."""
 import glob
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +27,8 @@ from .columns import SPARK, config, to_arrow, to_numpy
 from .files import BATCH_N
 
 EXTENSION = ".tcol"
+#: Bytes that surely hold a header and one more.
+HEAD = 64
 
 
 def local(path: str) -> str:
@@ -48,8 +54,9 @@ class ColumnSource(DataSource):
         if "ntype" in self.options:
             return self.options["ntype"].lower()
         for path in _files(self.options["path"]):
+            # A file's header and the type of its first chunk are its first bytes.
             with open(path, "rb") as f:
-                t = standalone.FileReader(f.read()).peek()
+                t = standalone.FileReader(f.read(HEAD)).peek()
             if t is not None:
                 return t.name
         raise InvalidArgumentError("no chunk to tell the number type; give ntype")
@@ -98,16 +105,25 @@ class ColumnWriter(DataSourceArrowWriter):
     def __init__(self, path: str, ntype: str, conf, overwrite: bool, raw: bool = False):
         self.path, self.ntype, self.conf, self.overwrite, self.raw = path, ntype, conf, overwrite, raw
         self.extension = ".bin" if raw else EXTENSION
-        if not overwrite and _files(path, self.extension):
-            raise CodecIOError(f"{path} has files; use mode overwrite")
+        if "://" in path:
+            raise CodecIOError(f"{path} isn't a mounted path")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         t = N.TYPES[self.ntype]
         chunk_n = self.conf.paging.most
         held: list[np.ndarray] = []
-        n = 0
         os.makedirs(self.path, exist_ok=True)
         made = os.path.join(self.path, f".{uuid.uuid4().hex}{self.extension}")
+        try:
+            self._write(made, batches, t, chunk_n, held)
+        except BaseException:
+            if os.path.exists(made):
+                os.remove(made)
+            raise
+        return Written([made])
+
+    def _write(self, made: str, batches: Iterator[pa.RecordBatch], t: N.NumberType, chunk_n: int, held: list[np.ndarray]) -> None:
+        n = 0
         with open(made, "wb") as f:
             if not self.raw:
                 f.write(standalone.header())
@@ -129,14 +145,15 @@ class ColumnWriter(DataSourceArrowWriter):
                 f.write(standalone.write_chunk(np.concatenate(held), self.conf, t))
             if not self.raw:
                 f.write(standalone.FOOTER)
-        return Written([made])
 
     def commit(self, messages: list) -> None:
-        if self.overwrite:
-            for old in _files(self.path, self.extension):
-                os.remove(old)
+        there = _files(self.path, self.extension)
+        writes = [int(m[1]) for p in there if (m := re.match(r"part-(\d+)-", os.path.basename(p)))]
+        write = max(writes, default=-1) + 1
         for i, made in enumerate(p for m in messages if m for p in m.files):
-            os.rename(made, os.path.join(self.path, f"part-{i:05d}{self.extension}"))
+            os.rename(made, os.path.join(self.path, f"part-{write:05d}-{i:05d}{self.extension}"))
+        for old in there if self.overwrite else ():
+            os.remove(old)
 
     def abort(self, messages: list) -> None:
         for made in (p for m in messages if m for p in m.files):

@@ -5,6 +5,7 @@ will do; one file is one task, as a standalone file can't be split."""
 import os
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import standalone
 from ..errors import CorruptionError, InvalidArgumentError
 from ..kernel import numbers as N
+from ..runtime import Scratch
 from .columns import SPARK, to_arrow
 
 #: Numbers in one batch that a scan hands to Spark.
@@ -66,6 +68,17 @@ def scan(spark: SparkSession, path: str, kind: str, ntype: str, channel: int = 0
     return files.mapInArrow(run, f"file string, pos long, x {SPARK[ntype]}")
 
 
+def in_order(found: DataFrame) -> DataFrame:
+    """A scan with positions that go on from file to file, by name. The rows are
+    decoded once; the files' lengths, one number for each listed file, are
+    broadcast."""
+    kept = Scratch(found.sparkSession, "files").keep(found, "decoded")
+    sizes = {r["file"]: r["n"] for r in kept.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = list(zip(sorted(sizes), accumulate((sizes[f] for f in sorted(sizes)), initial=0)))
+    before = found.sparkSession.createDataFrame(starts, "file string, before long")
+    return kept.join(F.broadcast(before), "file").select("file", (F.col("pos") + F.col("before")).alias("pos"), "x")
+
+
 def _standalone(data: bytes, t: N.NumberType, _: int) -> Iterator[np.ndarray]:
     for x, *_rest in standalone.FileReader(data).chunks(t):
         yield x

@@ -8,6 +8,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import standalone
 from ..errors import CorruptionError, InsufficientDataError
+from ..sources.columns import SPARK, to_arrow
 from ..kernel import chunk as C
 from ..kernel import numbers as N
 from ..kernel.bitio import Reader
@@ -55,18 +56,25 @@ class PushDecoder:
         return [("chunk", meta), *(("numbers", x[i : i + self.limit]) for i in range(0, n, self.limit))]
 
 
-def decode_stream(blobs: DataFrame) -> DataFrame:
+def decode_stream(blobs: DataFrame, ntype: str = "f64") -> DataFrame:
     """(stream_id, pos, x) from a stream of (stream_id, seq, blob), the bytes of
-    one file per stream_id in the order of seq; x is a double. The state of a
-    stream is its undecoded bytes, at most one chunk."""
+    one file per stream_id in the order of seq; x has the files' number type, and
+    a chunk of another type raises. The state of a stream is its undecoded bytes,
+    at most one chunk."""
+    t = N.TYPES[ntype]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, begun, done, pos = state.get if state.exists else (b"", False, False, 0)
         decoder, out = PushDecoder(buffer=rest, begun=begun, done=done), []
         for blob in pd.concat(frames).sort_values("seq")["blob"]:
-            out += [x for kind, x in decoder.feed(bytes(blob)) if kind == "numbers"]
-        x = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+            for kind, x in decoder.feed(bytes(blob)):
+                if kind == "chunk" and x.ntype != t:
+                    raise CorruptionError(f"expected {t.name}, found {x.ntype.name}")
+                if kind == "numbers":
+                    out.append(x)
+        x = np.concatenate(out) if out else np.zeros(0, t.dtype)
         state.update((decoder.buffer, decoder.begun, decoder.done, pos + len(x)))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(x), "pos": np.arange(pos, pos + len(x)), "x": x})
+        # Exact in every type: unsigned 64-bit numbers are decimals.
+        yield pd.DataFrame({"stream_id": [key[0]] * len(x), "pos": np.arange(pos, pos + len(x)), "x": to_arrow(x, t).to_pandas()})
 
-    return blobs.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, pos long, x double", "rest binary, begun boolean, done boolean, pos long", "append", GroupStateTimeout.NoTimeout)
+    return blobs.groupBy("stream_id").applyInPandasWithState(run, f"stream_id string, pos long, x {SPARK[t.name]}", "rest binary, begun boolean, done boolean, pos long", "append", GroupStateTimeout.NoTimeout)

@@ -25,13 +25,10 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str, col: str, *keys:
 
 
 def read_batches(spark, path: str, ntype: str) -> DataFrame:
-    """(batch, pos, x) of what write_stream has written."""
-    pages = spark.read.parquet(path)
-    out = None
-    for r in pages.select("batch").distinct().orderBy("batch").collect():
-        one = columns.decompress(pages.where(F.col("batch") == r["batch"]), ntype).withColumn("batch", F.lit(r["batch"]))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(batch, pos, x) of what write_stream has written: one scan, however many
+    batches there are."""
+    pages = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("long"))
+    return columns.decompress(pages, ntype, also="batch")
 
 
 def running_sum(stream: DataFrame, col: str) -> DataFrame:

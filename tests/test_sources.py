@@ -1,4 +1,5 @@
 """Files, the page table, the data source and streams."""
+import os
 import struct
 
 import numpy as np
@@ -51,12 +52,17 @@ def test_data_source(spark, tmp_path):
     back = spark.read.format("tessera").load(path)
     assert back.dtypes == [("pos", "bigint"), ("x", "int")]
     assert [r["x"] for r in back.orderBy("pos").collect()] == [i % 17 for i in range(1000)]
-    with pytest.raises(Exception, match="overwrite"):
-        df.write.format("tessera").mode("append").save(path)
+    df.limit(5).coalesce(1).write.format("tessera").mode("append").save(path)
+    rows = files.in_order(files.scan(spark, f"{path}/*.tcol", "standalone", "i32")).orderBy("pos").collect()
+    assert [(r["pos"], r["x"]) for r in rows] == [(i, i % 17 if i < 1000 else i - 1000) for i in range(1005)]
     df.coalesce(1).write.format("tessera").option("raw", "true").mode("append").save(str(tmp_path / "r"))
     assert [r["x"] for r in files.scan(spark, str(tmp_path / "r"), "binary", "i32").orderBy("pos").collect()] == [i % 17 for i in range(1000)]
     df.limit(10).coalesce(1).write.format("tessera").mode("overwrite").save(path)
     assert spark.read.format("tessera").load(path).count() == 10
+    before = sorted(os.listdir(path))
+    with pytest.raises(Exception, match="a null in the column"):
+        df.withColumn("x", F.when(F.col("x") < 16, F.col("x"))).coalesce(1).write.format("tessera").mode("overwrite").save(path)
+    assert sorted(os.listdir(path)) == before
 
 
 def test_file_scans(spark, tmp_path):
@@ -128,20 +134,21 @@ def test_streams(spark, tmp_path):
     sink.write_stream(stream, out, str(tmp_path / "c1"), "v", "k").awaitTermination()
     back = sink.read_batches(spark, out, "i64")
     assert back.count() == 100 and back.agg(F.sum("x")).first()[0] == 9900
+    assert back.select("batch", "pos").distinct().count() == 100 and back.select("batch").distinct().count() == 2
     q = sink.running_sum(stream, "v").writeStream.format("memory").queryName("sums").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert tuple(spark.table("sums").first()) == (9900, 100)
 
 
-def test_decoding_a_stream_of_blobs(spark, tmp_path):
-    x = np.arange(500.0)
+@pytest.mark.parametrize("ntype, x", [("f64", np.arange(500.0)), ("i64", np.arange(500) * 2 + (1 << 60) + 1), ("u64", np.arange(500, dtype=np.uint64) + np.uint64((1 << 63) + 1))])
+def test_decoding_a_stream_of_blobs(spark, tmp_path, ntype, x):
     data = standalone.compress(x, ChunkConfig(paging=Paging(200)))
     rows = [("s", i, bytearray(data[a : a + 100])) for i, a in enumerate(range(0, len(data), 100))]
     df = spark.createDataFrame(rows, "stream_id string, seq long, blob binary")
     for i, part in enumerate((df.where("seq < 2"), df.where("seq >= 2"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = decoder.decode_stream(stream).writeStream.format("memory").queryName("decoded").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = decoder.decode_stream(stream, ntype).writeStream.format("memory").queryName(f"decoded_{ntype}").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    got = spark.table("decoded").orderBy("pos").collect()
+    got = spark.table(f"decoded_{ntype}").orderBy("pos").collect()
     assert [r["x"] for r in got] == x.tolist() and [r["pos"] for r in got] == list(range(500))
