@@ -314,7 +314,7 @@ def read_pages(meta: ChunkMeta, pages: list[bytes], counts: list[int], whole: bo
     batches = -(-int(n_page.max(initial=0)) // BATCH)
     out = {v: np.zeros((len(pages), batches * BATCH), meta.latent(v)) for v in meta.bins}
     tables = {v: tans.Table(b.size_log, b.weight) for v, b in meta.bins.items() if len(b) > 1}
-    state = {v: np.array(lanes[v], np.int64).reshape(-1, tans.LANES) for v in meta.bins}
+    state = {v: np.ascontiguousarray(np.array(lanes[v], np.intp).reshape(-1, tans.LANES).T) for v in meta.bins}
     kept = {v: np.array([meta.stored(v, n) for n in counts], np.int64) for v in meta.bins}
     for k in range(batches):
         for v, b in meta.bins.items():
@@ -367,21 +367,40 @@ def _joined(meta: ChunkMeta, states: dict, out: dict, kept: dict, counts: list[i
 
 
 def _symbols(table: tans.Table, data: Windows, state: np.ndarray, rows: np.ndarray, pos: np.ndarray, here: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The next symbols of the pages ``rows``, and where their bits end. The bits of
+    the four lanes of a step are side by side and at most 56, so one window of the
+    data serves all of them; lanes are rows, so that every operation is on
+    contiguous numbers."""
     steps = -(-most // tans.LANES)
-    symbol = np.zeros((len(rows), steps * tans.LANES), np.int64)
-    s = state[rows]
+    lanes = np.arange(tans.LANES)[:, None]
+    entry, words = table.entry, data.words
+    s = state[:, rows]
+    n, last = len(rows), len(words) - 1
+    seen = np.empty((steps, tans.LANES, n), np.uint64)
+    shift = np.zeros((tans.LANES, n), np.uint64)
+    value = np.empty((tans.LANES, n), np.uint64)
+    at = pos.astype(np.uint64)
     full = int(here.min()) == steps * tans.LANES
-    lane = np.arange(tans.LANES)
     for k in range(steps):
-        nb = table.n_bits[s]
+        e = seen[k]
+        np.take(entry, s, out=e, mode="clip")
+        n_bits = e & _BITS
         if not full:
-            on = k * tans.LANES + lane < here[:, None]
-            nb = nb * on
-        ends = np.cumsum(nb, axis=1)
-        value = data.read(pos[:, None] + ends - nb, nb).astype(np.int64)
-        symbol[:, k * tans.LANES : (k + 1) * tans.LANES] = table.symbol[s]
-        nxt = table.base[s] + value
-        s = nxt if full else np.where(on, nxt, s)
-        pos = pos + ends[:, -1]
-    state[rows] = s
-    return symbol[:, :most], pos
+            on = k * tans.LANES + lanes < here
+            n_bits *= on
+        np.cumsum(n_bits[:-1], axis=0, out=shift[1:])
+        window = words[np.minimum(at >> _THREE, last).astype(np.intp)] >> (at & _SEVEN)
+        np.right_shift(window, shift, out=value)
+        value &= (_ONE << n_bits) - _ONE
+        value += (e >> _BASE) & _BASE_BITS
+        at += shift[-1]
+        at += n_bits[-1]
+        s = value.astype(np.intp) if full else np.where(on, value.astype(np.intp), s)
+    state[:, rows] = s
+    symbol = (seen >> _SYMBOL).astype(np.intp).transpose(2, 0, 1).reshape(n, -1)
+    return symbol[:, :most], at.astype(np.int64)
+
+
+# Places of the fields of a table's entry.
+_ONE, _THREE, _SEVEN = np.uint64(1), np.uint64(3), np.uint64(7)
+_BITS, _BASE, _BASE_BITS, _SYMBOL = np.uint64(63), np.uint64(8), np.uint64((1 << 24) - 1), np.uint64(32)

@@ -30,6 +30,8 @@ class Table:
         self.n_bits = size_log + 1 - bit_length(reach.astype(np.uint64))
         self.base = (reach << self.n_bits) - size
         self.most_bits = size_log + 1 - bit_length(weights.astype(np.uint64))
+        #: For decoding, a state's bits (from bit 0), base (from 8) and symbol (from 32) in one number.
+        self.entry = (self.n_bits | self.base << 8 | spread << 32).astype(np.uint64)
 
 
 def encode(table: Table, symbols: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
