@@ -59,6 +59,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark reaches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Scratch folders of this process, for clean_scratch.
+_SCRATCH: list[str] = []
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete all scratch folders made so far. DataFrames that were returned before
+    may read them, so call it once their rows are written."""
+    while _SCRATCH:
+        delete(spark, _SCRATCH.pop())
+
+
 class Scratch:
     """Written tables in the shared folder; they cut lineage and survive the
     loss of any executor."""
@@ -66,6 +83,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        _SCRATCH.append(self.root)
         self._n = 0
 
     def path(self, name: str) -> str:
@@ -95,11 +113,8 @@ class Scratch:
 
     def drop(self, *dfs: DataFrame) -> None:
         """Delete written tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(path, True)
+            delete(self.spark, df._scratch_path)
 
 
 #: A key is hot from this share of the rows on; there can't be more hot keys.
