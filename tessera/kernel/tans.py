@@ -40,17 +40,20 @@ def encode(table: Table, symbols: np.ndarray, active: np.ndarray) -> tuple[np.nd
     pages, n = symbols.shape
     steps = -(-n // LANES)
     pad = ((0, 0), (0, steps * LANES - n))
-    s = np.pad(symbols, pad).reshape(pages, steps, LANES)
-    on = np.pad(active, pad).reshape(pages, steps, LANES)
-    values, lengths = np.zeros(s.shape, np.int64), np.zeros(s.shape, np.int64)
-    weight, most, at = table.weights[s], table.most_bits[s], table.first[s] - table.weights[s]
-    state = np.full((pages, LANES), 1 << table.size_log, np.int64)
+    # A row for each step, with the lanes of all pages side by side.
+    rows = lambda x: np.ascontiguousarray(np.pad(x, pad).reshape(pages, steps, LANES).transpose(1, 0, 2)).reshape(steps, -1)
+    s, on = rows(symbols), rows(active)
+    full = on.all(axis=1).tolist()
+    weight, most, at = table.weights[s], table.most_bits[s], (table.first - table.weights)[s]
+    values, lengths = np.empty(s.shape, np.int64), np.empty(s.shape, np.int64)
+    state = np.full(pages * LANES, 1 << table.size_log, np.int64)
     for k in range(steps - 1, -1, -1):
-        nb = most[:, k] - ((state >> most[:, k]) < weight[:, k])
-        values[:, k] = state & ((1 << nb) - 1)
-        lengths[:, k] = nb
-        nxt = table.next_state[at[:, k] + (state >> nb)]
-        state = np.where(on[:, k], nxt, state)
+        n_bits = lengths[k]
+        np.subtract(most[k], (state >> most[k]) < weight[k], out=n_bits)
+        values[k] = state
+        nxt = table.next_state.take(at[k] + (state >> n_bits), mode="clip")
+        state = nxt if full[k] else np.where(on[k], nxt, state)
     lengths *= on
-    values *= on
-    return values.reshape(pages, -1)[:, :n], lengths.reshape(pages, -1)[:, :n], state - (1 << table.size_log)
+    values &= (1 << lengths) - 1
+    back = lambda x: x.reshape(steps, pages, LANES).transpose(1, 0, 2).reshape(pages, -1)[:, :n]
+    return back(values), back(lengths), state.reshape(pages, LANES) - (1 << table.size_log)
