@@ -32,11 +32,7 @@ def _input(spark, path: str, args):
     else:
         ntype = args.dtype or (files.binary_name(path)[1].name if kind == "binary" else None)
         if kind == "standalone" and not ntype:
-            from . import standalone
-
-            first = spark.read.format("binaryFile").load(path).select("content").first()[0]
-            t = standalone.FileReader(bytes(first)).peek()
-            ntype = t.name if t else "i64"
+            ntype = _standalone_type(spark, path)
         df = files.scan(spark, path, kind, files.dtype_named(ntype or "i16").name).select("x")
     return df, column_of(df, args.col_name, args.col_idx) if len(df.columns) > 1 or args.col_name else df.columns[0]
 
@@ -55,20 +51,42 @@ def compress(args) -> int:
 
 
 def decompress(args) -> int:
+    """Numbers of standalone files in their order: printed, or written as text (one
+    a line) or as raw little-endian numbers."""
+    from .sources import datasource, files
+
     spark = _session()
-    args.input_format, args.dtype = "standalone", args.dtype
-    args.col_name = args.col_idx = None
-    df, col = _input(spark, args.input, args)
-    n = 0
-    for r in (df if args.limit is None else df.limit(args.limit)).toLocalIterator():
-        print(r[col])
-        n += 1
+    ntype = args.dtype or _standalone_type(spark, args.input)
+    df = files.in_order(files.scan(spark, args.input, "standalone", files.dtype_named(ntype).name))
+    if args.limit is not None:
+        df = df.where(df["pos"] < args.limit)
+    if args.output is None:
+        for r in df.orderBy("pos").toLocalIterator():
+            print(r["x"])
+    elif args.output_format == "binary":
+        datasource.register(spark)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartitionByRange(n, "pos").sortWithinPartitions("pos").select("x").write.format("tessera").options(raw="true", ntype=ntype).mode("append").save(args.output)
+    else:
+        files.write_text(df, args.output)
     return 0
 
 
+def _standalone_type(spark, path: str) -> str:
+    """The number type of the first file, from its first bytes."""
+    from pyspark.sql import functions as F
+
+    from . import standalone
+
+    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 64).alias("head")).first()[0]
+    t = standalone.FileReader(bytes(first)).peek()
+    return t.name if t else "i64"
+
+
 def inspect(args) -> int:
     """Per file: type, chunks with mode, delta and bins, and the totals, as JSON."""
     from . import standalone
+    from .kernel.describe import describe
 
     spark, out = _session(), []
     for r in spark.read.format("binaryFile").load(args.input).select("path", "content").toLocalIterator():
@@ -76,7 +94,7 @@ def inspect(args) -> int:
         head, t = reader.at, reader.peek()
         for x, meta, meta_size, page_size in reader.chunks():
             chunks.append({"n": len(x), "mode": meta.mode.kind, "base": meta.mode.base, "k": meta.mode.k, "delta": meta.delta.kind, "order": meta.delta.order, "meta_size": meta_size, "page_size": page_size,
-                           "latent_vars": {v: {"n_bins": len(b), "ans_size_log": b.size_log, "approx_avg_bits": round(b.average_bits(), 4)} for v, b in meta.bins.items()}})
+                           "latent_vars": {v: {"name": describe(meta)[v].name, "unit": describe(meta)[v].unit, "n_bins": len(b), "ans_size_log": b.size_log, "approx_avg_bits": round(b.average_bits(), 4)} for v, b in meta.bins.items()}})
         n = sum(c["n"] for c in chunks)
         plain, packed = n * (t.dtype.itemsize if t else 0), len(r["content"])
         out.append({"file": os.path.basename(r["path"]), "number_type": t.name if t else None, "format_version": reader.format, "n_chunks": len(chunks), "n": n, "uncompressed_size": plain,
@@ -98,12 +116,33 @@ def bench(args) -> int:
     cols = {c: columns.ntype_of(df, c) for c in names}
     df = df.select(F.monotonically_increasing_id().alias("__k"), *[columns.plain(df, c).alias(c) for c in names])
     runs = B.run_codecs(df, cols, "__k", args.codecs.split(","), iters=args.iters)
-    medians = report.median_runs(runs).orderBy("input", "codec")
+    medians = report.median_runs(runs)
+    if args.results:
+        medians = _upserted(spark, args.results, medians)
+    medians = medians.orderBy("input", "codec")
     medians.show(1000, False)
     report.rollup_runs(medians).orderBy("codec").show(100, False)
     return 0
 
 
+def _upserted(spark, path: str, new):
+    """Results of earlier runs with the new ones over them, written back as CSV: a
+    row for each input and codec, so a small table."""
+    import csv
+
+    from .operators import report
+
+    schema = "input string, codec string, compress_dt double, decompress_dt double, compressed_size long"
+    if os.path.exists(path):
+        new = report.upsert_results(spark.read.csv(path, header=True, schema=schema), new)
+    rows = sorted(tuple(r) for r in new.collect())
+    made = f"{path}.new"
+    with open(made, "w", newline="") as f:
+        csv.writer(f).writerows([new.columns, *rows])
+    os.replace(made, path)
+    return spark.createDataFrame(rows, schema)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
     sub = p.add_subparsers(dest="command", required=True)
@@ -129,10 +168,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--overwrite", action="store_true")
     s = add("decompress", decompress)
     s.add_argument("--limit", type=int)
+    s.add_argument("--output")
+    s.add_argument("--output-format", choices=("text", "binary"), default="text")
     add("inspect", inspect)
     s = add("bench", bench)
     s.add_argument("--codecs", default="tessera,parquet,zstd")
     s.add_argument("--datasets")
+    s.add_argument("--results", help="CSV of results that the new ones are merged into")
     s.add_argument("--iters", type=int, default=10)
     return p
 

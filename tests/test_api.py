@@ -44,5 +44,15 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["inspect", "--input", f"{out}/*"]) == 0
     told = json.loads(capsys.readouterr().out)[0]
     assert told["n"] == 2000 and told["number_type"] == "i64" and told["chunks"][0]["delta"] == "consecutive"
-    assert cli.main(["bench", "--input", str(tmp_path / "in"), "--iters", "1", "--codecs", "tessera,zstd"]) == 0
+    assert told["chunks"][0]["latent_vars"]["primary"]["name"] == "multiplier delta [x10]" or told["chunks"][0]["mode"] == "classic"
+    results = tmp_path / "results.csv"
+    results.write_text("input,codec,compress_dt,decompress_dt,compressed_size\nv,old,1.0,2.0,3\nv,zstd,1.0,2.0,3\n")
+    assert cli.main(["bench", "--input", str(tmp_path / "in"), "--iters", "1", "--codecs", "tessera,zstd", "--results", str(results)]) == 0
     assert "<sum>" in capsys.readouterr().out
+    rows = dict((line.split(",")[:2][1] + line.split(",")[0], line) for line in results.read_text().split()[1:])
+    assert rows["oldv"] == "v,old,1.0,2.0,3" and rows["zstdv"] != "v,zstd,1.0,2.0,3" and {"tesserav", "tesserak"} <= rows.keys()
+    assert cli.main(["decompress", "--input", f"{out}/*", "--limit", "5", "--output", str(tmp_path / "text")]) == 0
+    assert [r[0] for r in spark.read.text(str(tmp_path / "text")).collect()] == ["0", "10", "20", "30", "40"]
+    assert cli.main(["decompress", "--input", f"{out}/*", "--output", str(tmp_path / "raw"), "--output-format", "binary"]) == 0
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "raw").iterdir()))
+    assert np.frombuffer(raw, "<i8").tolist() == list(range(0, 20000, 10))

@@ -240,3 +240,28 @@ def test_any_floats(values, mode, page):
         meta, pages, plan = C.compress(x, config=config(mode=mode, page=page))
         y, _ = C.read_pages(C.read_meta(Reader(meta), N.TYPES["f64"]), pages, plan.page_n)
         assert same(x, np.concatenate(y))
+
+
+@pytest.mark.parametrize(
+    "x, config, want",
+    [
+        (np.arange(-3, 60) * 7 % 50, ChunkConfig(mode=ModeSpec("classic"), delta=DeltaSpec("none")), {"primary": ("primary", "", str)}),
+        (np.array([5, 7, 4, 4]), ChunkConfig(mode=ModeSpec("classic"), delta=DeltaSpec("consecutive", 1)), {"primary": ("delta", "", ["2", "-3", "0"])}),
+        (np.array([1.0, np.nextafter(1.0, 2)]), ChunkConfig(mode=ModeSpec("classic"), delta=DeltaSpec("consecutive", 1)), {"primary": ("delta", " ULPs", ["1"])}),
+        (np.array([-10, 0, 25, 31]), ChunkConfig(mode=ModeSpec("int_mult", 8), delta=DeltaSpec("none")), {"primary": ("multiplier [x8]", "x", ["-2", "0", "3", "3"]), "secondary": ("adjustment", "", ["6", "0", "1", "7"])}),
+        (np.array([0.5, -1.0, 2.0]), ChunkConfig(mode=ModeSpec("float_mult", 0.5), delta=DeltaSpec("none")), {"primary": ("multiplier [x0.5]", "x", ["1.0", "-2.0", "4.0"]), "secondary": ("adjustment", " ULPs", ["0", "0", "0"])}),
+        (np.tile([1.0, -1.0, 2.5], 200), ChunkConfig(mode=ModeSpec("float_quant", 20), delta=DeltaSpec("none")), {"primary": ("quantized", "", ["1.0", "-1.0000000002328304", "2.5"]), "secondary": ("magnitude adjustment", " ULPs", ["0", "0", "0"])}),
+        (np.arange(40) % 9, ChunkConfig(mode=ModeSpec("classic"), delta=DeltaSpec("lookback")), {"delta": ("lookback", "", None), "primary": ("delta", "", None)}),
+    ],
+)
+def test_descriptions(x, config, want):
+    from tessera.kernel import describe
+
+    plan = C.plan(x, N.type_of(x), config)
+    got = describe.describe(plan.meta)
+    assert {v: (d.name, d.unit) for v, d in got.items()} == {v: w[:2] for v, w in want.items()}
+    for v, (_, _, texts) in want.items():
+        if texts is str:
+            assert got[v].texts(plan.stored[v][0]) == [str(i) for i in x.tolist()]
+        elif texts:
+            assert got[v].texts(plan.stored[v][0])[: len(texts)] == texts
