@@ -20,7 +20,7 @@ from ..kernel.config import ChunkConfig, DeltaSpec, ModeSpec, Paging
 from ..operators.layout import CHUNK_N, chunk_of, with_position
 
 #: Pages are decoded in lockstep, so many small ones are faster than few large ones.
-PAGE_N = 2048
+PAGE_N = 1024
 #: Numbers that one decoding step holds.
 STEP_N = 1 << 20
 SCHEMA = "chunk_id long, page_id int, first_pos long, n int, min_ord long, max_ord long, ntype string, mode string, delta string, meta binary, payload binary"
