@@ -1,4 +1,5 @@
 """Session helpers: tables, the shared scratch folder, and code on workers."""
+import ctypes
 import gc
 import os
 import tempfile
@@ -76,6 +77,17 @@ def clean_scratch(spark: SparkSession) -> None:
         delete(spark, _SCRATCH.pop())
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, which it does once
+    the driver has collected the plans that they belong to, and give the driver's
+    free memory back to the system."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 class Scratch:
     """Written tables in the shared folder; they cut lineage and survive the
     loss of any executor."""
@@ -106,10 +118,7 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps now. It does so
-        once the driver has collected the plans that they belong to."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        release(self.spark)
 
     def drop(self, *dfs: DataFrame) -> None:
         """Delete written tables that no later step reads."""
