@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
+from . import words
+from .words import mix
 
 ENTRY_BITS, PROBES = 10, 4
 SEGMENT = 1 << 20
@@ -31,8 +33,8 @@ SEGMENT = 1 << 20
 MOST_BITS, MOST_WORDS = 1 << 31, 1 << 23
 #: Weight of the bigram estimate.
 BIGRAM = 0.7
-#: Tokens that a worker holds at once, and words whose hashes it remembers.
-CHUNK, MEMO = 1 << 18, 1 << 18
+#: Bytes of text that a worker scores at once, and tokens that it counts together.
+CHUNK, COUNTED = 1 << 21, 1 << 22
 #: N-grams that are entered into the filter at once.
 ROWS = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -40,29 +42,6 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 END = xxhash.xxh3_64_intdigest(b" ")
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO:
-            self[word] = h
-        return h
-
-
-def tokens(text: str | None, memo: WordHashes) -> np.ndarray:
-    """Hashes of the words (A-Z in lower case, between ASCII white space) and the end."""
-    words = (text or "").encode().lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
-
-
 def pairs(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(history, bigram) hashes of tokens of texts that begin at starts."""
     before = np.empty_like(h)
@@ -75,35 +54,61 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], memo: WordHashes, chunk: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, tokens, starts) in parts of about ``chunk`` tokens."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of each text and its end, first token of each text)."""
+    h, n = words.counted(texts)
+    starts = np.cumsum(n + 1) - (n + 1)
+    out = np.full(len(h) + len(n), END, np.uint64)
+    word = np.ones(len(out), bool)
+    word[starts + n] = False
+    out[word] = h
+    return out, starts
+
+
+def _texts(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, tokens, starts) in parts of about ``size`` bytes of text."""
     for batch in batches:
-        held, n, first = [], 0, 0
-        for i, text in enumerate(batch.column("text")):
-            held.append(tokens(text.as_py(), memo))
-            n += len(held[-1])
-            if n >= chunk or i + 1 == batch.num_rows:
-                starts = np.cumsum([0, *map(len, held)])[:-1]
-                yield batch.slice(first, i + 1 - first), np.concatenate(held), starts
-                held, n, first = [], 0, i + 1
+        for at, some in words.parts(batch.column("text"), size):
+            yield batch.slice(at, len(some)), *tokens(some)
 
 
 def ngram_counts(train: DataFrame, shards: int) -> DataFrame:
     """(order, h, n) of all unigrams and bigrams of train (text)."""
+    keys = _dealt(train.sparkSession, shards)
+
+    def counted(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for order, grams in enumerate(zip(*held, strict=True), 1):
+            grams, n = np.unique(np.concatenate(grams), return_counts=True)
+            shard = ((grams >> np.uint64(44)) * np.uint64(shards)) >> np.uint64(20)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[shard.astype(np.int64)]), pa.array(np.full(len(grams), order, np.int8)), pa.array(grams.view(np.int64)), pa.array(n)], ["shard", "order", "h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for _, h, starts in _texts(batches, memo, 2 * CHUNK):
-            for order, grams in ((1, h), (2, pairs(h, starts)[1])):
-                grams, n = np.unique(grams, return_counts=True)
-                shard = ((grams >> np.uint64(44)) * np.uint64(shards)) >> np.uint64(20)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.full(len(grams), order, np.int8)), pa.array(grams.view(np.int64)), pa.array(n)], ["shard", "order", "h", "n"])
+        held, n = [], 0
+        for _, h, starts in _texts(batches):
+            held.append([h, pairs(h, starts)[1]])
+            n += len(h)
+            if n > COUNTED:
+                yield from counted(held)
+                held, n = [], 0
+        if held:
+            yield from counted(held)
 
     each = train.select("text").mapInArrow(run, "shard int, order byte, h long, n long")
     # Dealt by shard, a range of hashes, so that a written file covers few segments of the filter.
     return each.repartition(shards, "shard").groupBy("shard", "order", "h").agg(F.sum("n").alias("n")).select("order", "h", "n")
 
 
+def _dealt(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions a number that is dealt to it by hash, so that as
+    many shards fill all partitions evenly."""
+    number = F.col("id").cast("int")
+    found = spark.range(32 * n + 64).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("p")).agg(F.min(number).alias("k")).collect()
+    out = np.arange(n, dtype=np.int32)
+    for r in found:
+        out[r["p"]] = r["k"]
+    return out
+
+
 class LogFilter:
     """The filter as packed segments, or those from ``first`` on of ``count``;
     an n-gram's probes stay in one segment."""
@@ -216,16 +221,21 @@ def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
-def _word_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the training words and their counts; a table of checked size."""
+def _word_table(counts: DataFrame, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the v training words and their counts; a table of checked
+    size, which arrives part by part."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column("h").to_numpy().tobytes()], pa.binary()), pa.array([batch.column("n").to_numpy().tobytes()], pa.binary())], ["h", "n"])
-
-    parts = counts.where("order = 1").select("h", "n").mapInArrow(pack, "h binary, n binary").collect()
-    h = np.frombuffer(b"".join(r["h"] for r in parts), np.uint64)
-    n = np.frombuffer(b"".join(r["n"] for r in parts), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("h", "n")], ["h", "n"])
+
+    h, n, at = np.empty(v, np.uint64), np.empty(v, np.int64), 0
+    for r in counts.where("order = 1").select("h", "n").mapInArrow(pack, "h binary, n binary").toLocalIterator():
+        k = len(r["h"]) // 8
+        h[at : at + k], n[at : at + k] = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int64)
+        at += k
+    if not v or n.max() < 1 << 32:
+        n = n.astype(np.uint32)
     by = np.argsort(h)
     return h[by], n[by]
 
@@ -248,13 +258,14 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     told = counts.agg(F.sum(F.when(one, F.col("n"))).alias("n"), F.count(F.when(one, 1)).alias("v"), F.sum(level).alias("entries")).first()
     n, v = told["n"] or 0, told["v"]
     exact, size = v <= most_words, n_segments(told["entries"] or 0)
+    scratch.release()
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked, several = docs.select("doc_id", "text"), size * SEGMENT > max(MOST_BITS, SEGMENT)
     if several:
         asked, segments = _looked_up(scratch, asked, scratch.keep(filter_table(counts, size), "filter"), size), None
     else:
         segments = build_filter(counts, told["entries"] or 0).segments
-    shared = spark.sparkContext.broadcast((segments, *(_word_table(counts) if exact else (None, None))))
+    shared = spark.sparkContext.broadcast((segments, *(_word_table(counts, v) if exact else (None, None))))
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     found = asked.mapInArrow(_scorer(shared, n, v, names), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, text_key binary")
     if exact:
@@ -275,8 +286,8 @@ def _looked_up(scratch: Scratch, docs: DataFrame, table: DataFrame, count: int)
         shared = scratch.spark.sparkContext.broadcast(model.segments)
 
         def run(batches: Iterator[pa.RecordBatch], first=first, shared=shared) -> Iterator[pa.RecordBatch]:
-            model, memo = LogFilter(shared.value, first, count), WordHashes()
-            for rows, h, starts in _texts(batches, memo):
+            model = LogFilter(shared.value, first, count)
+            for rows, h, starts in _texts(batches):
                 own, back = np.unique(h, return_inverse=True)
                 found = [model.levels(own, 1)[back].astype(np.uint8), model.levels(pairs(h, starts)[1], 2).astype(np.uint8)]
                 if "one" in rows.schema.names:
@@ -299,14 +310,14 @@ def _told(rows: pa.RecordBatch) -> list[np.ndarray]:
 
 def _scorer(shared, n: int, v: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, words, word_n = shared.value
-        model, memo, total = None if segments is None else LogFilter(segments), WordHashes(), n + 0.5 * (v + 1)
-        for rows, h, starts in _texts(batches, memo):
+        segments, known_words, word_n = shared.value
+        model, total = None if segments is None else LogFilter(segments), n + 0.5 * (v + 1)
+        for rows, h, starts in _texts(batches):
             own, back = np.unique(h, return_inverse=True)
             c = np.zeros(len(own))
-            if words is not None and len(words):
-                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-                c = np.where(words[at] == own, word_n[at], 0).astype(np.float64)
+            if known_words is not None and len(known_words):
+                at = np.minimum(np.searchsorted(known_words, own), len(known_words) - 1)
+                c = np.where(known_words[at] == own, word_n[at], 0).astype(np.float64)
             ends = np.diff(np.append(starts, len(h)))
             base = np.add.reduceat(np.log10((c + 0.5) / total)[back], starts)
             known = np.add.reduceat((c > 0)[back].astype(np.int64), starts)
@@ -323,9 +334,11 @@ def _scorer(shared, n: int, v: int, names: list[str]):
             before = np.empty(len(h))
             before[1:] = single[back][:-1]
             before[starts] = single[np.searchsorted(own, np.uint64(END))]
-            p = BIGRAM * together / np.maximum(np.maximum(before, together), 1) + (1 - BIGRAM) * alone[back]
+            # A history that was never seen tells nothing: there the unigram has all the weight.
+            share = np.where(before > 0, BIGRAM, 0.0)
+            p = share * together / np.maximum(np.maximum(before, together), 1) + (1 - share) * alone[back]
             score = np.add.reduceat(np.log10(np.minimum(p, 1)), starts)
-            keys = [xxhash.xxh3_128_digest(t.as_py() or "") for t in rows.column("text")] if words is None else [None] * rows.num_rows
+            keys = [xxhash.xxh3_128_digest(t.as_py() or "") for t in rows.column("text")] if known_words is None else [None] * rows.num_rows
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ends), pa.array(known), pa.array(np.full(rows.num_rows, n)), pa.array(base), pa.array(score), pa.array(keys, pa.binary())], [*names, "text_key"])
 
     return run
@@ -337,8 +350,7 @@ def _joined_base(docs: DataFrame, counts: DataFrame, n: int, v: int) -> DataFram
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for rows, h, starts in _texts(batches, memo):
+        for rows, h, starts in _texts(batches):
             texts = rows.column("text")
             cuts = [*starts.tolist(), len(h)]
             for i in range(rows.num_rows):
