@@ -3,37 +3,47 @@
 A line is the set of its distinct words (A-Z in lower case). Words are ordered
 by rarity: by an upper bound of the number of lines they stand in (a counting
 array of fixed size, summed over all documents), then by hash. Lines with equal
-sets are one class. A pair of classes with Jaccard similarity of at least 0.8
-shares its rarest common word within both prefixes of size - ceil(0.8 size) + 1:
-
-* a word that stands in one line only can't be shared and is left out;
-* a word in at most RARE lines is a key of its own, so its list is bounded;
-* if the rarest common word is more frequent, so is the next one, and the pair
-  shares a key of two such words within prefixes that are longer by one.
-
-Pairs under a key pass a length filter, a positional filter, and a bound of the
-symmetric difference by 64-bit parity maps, all inside the join; what is left is
-verified on the full sets. Every filter is necessary for a match, so no match is
-lost.
+sets are one class. Two classes with Jaccard similarity of at least 0.8 share a
+word within the first size - ceil(0.8 size) + 1 of both, which are a line's keys; a
+word that stands in one line only can't be shared and is left out.
+
+* Lists of at most LONG lines are met inside the partitions that they are dealt to,
+  and pairs leave them that pass the length and positional filters and a bound of
+  the symmetric difference by 64-bit parity maps. Words that may stand in more than
+  WHOLE lines are counted before, so that no list of that size is dealt to a task.
+* Longer lists are cut into blocks of about BLOCK lines. Each two blocks are one
+  job, which verifies on the full sets and gives sums for each line, so that the
+  pairs of a large group are counted but never written. A pair that shares several
+  of these lists is counted in the first.
+
+Every filter is necessary for a match, so no match is lost.
 """
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, join_groups
-from . import arrays
-
-SLOTS, SLOT_BLOCK = 1 << 21, 1 << 16
-RARE = 512
-#: Documents whose texts are fetched by broadcast of their ids.
+from . import arrays, words
+from .words import mix
+
+SLOTS, SLOT_BLOCK = 1 << 24, 1 << 16
+#: Lines of a list whose pairs are written, of one that a task may get whole (2 MB),
+#: and of a block of a longer one than the first.
+LONG, WHOLE, BLOCK = 256, 1 << 16, 2048
+#: Lines of a block that are compared at once.
+TILE = 512
+#: Lines whose places are broadcast to fetch their texts (about 24 MB).
+FEW_LINES = 1 << 19
+#: Ids and pairs are broadcast up to this number (16 MB).
 FEW_IDS = 1 << 20
-_LOW = 44
-_MASK = (1 << _LOW) - 1
-_MOST = (1 << (64 - _LOW - 1)) - 1
+#: Bytes of text whose words are hashed at once.
+TEXT_BYTES = 1 << 22
+#: Columns of a matrix of lines and words.
+COLUMNS = 1 << 13
+_LOW = 55
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,60 +51,30 @@ def lines_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split(b"\n")
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 17:
-            self[word] = h
-        return h
-
-
-class WordOrder(dict):
-    """word -> 63-bit key whose order is that of rarity."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        key = int(self.counts[h % SLOTS]) << _LOW | (h >> 20) & _MASK
-        if len(self) < 1 << 17:
-            self[word] = key
-        return key
+def rank(counts: np.ndarray) -> np.ndarray:
+    """Eight steps for each doubling, 0 for what occurs once."""
+    return np.where(counts < 2, 0, np.minimum(255, np.floor(8 * np.log2(np.maximum(counts, 1)))))
 
 
 def line_counts(docs: DataFrame) -> np.ndarray:
-    """For each slot, at least the number of lines that have a word of that
-    slot: words are counted as often as they occur."""
+    """For each slot the rank of, at least, the number of lines that have a word
+    of that slot: words are counted as often as they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, out = WordHashes(), np.zeros(SLOTS, np.int32)
+        out = np.zeros(SLOTS, np.int32)
         for batch in batches:
-            words: list[bytes] = []
-            for text in batch.column("text"):
-                words += (text.as_py() or "").encode().lower().split()
-                if len(words) > 1 << 18:
-                    _count(out, words, memo)
-                    words = []
-            _count(out, words, memo)
+            for _, some in words.parts(batch.column("text"), TEXT_BYTES):
+                h, _ = words.counted(some)
+                slot, n = np.unique(h % np.uint64(SLOTS), return_counts=True)
+                out[slot.astype(np.int64)] += n.astype(np.int32)
         yield arrays.blocks_of(np.minimum(out, 65535).astype(np.uint16), SLOT_BLOCK)
 
-    counts = arrays.total(docs.select("text").mapInArrow(run, arrays.SCHEMA), np.uint16, SLOTS, SLOT_BLOCK)
-    return np.minimum(counts, _MOST).astype(np.int32)
-
-
-def _count(out: np.ndarray, words: list[bytes], memo: WordHashes) -> None:
-    np.add.at(out, np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) % np.uint64(SLOTS), 1)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    return arrays.total(docs.select("text").mapInArrow(run, arrays.SCHEMA), SLOTS, SLOT_BLOCK, rank, np.uint8)
 
 
 class Lines:
-    """The word sets of many lines at once.
+    """The word sets of many lines at once: flat holds the words' sort keys, whose
+    order is that of rarity, and sizes the words of each line.
 
     Lines of similar length are the rows of one matrix, whose rows are sorted,
     freed of repetitions and filled up with PAD."""
@@ -122,15 +102,17 @@ class Lines:
                 grid.sort(axis=1)
             own = grid != self.PAD
             self.n_words[lines] = own.sum(axis=1)
-            h = _mix(grid.view(np.uint64))
+            h = mix(grid.view(np.uint64))
             self.key[lines, 0] = np.where(own, h, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-            self.key[lines, 1] = np.where(own, _mix(h ^ _ODD), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+            self.key[lines, 1] = np.where(own, mix(h ^ _ODD), np.uint64(0)).sum(axis=1, dtype=np.uint64)
             one = np.where(own, np.uint64(1) << (h >> np.uint64(58)), np.uint64(0))
             self.bits[lines] = np.bitwise_xor.reduce(one, axis=1).view(np.int64)
             self.grids.append((lines, grid))
 
-    def signatures(self, wanted: np.ndarray, percent: int, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, key to meet under, position of the key's first word), sorted by line."""
+    def keys(self, wanted: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys of the wanted lines in order, keys of each line, place of each
+        line's first key among its words, keys of each line in lists up to WHOLE)."""
+        count, first, short = (np.zeros(len(self.n_words), np.int32) for _ in range(3))
         out = []
         for lines, grid in self.grids:
             pick = wanted[lines]
@@ -138,204 +120,356 @@ class Lines:
             if not len(lines):
                 continue
             n = self.n_words[lines].astype(np.int64)
-            spare = n + (-percent * n) // 100
-            once = (grid < 2 << _LOW).sum(axis=1)
-            often = (grid < (rare + 1) << _LOW).sum(axis=1)
+            spare = n + (-percent * n) // 100 + 1
+            once = np.minimum((grid < 1 << _LOW).sum(axis=1), spare)
+            often = np.clip((grid < int(rank(np.array(WHOLE))) << _LOW).sum(axis=1), once, spare)
+            count[lines], first[lines], short[lines] = spare - once, once, often - once
             col = np.arange(grid.shape[1])
-            row, at = np.nonzero((col >= once[:, None]) & (col < np.minimum(often, spare + 1)[:, None]))
-            out.append((lines[row], grid[row, at].view(np.uint64) * _ODD, at))
-            m = np.minimum(spare + 2, n) - often
-            for i in range(max(0, int(m.max()) - 1)):
-                for j in range(i + 1, int(m.max())):
-                    row = np.flatnonzero(m > j)
-                    a, b = (grid[row, often[row] + k].view(np.uint64) for k in (i, j))
-                    out.append((lines[row], (a * _ODD ^ (b >> np.uint64(7))) * _ODD + b, often[row] + i))
+            row, at = np.nonzero((col >= once[:, None]) & (col < spare[:, None]))
+            out.append((lines[row], grid[row, at]))
         if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        line, sig, at = (np.concatenate(x) for x in zip(*out, strict=True))
-        by = np.argsort(line, kind="stable")
-        return line[by], sig[by].view(np.int64), at[by].astype(np.int32)
-
-
-def _lines(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """A row per line. Keys are given once per task for a set that repeats."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+            return np.zeros(0, np.int64), count, first, short
+        line, key = (np.concatenate(x) for x in zip(*out, strict=True))
+        return key[np.argsort(line, kind="stable")], count, first, short
+
+
+def spread(texts: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sort keys of all words, words of each line, lines of each text)."""
+    data, offsets = words.raw(texts)
+    h, first = words.hashes(data, offsets)
+    key = (ranks[h % np.uint64(len(ranks))].astype(np.int64) << _LOW) | (h >> np.uint64(64 - _LOW)).astype(np.int64)
+    breaks = np.flatnonzero(data == 10)
+    # A line begins at each text's first byte and after each line feed.
+    n_lines = np.diff(np.searchsorted(breaks, offsets)) + 1
+    # Of a line, count the words before its end: its line feed or its text's end.
+    text = np.repeat(np.arange(len(n_lines)), n_lines)
+    last = np.cumsum(n_lines) - 1
+    ends = np.empty(len(text), np.int64)
+    inner = np.ones(len(text), bool)
+    inner[last] = False
+    ends[inner], ends[last] = breaks, offsets[1:]
+    before = np.searchsorted(first, ends)
+    return key, np.diff(np.concatenate([[0], before])), n_lines
+
+
+def _lines(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
+    """A row per line. h is a class's number, half of its set's digest; classes
+    that share one are told apart when pairs are verified. Keys are given once per
+    task for a set that repeats."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    names = ["doc_id", "text_key", "line_no", "n_words", "set_key", "h", "bits", "once", "short", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = WordOrder(shared.value), set()
+        seen: set[int] = set()
         for batch in batches:
-            ids, spots, sizes, words = [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for at, line in enumerate(lines_of(text.as_py())):
-                    own = line.split()
-                    ids.append(doc)
-                    spots.append(at)
-                    sizes.append(len(own))
-                    words += own
-                if len(words) > 1 << 18:
-                    yield _batch(ids, spots, sizes, words, order, seen, percent)
-                    ids, spots, sizes, words = [], [], [], []
-            if ids:
-                yield _batch(ids, spots, sizes, words, order, seen, percent)
-
-    return docs.mapInArrow(run, "doc_id long, line_no int, n_words int, set_key binary, bits long, sigs array<long>, spots array<int>")
-
-
-def _batch(ids: list, spots: list[int], sizes: list[int], words: list[bytes], order: WordOrder, seen: set, percent: int) -> pa.RecordBatch:
-    got = Lines(np.fromiter(map(order.__getitem__, words), np.int64, len(words)), np.array(sizes, np.int64))
-    n = got.n_words
-    # Sets that no set of another size can match have no keys.
-    wanted = n.astype(np.int64) * 100 // percent > n
-    for i in np.flatnonzero(wanted).tolist():
-        k = int(got.key[i, 0])
-        if k in seen:
-            wanted[i] = False
-        elif len(seen) < 1 << 19:
-            seen.add(k)
-    line, sig, at = got.signatures(wanted, percent)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(n)))]).astype(np.int32)
-    key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(got.key.tobytes())]).cast(pa.binary())
-    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (sig, at)]
-    columns = [pa.array(ids, pa.int64()), pa.array(spots, pa.int32()), pa.array(n), key, pa.array(got.bits), *lists]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "n_words", "set_key", "bits", "sigs", "spots"])
+            for at, some in words.parts(batch.column("text"), TEXT_BYTES):
+                flat, sizes, n_lines = spread(some, shared.value)
+                got, line = Lines(flat, sizes), np.repeat(np.arange(len(n_lines)), n_lines)
+                n = got.n_words
+                # Sets that no set of another size can match have no keys.
+                wanted = n.astype(np.int64) * 100 // percent > n
+                for i, k in zip(np.flatnonzero(wanted).tolist(), got.key[wanted, 0].tolist(), strict=True):
+                    if k in seen:
+                        wanted[i] = False
+                    elif len(seen) < 1 << 19:
+                        seen.add(k)
+                sig, count, once, short = got.keys(wanted, percent)
+                key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(got.key.tobytes())]).cast(pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sig))
+                own = pa.array(line + at)
+                spot = np.arange(len(line)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+                columns = [batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(spot.astype(np.int32)), pa.array(n), key, pa.array(got.key[:, 0].view(np.int64)), pa.array(got.bits), pa.array(once), pa.array(short), lists]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, line_no int, n_words int, set_key binary, h long, bits long, once int, short int, sigs array<long>")
 
 
 def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), n_words, class_doc, class_line, class_size, kept:
-    a row for each line of each row of docs.
+    """doc_id, line_no (from 0), n_words, class_doc, class_line, class_size,
+    n_links, kept: a row for each line of each row of docs.
 
     class_doc and class_line name the first line (by doc_id and line_no) with
-    the same set of words, class_size counts its lines. A line is kept unless an
-    earlier line matches it, removed or not. Lines without words match nothing
-    and are kept, with null class; a null text is one such line. A null doc_id
-    comes before all others. Rows that repeat entirely give the same lines
-    twice, kept or not alike. Other columns aren't looked at; an empty table
-    gives no rows."""
+    the same set of words, class_size counts its lines; n_links counts the other
+    lines that match this one. A line is kept unless a line with a smaller place
+    (doc_id, line_no) matches it, removed or not. Lines without words match
+    nothing and are kept, with null class and no links; a null text is one such
+    line. A null doc_id comes before all others. Rows that share a doc_id, with
+    the same text or another, have lines of their own, and none of two lines at
+    the same place is before the other. Other columns aren't looked at; an empty
+    table gives no rows.
+
+    The links of a group of m lines that all differ and all match are m (m - 1) / 2
+    comparisons, whatever the method; no row is written for them beyond lists of
+    LONG lines."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = line_counts(docs)
-    lines = scratch.keep(_lines(docs, counts, percent), "lines")
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    lines = scratch.keep(_lines(docs, line_counts(docs), percent), "lines")
     place = F.struct("doc_id", "line_no")
-    classes = lines.where("n_words > 0").groupBy("set_key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows"))
-    classes = scratch.keep(classes.withColumn("h", F.xxhash64("set_key")), "classes")
-    # One row of keys for each class; the lines go on without keys.
-    keyed = lines.where(F.size("sigs") > 0).select("set_key", "n_words", "bits", "sigs", "spots").join(classes.select("set_key", "h", "first"), "set_key").dropDuplicates(["set_key"])
-    keyed = scratch.keep(keyed.select("h", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("d"), F.col("first.line_no").alias("l"), "n_words", "bits", "sigs", "spots"), "keys")
-    slim = scratch.keep(lines.select("doc_id", "line_no", "n_words", "set_key"), "places")
-    scratch.drop(lines)
+    classes = lines.where("n_words > 0").groupBy("set_key", "h").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("first"), F.count(F.lit(1)).alias("n_rows"))
+    classes = scratch.keep(classes.select("set_key", "h", "n_rows", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), F.col("first.text_key").alias("text_key")), "classes")
     scratch.release()
 
-    # First every class meets the three earliest of its lists, which settles
-    # groups of near copies with few pairs; then what isn't matched yet meets all.
-    stars = scratch.keep(_stars(keyed, percent), "stars")
-    scratch.release()
-    matched = scratch.keep(_verified(docs, classes, stars, percent), "matched")
+    frequent = scratch.keep(_postings(lines, False).groupBy("sig", "h").agg(F.first("bits").alias("bits"), F.first("size_at").alias("size_at")), "frequent")
+    whole, rows = _postings(lines, True), None
+    if frequent.n_rows:
+        long = scratch.keep(frequent.groupBy("sig").agg(F.count(F.lit(1)).alias("n_list")).where(F.col("n_list") > LONG), "long")
+        whole = whole.unionByName(frequent.join(_few(long.select("sig"), long.n_rows), "sig", "left_anti").select("sig", "h", "bits", "size_at"))
+        rows = join_groups(frequent, long, "sig", "n_list").select("sig", "h", "bits", "size_at", "n_list")
+    met = scratch.keep(_met(whole, percent, LONG), "met", long=F.col("sig").isNotNull())
+    pairs = scratch.keep(met.where("sig IS NULL").select("a", "b").distinct(), "pairs")
+    if met.long:
+        own = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("h"), "bits", "size_at", "n_list")
+        rows = own if rows is None else rows.unionByName(own)
+    # The keys have been used; the lines go on without them.
+    places = scratch.keep(lines.select("doc_id", "line_no", "n_words", "set_key"), "places")
+    scratch.drop(lines)
     scratch.release()
-    rest = scratch.keep(_rest(keyed, matched, percent), "rest")
+    rows = None if rows is None else scratch.keep(rows, "long-rows")
+    if rows is not None:
+        own = scratch.keep(rows.groupBy("h").agg(F.sort_array(F.collect_set("sig")).alias("longs")), "hot")
+        rows = rows.join(_few(own), "h")
+        # These pairs are counted where their long lists are met.
+        a, b = _few(own).toDF("a", "la"), _few(own).toDF("b", "lb")
+        apart = ~F.coalesce(F.arrays_overlap("la", "lb"), F.lit(False))
+        pairs = scratch.keep(pairs.join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b"), "pairs")
+
+    need = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
+    need = need if rows is None else need.union(rows.select("h"))
+    sets = scratch.keep(_sets(scratch, docs, classes, need.distinct()), "sets")
+    found = _confirmed(pairs, sets, percent)
+    found = found if rows is None else found.unionByName(_jobs(scratch, rows, sets, percent))
+    found = scratch.keep(found, "found")
+    scratch.drop(sets, frequent, met)
+    found = found.groupBy("set_key").agg(F.sum("n_other").alias("n_other"), F.min("other").alias("other"))
     scratch.release()
-    matched = matched.union(_verified(docs, classes, rest, percent)).distinct()
 
-    told = classes.join(matched.withColumn("later", F.lit(True)), "set_key", "left").select("set_key", "n_rows", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    there = join_groups(slim.where("n_words > 0"), scratch.keep(told, "told"), "set_key", "n_rows")
-    there = there.select("doc_id", "line_no", "n_words", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), F.col("n_rows").alias("class_size"), (place.eqNullSafe(F.col("first")) & ~F.col("later")).alias("kept"))
-    none = slim.where("n_words = 0").select("doc_id", "line_no", "n_words", F.lit(None).cast("long").alias("class_doc"), F.lit(None).cast("int").alias("class_line"), F.lit(None).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    first = F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))
+    told = classes.join(found, "set_key", "left").select("set_key", "n_rows", first.alias("first"), F.least(first, "other").alias("earliest"), (F.col("n_rows") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"))
+    there = join_groups(places.where("n_words > 0"), scratch.keep(told, "told"), "set_key", "n_rows")
+    there = there.select("doc_id", "line_no", "n_words", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), F.col("n_rows").alias("class_size"), "n_links", place.eqNullSafe(F.col("earliest")).alias("kept"))
+    null = lambda kind: F.lit(None).cast(kind)
+    none = places.where("n_words = 0").select("doc_id", "line_no", "n_words", null("long").alias("class_doc"), null("int").alias("class_line"), null("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return there.unionByName(none)
 
 
-def _postings(keyed: DataFrame, *more: str) -> DataFrame:
-    each = keyed.select("h", "d", "l", "n_words", "bits", *more, F.explode(F.arrays_zip("sigs", "spots")).alias("z"))
-    return each.select(F.col("z.sigs").alias("sig"), "h", "d", "l", "bits", (F.col("n_words").cast("long") * (1 << 31) + F.col("z.spots")).alias("size_at"), *more)
+def _few(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """A table of known size, to be broadcast if it is small."""
+    return F.broadcast(df) if (df.n_rows if n_rows is None else n_rows) <= FEW_IDS else df
 
 
-def _near(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
-    """The length, positional and parity filters for two postings of a key."""
-    size = lambda p: F.shiftright(p["size_at"], 31)
-    rest = lambda p: size(p) - p["size_at"].bitwiseAND((1 << 31) - 1)
-    both = size(x) + size(y)
-    return (
-        (100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y)))
-        & ((100 + percent) * F.least(rest(x), rest(y)) >= percent * both)
-        # (100 + p) * overlap >= p * both, so the symmetric difference is at most both (100 - p) / (100 + p).
-        & ((100 + percent) * F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= (100 - percent) * both)
-    )
+def _postings(lines: DataFrame, short: bool) -> DataFrame:
+    """(sig, h, bits, size_at) of keys in lists of surely at most WHOLE lines, or the rest."""
+    mine = lines.where(F.col("short") > 0 if short else F.size("sigs") > F.col("short"))
+    some = F.slice("sigs", F.lit(1), F.col("short")) if short else F.slice("sigs", F.col("short") + 1, F.size("sigs") - F.col("short"))
+    each = mine.select("h", "bits", "n_words", (F.col("once") + (F.lit(0) if short else F.col("short"))).alias("from"), F.posexplode(some).alias("at", "sig"))
+    return each.select("sig", "h", "bits", (F.col("n_words").cast("long") * (1 << 31) + F.col("from") + F.col("at")).alias("size_at"))
 
 
-HUBS = 3
+def _met(postings: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs (a, b) of class numbers under the same key that pass the filters; of
+    lists of more than ``most`` lines, the rows (sig, a, bits, size_at, n_list). No
+    list is longer than WHOLE, so a partition's rows are as many as in any shuffle."""
+    names = ["a", "b", "sig", "bits", "size_at", "n_list"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(c).to_numpy() for c in ("sig", "h", "bits", "size_at")] for b in batches if b.num_rows]
+        if not held:
+            return
+        sig, h, bits, size_at = (np.concatenate(c) for c in zip(*held, strict=True))
+        del held
+        by = np.lexsort((h, size_at, sig))
+        sig, h, bits, size_at = sig[by], h[by], bits[by].view(np.uint64), size_at[by]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])
+        sig, h, bits, size_at = sig[new], h[new], bits[new], size_at[new]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        n_list = np.diff(np.append(first, len(sig)))
+        n_list = np.repeat(n_list, n_list)
+        long = n_list > most
+        if long.any():
+            none = pa.nulls(int(long.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h[long]), none, *(pa.array(x[long]) for x in (sig, bits.view(np.int64), size_at, n_list))], names)
+            sig, h, bits, size_at = (x[~long] for x in (sig, h, bits, size_at))
+        size = size_at >> 31
+        rest = size - (size_at & ((1 << 31) - 1))
+        # A list is sorted by size, so what is too long for a line stays so further on.
+        at = np.arange(max(0, len(sig) - 1))
+        at = at[sig[1:] == sig[:-1]]
+        step, out, n = 1, [], 0
+        while len(at):
+            to = at + step
+            ok = (sig[to] == sig[at]) & (percent * size[to] <= 100 * size[at])
+            at, to = at[ok], to[ok]
+            both = size[at] + size[to]
+            near = (100 + percent) * np.minimum(rest[at], rest[to]) >= percent * both
+            # (100 + p) * overlap >= p * both, so the symmetric difference is at most both (100 - p) / (100 + p).
+            near &= (100 + percent) * np.bitwise_count(bits[at] ^ bits[to]).astype(np.int64) <= (100 - percent) * both
+            x, y = h[at[near]], h[to[near]]
+            out.append((np.minimum(x, y), np.maximum(x, y)))
+            n += len(x)
+            step += 1
+            at = at[at + step < len(sig)]
+            if n > 1 << 18 or not len(at):
+                a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 4], names)
+                out, n = [], 0
+
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartition(n, "sig").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _sets(scratch: Scratch, docs: DataFrame, classes: DataFrame, need: DataFrame) -> DataFrame:
+    """(h, set_key, n_rows, d, l, words): the packed word hashes of the classes
+    needed, out of the text that has the first line of each."""
+    wanted = scratch.keep(classes.join(need, "h"), "wanted")
+    asked = F.collect_list(F.struct("l", "h", "set_key", "n_rows", "d")).alias("asked")
+    by_text = wanted.groupBy(F.col("d").alias("id"), F.col("text_key").alias("key")).agg(asked)
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
+    # The texts stay where they are if the places are few; else both are shuffled.
+    texts = docs.join(F.broadcast(by_text) if wanted.n_rows <= FEW_LINES else by_text, same).select("text", "asked")
+    names = ["h", "set_key", "n_rows", "d", "l", "words"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
-def _stars(keyed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of class numbers: a and one of the earliest in a list of a's."""
-    w = Window.partitionBy("sig").orderBy("d", "l", "h")
-    own = {c: F.col(c) for c in ("h", "bits", "size_at")}
-    hubs = [F.nth_value(F.struct("h", "bits", "size_at"), i + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"hub{i}") for i in range(HUBS)]
-    rows = _postings(keyed).select("sig", *own, *hubs)
-    near = [F.when(_near(own, {c: F.col(f"hub{i}")[c] for c in own}, percent) & (F.col("h") != F.col(f"hub{i}.h")), F.col(f"hub{i}.h")) for i in range(HUBS)]
-    pairs = rows.select(F.col("h").alias("a"), F.filter(F.array(*near), lambda b: b.isNotNull()).alias("bs")).where(F.size("bs") > 0)
-    return pairs.select("a", F.explode("bs").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, asked in zip(batch.column("text"), batch.column("asked"), strict=True):
+                asked = asked.as_py()
+                lines = lines_of(text.as_py())
+                own = [w for w in asked if w["l"] < len(lines)]
+                h, n = words.counted(pa.array([lines[w["l"]] for w in own], pa.binary()).cast(pa.string()))
+                ends = np.cumsum(n)
+                for w, end, k in zip(own, ends.tolist(), n.tolist(), strict=True):
+                    rows.append((w["h"], w["set_key"], w["n_rows"], w["d"], w["l"], packed(h[end - k : end])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
+    # Repeated rows have the same text under the same id.
+    return texts.mapInArrow(run, "h long, set_key binary, n_rows long, d long, l int, words binary").dropDuplicates(["set_key"])
 
-def _rest(keyed: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): a isn't matched yet, b is any earlier class under a key of a."""
-    done = matched.select(F.xxhash64("set_key").alias("h")).distinct()
-    done = F.broadcast(done) if done.count() <= FEW_IDS else done
-    open_ = keyed.join(done.withColumn("done", F.lit(True)), "h", "left").withColumn("open", F.col("done").isNull()).drop("done")
-    each = _postings(open_, "open").repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig")
-    x, y = ({c: F.col(f"{t}.{c}") for c in ("h", "d", "l", "bits", "size_at")} for t in "xy")
-    earlier = (y["d"] < x["d"]) | ((y["d"] == x["d"]) & ((y["l"] < x["l"]) | ((y["l"] == x["l"]) & (y["h"] < x["h"]))))
-    both = each.alias("x").join(each.alias("y"), (F.col("x.sig") == F.col("y.sig")) & F.col("x.open") & earlier & _near(x, y, percent))
-    return both.select(x["h"].alias("a"), y["h"].alias("b")).distinct()
 
+def packed(h: np.ndarray) -> bytes:
+    """The upper 48 bits of hashes: two given words share them with probability 4e-15."""
+    return np.unique(h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-HASH_BYTES = 6
 
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
 
-def packed(words: set[bytes]) -> bytes:
-    """A set of words as 48-bit hashes."""
-    return b"".join({xxhash.xxh3_64_digest(w)[:HASH_BYTES] for w in words})
 
+FOUND = "set_key binary, n_other long, other struct<doc_id: bigint, line_no: int>"
 
-def unpacked(data: bytes) -> set[bytes]:
-    return {data[i : i + HASH_BYTES] for i in range(0, len(data), HASH_BYTES)}
 
+def _told(keys: list, n: list, docs: list, lines: list) -> pa.RecordBatch:
+    other = pa.StructArray.from_arrays([pa.array(docs, pa.int64()), pa.array(lines, pa.int32())], ["doc_id", "line_no"])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), other], ["set_key", "n_other", "other"])
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(set_key) of each a that really matches its b, for pairs (a, b) of class
-    numbers; sets come from the first line of each class."""
-    need = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    wanted = classes.join(need, "h").select("h", "set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h", "set_key")).alias("wanted"))
-    # Only texts that are looked into are shuffled; their ids are broadcast if few.
-    ids = Scratch(docs.sparkSession, "line-ids").keep(by_doc.select(F.col("doc_id").alias("i")), "ids")
-    if ids.n_rows <= FEW_IDS:
-        docs = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    texts = docs.withColumnRenamed("doc_id", "d").join(by_doc, F.col("d").eqNullSafe(F.col("doc_id"))).select("text", "wanted")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
-                lines = lines_of(text.as_py())
-                for w in wanted.as_py():
-                    words = set(lines[w["line_no"]].split()) if w["line_no"] < len(lines) else []
-                    rows.append((w["h"], w["set_key"], packed(words)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["h", "set_key", "words"])
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each of the pairs (a, b) that matches on the full sets, two rows: what
+    either class gains by the other."""
 
-    sets = texts.mapInArrow(run, "h long, set_key binary, words binary").dropDuplicates(["set_key"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True):
+            for x, y in zip(batch.column("words_a"), batch.column("words_b"), strict=True):
                 x, y = unpacked(x.as_py()), unpacked(y.as_py())
-                same = len(x & y)
+                same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(["ka"]).rename_columns(["set_key"]).filter(pa.array(ok, pa.bool_()))
-
-    scratch = Scratch(docs.sparkSession, "line-sets")
-    sets = scratch.keep(sets, "sets")
-    a, b = sets.toDF("a", "ka", "wa"), sets.toDF("b", "kb", "wb")
-    return pairs.join(a, "a").join(b, "b").select("ka", "wa", "wb").mapInArrow(check, "set_key binary").distinct()
+            batch = batch.filter(pa.array(ok, pa.bool_()))
+            for x, y in (("a", "b"), ("b", "a")):
+                yield _told(batch.column(f"set_key_{x}").to_pylist(), *(batch.column(f"{c}_{y}").to_pylist() for c in ("n_rows", "d", "l")))
+
+    cols = ["set_key", "n_rows", "d", "l", "words"]
+    side = lambda x: sets.select(F.col("h").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    ids = pairs.select("b").distinct()
+    left, right = side("a").join(_few(pairs), "a"), side("b").join(F.broadcast(ids) if pairs.n_rows <= FEW_IDS else ids, "b", "left_semi")
+    both = left.join(right, "b").where("set_key_a <> set_key_b")
+    return both.select(*[f"{c}_{x}" for x in "ab" for c in cols]).mapInArrow(run, FOUND)
+
+
+def _jobs(scratch: Scratch, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The same for long lists: rows (sig, h, bits, size_at, n_list, longs). A list
+    has blocks of about BLOCK lines, and each two blocks, or one with itself, are a
+    group of bounded size."""
+    blocks = F.ceil(F.col("n_list") / BLOCK).cast("int")
+    own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("h", "sig"), F.col("blocks")).cast("int"))
+    own = own.select("sig", "h", "bits", "longs", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    hot = scratch.keep(rows.select("h").distinct(), "hot-sets")
+    own = own.join(sets.join(_few(hot), "h", "left_semi"), "h").select("sig", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "bits", "longs", "set_key", "n_rows", "d", "l", "words")
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_job(table, percent)])
+
+    return own.groupBy("sig", "one", "two").applyInArrow(run, FOUND)
+
+
+def _job(table: pa.Table, percent: int) -> pa.RecordBatch:
+    table = table.sort_by([("d", "ascending"), ("l", "ascending")])
+    # A null doc_id is the smallest.
+    ids = table.column("d")
+    if ids.null_count:
+        table = pa.concat_tables([table.filter(ids.is_null()), table.filter(ids.is_valid())])
+    table = table.combine_chunks()
+    sig, one, two = (table.column(c)[0].as_py() for c in ("sig", "one", "two"))
+    block, bits, n_rows = (table.column(c).to_numpy() for c in ("block", "bits", "n_rows"))
+    sets = [unpacked(x.as_py()) for x in table.column("words")]
+    size = np.array([len(x) for x in sets], np.int64)
+    # A pair is counted in the first of the long lists that both stand in.
+    earlier = [np.array([x for x in longs if x < sig], np.int64) for longs in table.column("longs").to_pylist()]
+    gained, first = np.zeros(len(sets), np.int64), np.full(len(sets), len(sets))
+    rows, cols = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    for at in range(0, len(rows), TILE):
+        i = rows[at : at + TILE]
+        for to in range(at if one == two else 0, len(cols), TILE):
+            j = cols[to : to + TILE]
+            both = size[i][:, None] + size[j]
+            ok = 100 * np.minimum(size[i][:, None], size[j]) >= percent * np.maximum(size[i][:, None], size[j])
+            ok &= (100 + percent) * np.bitwise_count((bits[i][:, None] ^ bits[j]).view(np.uint64)).astype(np.int64) <= (100 - percent) * both
+            if one == two:
+                ok &= i[:, None] < j
+            ok &= _common([earlier[k] for k in i], [earlier[k] for k in j], ok) == 0
+            same = _common([sets[k] for k in i], [sets[k] for k in j], ok)
+            ok &= 100 * same >= percent * (both - same)
+            gained[i] += ok.astype(np.int64) @ n_rows[j]
+            gained[j] += ok.T.astype(np.int64) @ n_rows[i]
+            # Rows are in the order of places, so the smallest number is the first place.
+            for mine, other, hit in ((i, j, ok), (j, i, ok.T)):
+                some = hit.any(axis=1)
+                first[mine[some]] = np.minimum(first[mine[some]], other[hit[some].argmax(axis=1)])
+    some = np.flatnonzero(gained).tolist()
+    keys, docs, lines = (table.column(c).to_pylist() for c in ("set_key", "d", "l"))
+    return _told([keys[i] for i in some], gained[some].tolist(), [docs[first[i]] for i in some], [lines[first[i]] for i in some])
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], ok: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets, where ok; few at a time or, where
+    many are asked for, as products of matrices with a column for each word."""
+    out = np.zeros(ok.shape, np.int64)
+    i, j = np.nonzero(ok)
+    if len(i) <= 4 * (len(left) + len(right)):
+        out[i, j] = [len(np.intersect1d(left[a], right[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        return out
+    rows, cols = np.unique(i), np.unique(j)
+    sets = [left[k] for k in rows.tolist()] + [right[k] for k in cols.tolist()]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Words of one set only add nothing.
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    word = place[word]
+    part = np.zeros((len(rows), len(cols)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        here = (word >= at) & (word < at + COLUMNS)
+        grid = np.zeros((len(sets), min(COLUMNS, len(shared) - at)), np.float32)
+        grid[owner[here], word[here] - at] = 1
+        part += grid[: len(rows)] @ grid[len(rows) :].T
+    out[np.ix_(rows, cols)] = part.astype(np.int64)
+    return np.where(ok, out, 0)
 
 
 def drop_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -361,9 +495,9 @@ c AS (SELECT ws, min((doc_id, line_no)) AS first, count(*) AS n, len(ws) AS k, r
 e AS (SELECT id, k, unnest(ws) AS w FROM c),
 p AS (SELECT a.id AS a, b.id AS b, any_value(a.k) AS ka, any_value(b.k) AS kb, count(*) AS n FROM e a JOIN e b ON a.w = b.w AND a.id <> b.id AND 5 * a.k >= 4 * b.k AND 5 * b.k >= 4 * a.k GROUP BY 1, 2),
 l AS (SELECT a, b FROM p WHERE 100 * n >= 80 * (ka + kb - n)),
-o AS (SELECT l.a, min(c.first) AS first FROM l JOIN c ON c.id = l.b GROUP BY l.a),
-r AS (SELECT c.ws, c.first, c.n, least(c.first, coalesce(o.first, c.first)) AS earliest FROM c LEFT JOIN o ON o.a = c.id)
+o AS (SELECT l.a, min(c.first) AS first, sum(c.n) AS n FROM l JOIN c ON c.id = l.b GROUP BY l.a),
+r AS (SELECT c.ws, c.first, c.n, least(c.first, coalesce(o.first, c.first)) AS earliest, c.n - 1 + coalesce(o.n, 0) AS n_links FROM c LEFT JOIN o ON o.a = c.id)
 SELECT v.doc_id, v.line_no, len(v.ws) AS n_words, r.first[1] AS class_doc, r.first[2] AS class_line, r.n AS class_size,
-       coalesce((v.doc_id, v.line_no) = r.earliest, true) AS kept
+       CAST(coalesce(r.n_links, 0) AS BIGINT) AS n_links, coalesce((v.doc_id, v.line_no) = r.earliest, true) AS kept
 FROM v LEFT JOIN r ON v.ws = r.ws
 """

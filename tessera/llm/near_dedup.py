@@ -287,7 +287,7 @@ def _open_pairs(scratch: Scratch, members: DataFrame, sets: DataFrame, known: Da
                 np.add.at(out, np.frombuffer(x.as_py(), np.uint64) % np.uint64(SLOTS), 1)
         yield arrays.blocks_of(np.minimum(out, 65535).astype(np.uint16), SLOT_BLOCK)
 
-    counts = arrays.total(sets.select("set").mapInArrow(count, arrays.SCHEMA), np.uint16, SLOTS, SLOT_BLOCK)
+    counts = arrays.total(sets.select("set").mapInArrow(count, arrays.SCHEMA), SLOTS, SLOT_BLOCK)
     shared = scratch.spark.sparkContext.broadcast(counts.astype(np.int32))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

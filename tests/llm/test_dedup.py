@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import components, exact_dedup, line_dedup, near_dedup
@@ -55,6 +56,16 @@ def test_exact_oddities(odd):
     assert len(ids) == len(set(ids)) and {2, 4, None} <= set(ids) and not {1, 3} & set(ids)
 
 
+def test_dropping_copies_does_not_move_texts(spark, odd):
+    rows = [(i, f"text {i // 2}", i) for i in range(100)] + [(7, "text 3", 9), (7, "text 3", 9), (None, "text 3", 1), (None, "alone", 2), (None, "alone", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone int")
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([(str(i), f"text {i // 2}") for i in range(1, 100, 2)] + [("None", "alone")])
+    plain = exact_dedup.drop_copies(df.where("doc_id < 100").dropDuplicates(["doc_id"]))
+    assert "ShuffleExchange" not in plain._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSparkPlan", "")
+
+
 def test_hot_keys(spark):
     rows = [(i, "same" if i % 2 else f"t{i}") for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -188,19 +199,24 @@ def test_components(spark):
 
 
 def brute_lines(docs):
-    lines = [(d, i, frozenset(line.encode().lower().split())) for d, t in docs for i, line in enumerate((t or "").split("\n"))]
-    out = {}
-    for d, i, s in lines:
-        match = [(e, j) for e, j, u in lines if (e, j) != (d, i) and s and u and 100 * len(s & u) >= 80 * len(s | u)]
-        out[d, i] = len(s), not any(m < (d, i) for m in match)
-    return out
+    """Rows of (place, words, links, kept), by comparing all lines."""
+    lines = [((d is not None, d or 0, i), frozenset(line.encode().lower().split())) for d, t in docs for i, line in enumerate((t or "").split("\n"))]
+    out = []
+    for x, (place, s) in enumerate(lines):
+        match = [p for y, (p, u) in enumerate(lines) if x != y and s and u and 100 * len(s & u) >= 80 * len(s | u)]
+        out.append((place, len(s), len(match), not any(p < place for p in match)))
+    return collections.Counter(out)
 
 
-@pytest.mark.parametrize("rare", [1, 3, line_dedup.RARE])
-def test_lines_match_brute_force(spark, monkeypatch, rare):
-    """With a small RARE most words are frequent, so pairs meet by two words."""
-    plain = line_dedup.Lines.signatures
-    monkeypatch.setattr(line_dedup.Lines, "signatures", lambda self, wanted, percent: plain(self, wanted, percent, rare))
+def lines_found(df):
+    return collections.Counter(((r["doc_id"] is not None, r["doc_id"] or 0, r["line_no"]), r["n_words"], r["n_links"], r["kept"]) for r in line_dedup.line_classes(df).collect())
+
+
+@pytest.mark.parametrize("long, whole, block, tile", [(3, 8, 4, 3), (3, 1 << 16, 8, 512), (line_dedup.LONG, line_dedup.WHOLE, line_dedup.BLOCK, line_dedup.TILE)])
+def test_lines_match_brute_force(spark, monkeypatch, long, whole, block, tile):
+    """With a small LONG most lists are cut into blocks. Some ids are null or repeat."""
+    for name, value in (("LONG", long), ("WHOLE", whole), ("BLOCK", block), ("TILE", tile)):
+        monkeypatch.setattr(line_dedup, name, value)
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(line_dedup)
@@ -208,17 +224,44 @@ def test_lines_match_brute_force(spark, monkeypatch, rare):
         rng = random.Random(9)
         texts = [t for _, t in corpus(60, seed=8)]
         docs = [(i, "\n".join(rng.sample(texts, rng.randint(1, 6)))) for i in range(50)]
+        family = [f"b{j}" for j in range(40)]
+        for i in range(24):
+            own = [w if rng.random() > 0.05 else f"o{i}_{w}" for w in family]
+            docs.append((rng.choice([None, 7, 7, 60 + i]), " ".join(own) + "\n" + rng.choice(texts)))
+        docs.append(docs[-1])
         df = spark.createDataFrame(docs, "doc_id long, text string")
-        got = {(r["doc_id"], r["line_no"]): (r["n_words"], r["kept"]) for r in line_dedup.line_classes(df).collect()}
-        assert got == brute_lines(docs)
+        assert lines_found(df) == brute_lines(docs)
     finally:
         cloudpickle.unregister_pickle_by_value(line_dedup)
 
 
+@pytest.mark.parametrize("shared", [None, 1])
+def test_near_copies_of_lines_under_one_id_go(spark, shared):
+    """Six texts that share a doc_id, and six later near copies of them."""
+    texts = [" ".join(f"t{i}w{j}" for j in range(20)) for i in range(6)]
+    docs = [(shared, t) for t in texts] + [(100 + i, t + " more") for i, t in enumerate(texts)]
+    assert lines_found(spark.createDataFrame(docs, "doc_id long, text string")) == brute_lines(docs)
+    assert line_dedup.line_classes(spark.createDataFrame(docs, "doc_id long, text string")).where("NOT kept").count() == 6
+
+
+def test_a_long_line_has_few_keys():
+    flat, sizes, _ = line_dedup.spread(pa.array([" ".join(f"w{i}" for i in range(2000))]), np.full(1 << 10, 200, np.uint8))
+    keys, count, first, short = line_dedup.Lines(flat, sizes).keys(np.array([True]), 80)
+    assert (len(keys), count[0], first[0], short[0]) == (401, 401, 0, 0)
+
+
+def test_spread_words_over_lines():
+    rng = random.Random(4)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice(["a", "B ", "\n", " ", "é", "\n\n"]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    _, sizes, n_lines = line_dedup.spread(pa.array(texts), np.zeros(16, np.uint8))
+    want = [line_dedup.lines_of(t) for t in texts]
+    assert n_lines.tolist() == [len(w) for w in want] and sizes.tolist() == [len(x.split()) for w in want for x in w]
+
+
 def test_line_oddities(odd, spark):
     got = line_dedup.line_classes(odd)
     assert got.where("n_words = 0 AND NOT kept").count() == 0
-    assert got.where("doc_id = 2 AND kept").count() == 0 and got.where("doc_id = 1 AND kept AND class_size = 3").count() == 1
+    assert got.where("doc_id = 2 AND kept").count() == 0 and got.where("doc_id = 1 AND kept AND class_size = 3 AND n_links = 2").count() == 1
     df = spark.createDataFrame([(1, "keep me\nand this line"), (2, "and this line\nnew"), (3, None)], "doc_id long, text string").selectExpr("*", "1 AS line_no")
     clean = line_dedup.drop_lines(df)
     assert clean.columns == df.columns
