@@ -2,8 +2,8 @@
 
 Bytes are embedded, passed through filters of several widths, max-pooled over a
 window of WINDOW bytes and classified by softmax. The network is trained in
-numpy on the driver on a bounded sample: at most ``per_lang`` documents of each
-of at most ``max_langs`` languages and four windows of each. Prediction reads
+numpy on the driver on a bounded sample: at most ``per_lang`` documents of every
+language and four windows of each. Prediction reads
 whole texts: every byte is in one window, and the windows' log-probabilities are
 averaged by their bytes.
 """
@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import release
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 PAD = 256
@@ -122,28 +124,26 @@ def _gradient(p: dict, codes: np.ndarray, y: np.ndarray, dim: int) -> dict:
     return {"emb": d_emb, "conv": d_conv, "bias": dh.sum(axis=0), "out": h.T @ d, "out_bias": d.sum(axis=0)}
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_langs: int = 200) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most: int = 80_000) -> Model:
     """Train on docs, which hold the rows to learn from. Rows with a null
-    doc_id, text or language don't take part. The sample is chosen by a hash of
-    the doc_id, so it is the same for the same rows."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return train([])
+    doc_id, text or language don't take part. Of each language at most
+    ``per_lang`` rows are learned from, and fewer, but one at least, where all
+    languages together would have more than ``most``. They are chosen by a hash of
+    the doc_id, so they are the same for the same rows; rows that repeat entirely
+    count once."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
+    each = max(1, min(per_lang, most // max(1, sizes.count())))
     grain = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(grain, int(grain * 2 * per_lang / r["count"]) + 1))])
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(grain))
-    some = known.select("doc_id", "lang", mark.alias("mark")).where(F.col("mark") < share[F.col("lang")]).collect()
-    chosen, seen = set(), {}
-    for r in sorted(some, key=lambda r: (r["mark"], r["doc_id"])):
-        if seen.setdefault(r["lang"], 0) < per_lang:
-            seen[r["lang"]] += 1
-            chosen.add(r["doc_id"])
-    text = F.col(text_col)
-    spots = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.substring(text, (F.length(text) * i / 4).cast("int") + 1, WINDOW))
-    rows = docs.where(F.col(id_col).isin(sorted(chosen)) & text.isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), spots.alias("spots")).collect()
-    samples = [(r["lang"], s) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["spots"])) for s in r["spots"] if any(c.isalpha() for c in s)]
-    return train(samples)
+    share = F.least(F.lit(grain), (F.lit(2.0 * each * grain) / F.col("n_rows")).cast("long") + 1)
+    some = known.withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(grain))).join(F.broadcast(sizes), "lang").where(F.col("mark") < share)
+    spots = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.substring(F.col("text"), (F.length("text") * i / 4).cast("int") + 1, WINDOW))
+    some = some.select("lang", "mark", "doc_id", spots.alias("spots")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id", "spots"))
+    rows = some.withColumn("first", first).where(F.col("first") <= each).select("doc_id", "lang", "spots").collect()
+    release(docs.sparkSession)
+    return train([(r["lang"], s) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["spots"])) for s in r["spots"] if any(c.isalpha() for c in s)])
 
 
 def predict_text(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
