@@ -2,12 +2,13 @@
 
 The index lists, for every word of the license templates, the templates and
 positions where it stands, with an inverse document frequency over the
-templates. A file is looked up by each template's highest-IDF word only; every
-hit fixes where the template would start, the other postings are intersected at
-their positions relative to that start, and a template counts if its mandatory
-key phrase stands there in full. The templates are a fixed list, so the index is
-of constant size and lives in the expressions themselves. Built-in functions
-only; no shuffle.
+templates. A file is looked up by the highest-IDF words of key phrases that it
+has: a key phrase must stand in full, so of each template that can match it has the
+rarest word. Every hit fixes where the template would start, the other postings
+are intersected at their positions relative to that start, and a template counts
+if its mandatory key phrase stands there in full and LEAST of its weight is at its
+place. The templates are a fixed list, so the index is of constant size and lives
+in the expressions themselves. Built-in functions only; no shuffle.
 """
 import math
 from dataclasses import dataclass
@@ -39,8 +40,8 @@ BASE = (
     _t("apache-2", "apache license version 2", base=True),
     _t("cc-by-nc", "cc by nc", base=True),
 )
-# Phrases of well-known licenses. (No word has a letter that a
-# non-ASCII letter lower-cases to.)
+# Beginnings and notices of well-known licenses, each with the phrase
+# that must be there. (No word has a letter that a non-ASCII letter lower-cases to.)
 MORE = (
     _t("gpl", "licensed under the gnu general public license version", "gnu general public license"),
     _t("lgpl", "licensed under the gnu lesser general public license version", "gnu lesser general public license"),
@@ -50,6 +51,46 @@ MORE = (
     _t("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
     _t("apache-2", "licensed under the apache license version 2", "licensed under the apache license"),
     _t("cc-by", "creative commons attribution license", "creative commons attribution"),
+    _t("mit", """
+permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+the software to deal in the software without restriction including without limitation the rights to use copy modify merge
+publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do
+so subject to the following conditions""", "to use copy modify merge publish distribute sublicense"),
+    _t("bsd", """
+redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+in the documentation and or other materials provided with the distribution""", "must retain the above copyright notice"),
+    _t("bsd-3", """
+neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission""", "to endorse or promote products derived from this software"),
+    _t("isc", """
+permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided
+that the above copyright notice and this permission notice appear in all copies""", "for any purpose with or without fee is hereby granted"),
+    _t("apache-2", """
+licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you
+may obtain a copy of the license at""", "you may not use this file except in compliance with the license"),
+    _t("gpl", """
+this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as
+published by the free software foundation either version""", "under the terms of the gnu general public license"),
+    _t("lgpl", """
+this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license
+as published by the free software foundation either version""", "under the terms of the gnu lesser general public license"),
+    _t("agpl", """
+you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free
+software foundation either version""", "under the terms of the gnu affero general public license"),
+    _t("mpl-2", """
+this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with
+this file you can obtain one at""", "if a copy of the mpl was not distributed with this file"),
+    _t("zlib", """
+this software is provided as is without any express or implied warranty in no event will the authors be held liable for any
+damages arising from the use of this software permission is granted to anyone to use this software for any purpose including
+commercial applications""", "permission is granted to anyone to use this software for any purpose"),
+    _t("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "free and unencumbered software released into the public domain"),
+    _t("bsl-1", "distributed under the boost software license version 1 0", "boost software license"),
+    _t("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    _t("ofl", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    _t("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "has waived all copyright and related or neighboring rights"),
+    _t("cc-by-sa", "creative commons attribution sharealike license", "creative commons attribution sharealike"),
 )
 #: Share of a template's IDF that must stand at its place, beside the key phrase.
 LEAST = 0.5
@@ -93,9 +134,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index:
         key = lambda s: _all([word(s + t.key_at + j) == F.lit(w) for j, w in enumerate(t.key)])
         starts = F.transform(F.filter("spots", lambda i: word(i) == F.lit(rare)), lambda i: i - at)
         weights = index.weights(t)
+        own = F.array(*[F.struct(F.lit(j).alias("at"), F.lit(w).alias("word"), F.lit(x).alias("idf")) for j, (w, x) in enumerate(zip(t.words, weights, strict=True))])
 
         def share(s: Column) -> Column:
-            got = sum((F.when(word(s + j) == F.lit(w), F.lit(x)).otherwise(F.lit(0.0)) for j, (w, x) in enumerate(zip(t.words, weights, strict=True))), F.lit(0.0))
+            got = F.aggregate(own, F.lit(0.0), lambda acc, p: acc + F.when(word(s + p["at"]) == p["word"], p["idf"]).otherwise(F.lit(0.0)))
             return F.round(got / sum(weights), 6)
 
         hits = F.transform(F.filter(starts, key), lambda s: F.struct(F.lit(t.label).alias("label"), s.alias("start"), share(s).alias("share")))
@@ -132,8 +174,8 @@ def sql(index: Index | None = None) -> str:
         key = " AND ".join(f"ws[i + {at + j + 1}] = '{w}'" for j, w in enumerate(t.key))
         got = " + ".join(f"CASE WHEN i + {j} >= 0 AND ws[i + {j + 1}] = '{w}' THEN {x}::DOUBLE ELSE 0 END" for j, (w, x) in enumerate(zip(t.words, index.weights(t), strict=True)))
         share = f"round((0.0 + {got}) / {sum(index.weights(t))!r}::DOUBLE, 6)"
-        return (f"list_transform(list_filter(range(-{len(t.words)}, len(ws)), lambda i: i + {at} >= 0 AND {key} AND {share} >= {LEAST}), "
-                f"lambda i: {{'label': '{t.label}', 'start': i, 'share': {share}}})")
+        starts = f"list_filter(range(-{len(t.words)}, len(ws)), lambda i: i + {at} >= 0 AND {key})"
+        return f"list_filter(list_transform({starts}, lambda i: {{'label': '{t.label}', 'start': i, 'share': {share}}}), lambda h: h.share >= {LEAST})"
 
     def cat(base: bool) -> str:
         out = "[]"
