@@ -11,7 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, join_groups
+from ..runtime import Scratch, delete, join_groups
+
+#: Rows that go are broadcast up to this number (about 40 MB).
+FEW_GONE = 1 << 19
 
 
 class DigestIndex:
@@ -19,7 +22,7 @@ class DigestIndex:
     that is there already is opened with the bucket count it was made with."""
 
     def __init__(self, spark: SparkSession, location: str, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
+        self.spark, self.location, self.buckets = spark, location, buckets
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, location).hex}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, n_rows BIGINT) USING parquet "
@@ -37,6 +40,12 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
+    def remove(self) -> None:
+        """Forget the index and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.location)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest) of each row; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -69,20 +78,36 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, scratch.path("index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def first_batch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """exact_dedup against an empty index that is gone afterwards."""
+    index = fresh_index(docs.sparkSession)
+    found = exact_dedup(docs, index, id_col, text_col)
+    index.remove()
+    return found
+
+
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; one of each set of
-    entirely repeated rows."""
-    found = exact_dedup(docs, index or fresh_index(docs.sparkSession), id_col, text_col)
-    stay = found.where("kept").select(F.col("doc_id").alias("__keep_id"), F.col("digest").alias("__keep_digest")).distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(text, 256)))
-    same = (F.col(id_col).eqNullSafe(F.col("__keep_id"))) & (F.col("__digest") == F.col("__keep_digest"))
-    return marked.join(stay, same).dropDuplicates([id_col, "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    entirely repeated rows (by id and text).
+
+    Texts stay where they are while those that go can be broadcast by id and
+    digest (FEW_GONE); only rows that repeat entirely are shuffled."""
+    scratch = Scratch(docs.sparkSession, "copies")
+    found = first_batch(docs, id_col, text_col) if index is None else exact_dedup(docs, index, id_col, text_col)
+    marks = found.groupBy("doc_id", "digest", "kept").agg(F.count(F.lit(1)).alias("n"))
+    marks = marks.where("NOT kept OR n > 1").select(F.col("doc_id").alias("__id_gone"), F.col("digest").alias("__digest_gone"), "kept")
+    marks = scratch.keep(marks, "marks", again=F.col("kept"))
+    few = lambda df: F.broadcast(df) if marks.n_rows <= FEW_GONE else df
+    same = F.col(id_col).eqNullSafe(F.col("__id_gone")) & (F.col("__digest_own") == F.col("__digest_gone"))
+    all_ = docs.withColumn("__digest_own", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    out = all_.join(few(marks), same, "left_anti")
+    if marks.again:
+        out = out.unionByName(all_.join(few(marks.where("kept")), same, "left_semi").dropDuplicates([id_col, "__digest_own"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = exact_dedup(docs, fresh_index(spark))
+    found = first_batch(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
