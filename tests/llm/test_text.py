@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -140,6 +141,36 @@ def test_base_scores(spark, most_words):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3] and abs(r["base_score"] - w[3]) < 1e-6 and r["score"] < 0
 
 
+def brute_score(tokens, ones, twos, total):
+    """log10 probability of a token list by counts of levels: a count c with
+    2**(q - 1) <= c < 2**q is read as the middle of that range."""
+    level = lambda c: (3 * 2.0 ** (c.bit_length() - 1) - 1) / 2 if c else 0.0
+    out, before = 0.0, None
+    for t in tokens:
+        history, pair, alone = level(ones[before]), level(twos[before, t]), (level(ones[t]) + 0.5) / total
+        p = 0.7 * pair / max(history, pair, 1) + 0.3 * alone if history else alone
+        out, before = out + math.log10(min(p, 1)), t
+    return out
+
+
+def test_scores_are_those_of_the_levels(spark):
+    """The filter is large enough here for no false positive among these n-grams."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    learn = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    ones, twos = collections.Counter(), collections.Counter()
+    for text in learn:
+        tokens = [*text.split(), None]
+        ones.update(tokens)
+        twos.update(zip([None, *tokens], tokens, strict=False))
+    total = sum(ones.values()) + 0.5 * (len(ones) + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.scores(df, F.crc32(F.col("doc_id").cast("string")) % 5 != 1).collect()}
+    assert len(got) == 60
+    for i, text in rows:
+        assert abs(got[i] - brute_score([*text.split(), None], ones, twos, total)) < 1e-9
+
+
 @pytest.mark.parametrize("most_words", [lm_score.MOST_WORDS, 0])
 def test_scores_do_not_depend_on_what_is_broadcast_at_once(spark, monkeypatch, most_words):
     rng = random.Random(7)
@@ -177,6 +208,21 @@ def test_licenses_brute_force_and_spacing(spark, odd):
     assert found.count() == odd.count() and found.where("doc_id = 11").first()["base_labels"] == "mit"
 
 
+def test_license_texts_with_changes(spark):
+    """A notice counts while its key phrase stands and half of its weight is in place."""
+    notice = next(t for t in licenses.MORE if t.label == "isc")
+    words = list(notice.words)
+    cut = " ".join(words[notice.key_at - 2 :])
+    changed = " ".join(w if i in range(notice.key_at, notice.key_at + len(notice.key)) or i % 4 else "other" for i, w in enumerate(words))
+    broken = " ".join(w for w in words if w != "fee")
+    df = spark.createDataFrame([(0, "x " + " ".join(words).upper() + " y"), (1, cut), (2, changed), (3, broken), (4, " ".join(notice.key))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert got[0]["labels"] == "isc" and got[0]["score"] == 1.0 and [(f["label"], f["start"]) for f in got[0]["found"]] == [("isc", 1)]
+    assert got[1]["labels"] == got[2]["labels"] == "isc" and 0.5 <= got[2]["score"] < 1
+    assert got[1]["found"][0]["start"] == 2 - notice.key_at
+    assert got[3]["labels"] == "" and got[4]["labels"] == "" and got[4]["score"] == 0
+
+
 def brute_secrets(text):
     out = []
     for kind, rx, group, least in secrets.KINDS:
@@ -207,6 +253,23 @@ def test_owners_tell_examples_from_live(spark):
     assert got[0] == ["assign:0:19"] and got[9] == ["assign:0:19", "live:0:19"]
 
 
+def test_repositories_of_one_owner_are_not_examples(spark):
+    rows = [(i, "token = 'everywhere1'", f"acme/r{i}") for i in range(6)] + [(10 + i, "token = 'copied-text'", f"o{i}/r") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: any(s.startswith("live") for s in r["spans"]) for r in secrets.scan(df).collect()}
+    assert all(got[i] for i in range(6)) and not any(got[10 + i] for i in range(3))
+
+
+def test_a_text_of_very_many_matches(spark):
+    n = 20_000
+    df = spark.createDataFrame([(1, "token = abcdef123 and " * n + "token: short" + " token=x" * 3, "a")], "doc_id long, text string, source string")
+    begun = time.time()
+    row = secrets.scan(df).first()
+    took = time.time() - begun
+    assert row["n_assign"] == n and list(row["base_spans"])[:2] == ["assign:0:17", "assign:22:39"] and row["base_spans"][-1] == f"assign:{22 * (n - 1)}:{22 * (n - 1) + 17}"
+    assert took < 20, took
+
+
 def test_leaks_and_paraphrases(spark, odd):
     rng = random.Random(7)
     vocab = [f"{a}{b}" for a in "bcdfghjkl" for b in ("a", "en", "ist", "or", "um", "y")]
@@ -233,6 +296,66 @@ def test_leaks_and_paraphrases(spark, odd):
     assert left.columns == odd.columns and left.count() == odd.count()
 
 
+def brute_leaks(docs, items, verbatim=0.8, paraphrase=0.6):
+    """(doc, item) by the longest common subsequence of each passage with every
+    stretch of a text that is as long as the passage and half a step to either side."""
+    memo, out = decontaminate.WordCodes(), set()
+    for d, text in docs:
+        codes = decontaminate.word_codes(text, memo)
+        for i, item in items:
+            part = decontaminate.word_codes(item, memo)
+            tail = part[-max(2, len(part) // 4) :]
+            for at in range(max(1, len(codes) - len(part) + 1)):
+                region = codes[max(0, at - 2) : at + len(part) + 2]
+                if len(np.intersect1d(region, part)) < paraphrase * len(set(part.tolist())) * 0.9:
+                    continue
+                share = decontaminate.lcs(part, region) / len(part)
+                if share >= verbatim or (share >= paraphrase and decontaminate.lcs(tail, region) >= 0.8 * len(tail)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_recall_of_paraphrases_and_short_items(spark):
+    """Items of 5 to 58 words, in texts as they are or with a fifth of the words
+    changed or left out."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    words = lambda n: [rng.choice(vocab[:20] if rng.random() < 0.25 else vocab) for _ in range(n)]
+    items = [(i, " ".join(words(n))) for i, n in enumerate([5, 6, 8, 10, 12, 15, 20, 23, 24, 30, 36, 44, 58] * 2)]
+    docs = []
+    for d in range(260):
+        text, (_, item) = words(rng.randint(20, 200)), items[d % len(items)]
+        passage = item.split()
+        if d % 3 == 1:
+            passage = [w if rng.random() > 0.2 else "changed" for w in passage]
+        elif d % 3 == 2:
+            passage = [w for w in passage if rng.random() > 0.2]
+        at = rng.randint(0, len(text))
+        docs.append((d, " ".join(text[:at] + passage + text[at:])))
+    want = brute_leaks(docs, items)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 150 and len(want & got) >= 0.95 * len(want), (len(want), len(want & got))
+    # What is found beyond is found in a stretch that is longer by a step.
+    assert len(got - want) <= 0.05 * len(want)
+
+
+def test_leaks_in_long_texts_and_of_few_words(spark):
+    rng = random.Random(13)
+    words = lambda n: [f"x{rng.randrange(5000)}" for _ in range(n)]
+    item = words(40)
+    at = 2 * decontaminate.PIECE - 17
+    long = words(3 * decontaminate.PIECE)
+    long[at : at + 40] = item
+    docs = [(1, " ".join(long)), (2, "so he said Open, Sesame! and left"), (3, "open the door sesame"), (4, None), (5, "")]
+    items = [(1, " ".join(item)), (2, "open sesame"), (3, "..."), (4, "")]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2)}
+    first = next(r["first_word"] for r in got if r["doc_id"] == 1)
+    assert at - 2 * decontaminate.STEP <= first <= at
+
+
 def test_lcs():
     rng = np.random.default_rng(4)
     for _ in range(50):
