@@ -8,13 +8,15 @@ positive rate. The model interpolates the bigram estimate with an add-one-half
 unigram estimate.
 
 Counting is a scan with partial counts per task and one shuffle. The filter has
-ENTRY_BITS for each entry, whatever their number. Up to MOST_BITS are broadcast
-at once; a larger filter is a written table whose ranges of segments are
-broadcast one after the other, and each pass over the texts looks up the n-grams
-of its range, so that false positives don't grow with the input. Exact unigram counts, which the base
-score needs, are broadcast up to MOST_WORDS words and joined beyond that.
+ENTRY_BITS for each entry, whatever their number, and the base score needs exact
+unigram counts. Up to MOST_BITS and MOST_WORDS are broadcast at once; more are
+written tables whose parts are broadcast one after the other. Each pass over the
+texts then writes the levels and the sums of its part, without texts, so that false
+positives don't grow with the input and the disk doesn't grow faster than it.
 """
+import functools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ ENTRY_BITS, PROBES = 10, 4
 SEGMENT = 1 << 20
 #: Bounds of what is broadcast at once: bits of the filter, words with exact counts.
 MOST_BITS, MOST_WORDS = 1 << 31, 1 << 23
+#: Words of a pass at least, whatever bound is given.
+LEAST_WORDS = 1 << 12
 #: Weight of the bigram estimate.
 BIGRAM = 0.7
 #: Bytes of text that a worker scores at once, and tokens that it counts together.
@@ -257,115 +261,117 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     level = F.length(F.bin("n"))
     told = counts.agg(F.sum(F.when(one, F.col("n"))).alias("n"), F.count(F.when(one, 1)).alias("v"), F.sum(level).alias("entries")).first()
     n, v = told["n"] or 0, told["v"]
-    exact, size = v <= most_words, n_segments(told["entries"] or 0)
+    size = n_segments(told["entries"] or 0)
+    passes = max(-(-size // max(1, MOST_BITS // SEGMENT)), -(-v // max(most_words, LEAST_WORDS)))
     scratch.release()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    asked, several = docs.select("doc_id", "text"), size * SEGMENT > max(MOST_BITS, SEGMENT)
-    if several:
-        asked, segments = _looked_up(scratch, asked, scratch.keep(filter_table(counts, size), "filter"), size), None
-    else:
-        segments = build_filter(counts, told["entries"] or 0).segments
-    shared = spark.sparkContext.broadcast((segments, *(_word_table(counts, v) if exact else (None, None))))
-    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    found = asked.mapInArrow(_scorer(shared, n, v, names), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, text_key binary")
-    if exact:
-        return found.drop("text_key")
-    base = _joined_base(docs, counts, n, v)
-    same = F.col("doc_id").eqNullSafe(F.col("base_id")) & (F.col("text_key") == F.col("base_key"))
-    return found.drop("n_known", "base_score").join(base, same).select(*names)
-
-
-def _looked_up(scratch: Scratch, docs: DataFrame, table: DataFrame, count: int) -> DataFrame:
-    """docs (doc_id, text) with the levels of each token's unigram and bigram, a
-    byte each, from passes of at most MOST_BITS of the filter."""
-    step = max(1, MOST_BITS // SEGMENT)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, one binary, two binary"
-    for first in range(0, count, step):
-        end = min(count, first + step)
-        model = _held(table.where((F.col("segment") >= first) & (F.col("segment") < end)), first, end, count)
-        shared = scratch.spark.sparkContext.broadcast(model.segments)
+    if passes > 1:
+        return _in_passes(scratch, docs.select("doc_id", "text"), counts, size, n, v, passes)
+    shared = spark.sparkContext.broadcast((build_filter(counts, told["entries"] or 0).segments, *_word_table(counts, v)))
+    return docs.select("doc_id", "text").mapInArrow(_scorer(shared, n, v), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _in_passes(scratch: Scratch, docs: DataFrame, counts: DataFrame, size: int, n: int, v: int, passes: int) -> DataFrame:
+    """The rows of scores, where filter or words are too many to broadcast at once.
+
+    Each pass has a range of the filter's segments and a share of the words. It
+    reads docs again and writes, by id and digest of the text, the levels that it
+    found (a byte for a token's unigram and bigram, compressed) and its part of the
+    sums; no text is written or shuffled. Rows that share both keys are scored once."""
+    table, known = scratch.keep(filter_table(counts, size), "filter"), scratch.keep(counts.where("order = 1"), "words")
+    scratch.drop(counts)
+    kind, total = docs.schema["doc_id"].dataType.simpleString(), n + 0.5 * (v + 1)
+    names = ["doc_id", "text_key", "n_tokens", "n_known", "base", "one", "two"]
+    parts = []
+    for k in range(passes):
+        first, end = size * k // passes, size * (k + 1) // passes
+        held = _held(table.where((F.col("segment") >= first) & (F.col("segment") < end)), first, end, size)
+        own_words = known.where(F.pmod("h", F.lit(passes)) == k)
+        shared = scratch.spark.sparkContext.broadcast((held.segments, *_word_table(own_words, own_words.count())))
+        del held
 
         def run(batches: Iterator[pa.RecordBatch], first=first, shared=shared) -> Iterator[pa.RecordBatch]:
-            model = LogFilter(shared.value, first, count)
+            segments, known_words, word_n = shared.value
+            model = LogFilter(segments, first, size)
             for rows, h, starts in _texts(batches):
                 own, back = np.unique(h, return_inverse=True)
-                found = [model.levels(own, 1)[back].astype(np.uint8), model.levels(pairs(h, starts)[1], 2).astype(np.uint8)]
-                if "one" in rows.schema.names:
-                    found = [x | y for x, y in zip(found, _told(rows), strict=True)]
+                c = _counted(own, known_words, word_n)
+                log = np.where(c > 0, np.log10((c + 0.5) / total), 0.0)
                 cuts = [*starts.tolist(), len(h)]
-                parts = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in found]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), *parts], ["doc_id", "text", "one", "two"])
+                found = [model.levels(own, 1)[back].astype(np.uint8), model.levels(pairs(h, starts)[1], 2).astype(np.uint8)]
+                one, two = ([zlib.compress(x[a:b].tobytes(), 1) for a, b in zip(cuts, cuts[1:])] for x in found)
+                keys = [xxhash.xxh3_128_digest(t.as_py() or "") for t in rows.column("text")]
+                sums = [np.add.reduceat((c > 0)[back].astype(np.int64), starts), np.add.reduceat(log[back], starts)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(keys, pa.binary()), pa.array(np.diff(cuts)), *map(pa.array, sums), pa.array(one, pa.binary()), pa.array(two, pa.binary())], names)
 
-        known = scratch.keep(docs.mapInArrow(run, schema), "levels")
+        part = docs.mapInArrow(run, f"doc_id {kind}, text_key binary, n_tokens long, n_known long, base double, one binary, two binary")
+        parts.append(scratch.keep(part, "levels").select("doc_id", "text_key", F.lit(k).alias("pass"), F.struct(*names[2:]).alias("found")))
         shared.unpersist()
-        if first:
-            scratch.drop(docs)
-        docs = known
-    return docs
+        scratch.release()
+    scratch.drop(table, known)
+    # Equal rows of a pass have equal parts, so the largest is any of them.
+    each = functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_key").agg(F.count(F.when(F.col("pass") == 0, 1)).alias("n_rows"), *[F.max(F.when(F.col("pass") == k, F.col("found"))).alias(f"p{k}") for k in range(passes)])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, known, base, out = [], [], [], []
+            for found in zip(*(batch.column(f"p{k}") for k in range(passes)), strict=True):
+                found = [x.as_py() for x in found]
+                one, two = (functools.reduce(np.bitwise_or, [np.frombuffer(zlib.decompress(x[c]), np.uint8) for x in found]) for c in ("one", "two"))
+                tokens.append(len(one))
+                known.append(sum(x["n_known"] for x in found))
+                base.append(sum(x["base"] for x in found) + (tokens[-1] - known[-1]) * math.log10(0.5 / total))
+                single = count_of(one.astype(np.int32))
+                # The last token is the end, which also comes before the first.
+                out.append(float(_log(single, np.roll(single, 1), count_of(two.astype(np.int32)), total).sum()))
+            columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(out), n)), pa.array(base, pa.float64()), pa.array(out, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_rows"), *columns], ["doc_id", "n_rows", *NAMES[1:]])
+
+    scored = each.mapInArrow(score, f"doc_id {kind}, n_rows long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))).select(*NAMES)
+
+
+NAMES = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
 
+def _counted(own: np.ndarray, known_words: np.ndarray, word_n: np.ndarray) -> np.ndarray:
+    """The training counts of words, 0 for those that aren't in the sorted known_words."""
+    if not len(known_words):
+        return np.zeros(len(own))
+    at = np.minimum(np.searchsorted(known_words, own), len(known_words) - 1)
+    return np.where(known_words[at] == own, word_n[at], 0).astype(np.float64)
 
-def _told(rows: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8) for c in ("one", "two")]
 
+def _log(single: np.ndarray, before: np.ndarray, together: np.ndarray, total: float) -> np.ndarray:
+    """log10 of each token's probability, from its count, that of what comes before
+    and that of both. A history that was never seen tells nothing: there the unigram
+    has all the weight."""
+    share = np.where(before > 0, BIGRAM, 0.0)
+    p = share * together / np.maximum(np.maximum(before, together), 1) + (1 - share) * (single + 0.5) / total
+    return np.log10(np.minimum(p, 1))
 
-def _scorer(shared, n: int, v: int, names: list[str]):
+
+def _scorer(shared, n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments, known_words, word_n = shared.value
-        model, total = None if segments is None else LogFilter(segments), n + 0.5 * (v + 1)
+        model, total = LogFilter(segments), n + 0.5 * (v + 1)
         for rows, h, starts in _texts(batches):
             own, back = np.unique(h, return_inverse=True)
-            c = np.zeros(len(own))
-            if known_words is not None and len(known_words):
-                at = np.minimum(np.searchsorted(known_words, own), len(known_words) - 1)
-                c = np.where(known_words[at] == own, word_n[at], 0).astype(np.float64)
+            c = _counted(own, known_words, word_n)
             ends = np.diff(np.append(starts, len(h)))
             base = np.add.reduceat(np.log10((c + 0.5) / total)[back], starts)
             known = np.add.reduceat((c > 0)[back].astype(np.int64), starts)
-            if model is None:
-                one, two = _told(rows)
-                single = np.zeros(len(own))
-                single[back] = count_of(one.astype(np.int32))
-                together = count_of(two.astype(np.int32))
-            else:
-                single = count_of(model.levels(own, 1))
-                together = count_of(model.levels(pairs(h, starts)[1], 2))
-            alone = (single + 0.5) / total
+            single = count_of(model.levels(own, 1))
             # What comes before: the token before, or at a start the end of another text.
             before = np.empty(len(h))
             before[1:] = single[back][:-1]
             before[starts] = single[np.searchsorted(own, np.uint64(END))]
-            # A history that was never seen tells nothing: there the unigram has all the weight.
-            share = np.where(before > 0, BIGRAM, 0.0)
-            p = share * together / np.maximum(np.maximum(before, together), 1) + (1 - share) * alone[back]
-            score = np.add.reduceat(np.log10(np.minimum(p, 1)), starts)
-            keys = [xxhash.xxh3_128_digest(t.as_py() or "") for t in rows.column("text")] if known_words is None else [None] * rows.num_rows
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ends), pa.array(known), pa.array(np.full(rows.num_rows, n)), pa.array(base), pa.array(score), pa.array(keys, pa.binary())], [*names, "text_key"])
+            score = np.add.reduceat(_log(single[back], before, count_of(model.levels(pairs(h, starts)[1], 2)), total), starts)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ends), pa.array(known), pa.array(np.full(rows.num_rows, n)), pa.array(base), pa.array(score)], NAMES)
 
     return run
 
 
-def _joined_base(docs: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
-    """n_known and base_score where the words are too many to broadcast: the
-    distinct words of each text are joined with their counts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, h, starts in _texts(batches):
-            texts = rows.column("text")
-            cuts = [*starts.tolist(), len(h)]
-            for i in range(rows.num_rows):
-                own, tf = np.unique(h[cuts[i] : cuts[i + 1]], return_counts=True)
-                m = len(own)
-                key = xxhash.xxh3_128_digest(texts[i].as_py() or "")
-                yield pa.RecordBatch.from_arrays([pa.array([rows.column("doc_id")[i].as_py()] * m, rows.column("doc_id").type), pa.array([key] * m, pa.binary()), pa.array(own.view(np.int64)), pa.array(tf)], ["base_id", "base_key", "h", "tf"])
-
-    each = docs.select("doc_id", "text").mapInArrow(run, f"base_id {kind}, base_key binary, h long, tf long").groupBy("base_id", "base_key", "h").agg(F.first("tf").alias("tf"))
-    c = F.coalesce("n", F.lit(0))
-    log = F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    joined = each.join(counts.where("order = 1").select("h", "n"), "h", "left")
-    return joined.groupBy("base_id", "base_key").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * log).alias("base_score"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 1

@@ -186,6 +186,25 @@ def test_scores_do_not_depend_on_what_is_broadcast_at_once(spark, monkeypatch, m
         assert abs(r["score"] - want[k]["score"]) < 1e-9 and abs(r["base_score"] - want[k]["base_score"]) < 1e-9
 
 
+def test_passes_write_no_texts_and_score_every_row(spark, monkeypatch):
+    """Several passes over the filter and the words; rows that repeat and null ids."""
+    rows = [(i % 50 or None, " ".join(f"w{(i * j) % 700}" for j in range(i % 60))) for i in range(300)]
+    rows += [*rows[:20], (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = F.col("doc_id") % 5 != 1
+    told = lambda most: sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm_score.scores(df, learn, most_words=most).collect())
+    want, keep, wrote = told(lm_score.MOST_WORDS), lm_score.Scratch.keep, []
+
+    def seen(self, part, name, **counts):
+        wrote.append((name, part.columns))
+        return keep(self, part, name, **counts)
+
+    monkeypatch.setattr(lm_score.Scratch, "keep", seen)
+    monkeypatch.setattr(lm_score, "LEAST_WORDS", 256, raising=False)
+    assert told(0) == want and len(want) == 322
+    assert sum(name == "levels" for name, _ in wrote) > 1 and not any("text" in columns for _, columns in wrote)
+
+
 def test_log_filter_reads_counts_back(spark):
     rng = np.random.default_rng(3)
     h, n = rng.integers(0, 2**63, 3000, dtype=np.uint64), 2 ** rng.integers(0, 12, 3000)
