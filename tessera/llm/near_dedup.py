@@ -12,8 +12,9 @@ document meets the hub (smallest id) that it shares the most buckets with; then,
 LEVELS times, a document outside of the largest component of some of its buckets
 meets the MEET hubs of such components that it shares the most buckets with. This
 merges most groups with few pairs, but decides nothing: documents of buckets that
-still hold several components are settled by an exact prefix join on their full
-sets, so no link inside a bucket is lost. Star pairs pass a length filter and, for
+still hold several components are settled in blocks by their full sets, so no link
+inside a bucket is lost; a block tells only the links that join components, so that
+what is written grows with the documents and not with their pairs. Star pairs pass a length filter and, for
 sets larger than the sketch, an estimate from 8-bit bins that is five standard
 deviations below the threshold; all pairs are confirmed on the full sets.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, join_groups
-from . import arrays, words
+from . import words
 from .components import components
 from .words import mix
 
@@ -40,8 +41,8 @@ MASKS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 FEW_IDS = 1 << 20
 #: Pairs are broadcast, with their sketches, up to this number (16 MB).
 FEW_PAIRS = 1 << 16
-#: Slots that shingles of open documents are counted in, to order them by rarity.
-SLOTS, SLOT_BLOCK = 1 << 21, 1 << 16
+#: Documents and shingles (8 MB) of a block of those that are compared in one job.
+BLOCK, BLOCK_SHINGLES = 1 << 10, 1 << 20
 #: Bytes of text whose words are hashed at once.
 TEXT_BYTES = 1 << 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -225,11 +226,9 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         scratch.release()
     if known is not None:
         # What is left in open buckets is settled on the full sets.
-        pairs = _open_pairs(scratch, members, sets, known, percent)
-        if pairs is not None and pairs.n_rows:
-            found = scratch.keep(_confirmed(pairs, sets, percent), "links")
-            if found.n_rows:
-                known = components(scratch, links.unionByName(found))
+        found = _open_links(scratch, members, nodes, sets, known, percent)
+        if found is not None and found.n_rows:
+            known = components(scratch, links.unionByName(found))
         scratch.release()
 
     top = (members.select(F.col("doc_id"), F.col("hub").alias("label")).limit(0) if known is None else known.toDF("doc_id", "label"))
@@ -265,54 +264,82 @@ def _opened(scratch: Scratch, members: DataFrame, known: DataFrame, mask: int) -
     return scratch.keep(opened.select("bucket", "n_rows", F.col("main.label").alias("main"), F.col("main.hub").alias("hub")), "open")
 
 
-def _open_pairs(scratch: Scratch, members: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs (a, b) of documents in open buckets and different components that
-    can reach the threshold.
+def _open_links(scratch: Scratch, members: DataFrame, nodes: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) that join the components of open buckets: fewer for a job than
+    it has documents, however many pairs of them match.
 
-    Shingles are ordered by rarity. A pair that reaches the threshold has its
-    rarest common shingle within the first n - ceil(p n) + 1 of the larger set
-    and the first m - ceil(2 p m / (1 + p)) + 1 of the smaller one. Of two
-    components in a bucket one isn't its largest, so one side is ``out``."""
+    Documents that share open buckets, directly or over others, are a family. Of a
+    family, those of one class of lengths meet those of the same and of the next
+    class, all that can reach the threshold. More than BLOCK documents, or
+    BLOCK_SHINGLES shingles, are cut into blocks, and each two blocks are a job."""
     opened = _opened(scratch, members, known, 0)
     if not opened.n_rows:
         return None
-    own = join_groups(_labelled(members, known), opened, "bucket", "n_rows").groupBy("doc_id", "label").agg(F.max(F.col("label") != F.col("main")).alias("out"))
-    own = scratch.keep(own, "own")
-    sets = sets.join(_few(own), "doc_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for x in batch.column("set"):
-                np.add.at(out, np.frombuffer(x.as_py(), np.uint64) % np.uint64(SLOTS), 1)
-        yield arrays.blocks_of(np.minimum(out, 65535).astype(np.uint16), SLOT_BLOCK)
-
-    counts = arrays.total(sets.select("set").mapInArrow(count, arrays.SCHEMA), SLOTS, SLOT_BLOCK)
-    shared = scratch.spark.sparkContext.broadcast(counts.astype(np.int32))
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = []
-            for doc, label, out, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "out")), batch.column("set"), strict=True):
-                s = np.frombuffer(x.as_py(), np.uint64)
-                n, often = len(s), shared.value[s % np.uint64(SLOTS)]
-                by = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
-                # A shingle of one document only can't be shared.
-                at = np.flatnonzero(often[by] > 1)
-                m = len(at)
-                held.append((s[by[at]].view(np.int64), np.full(m, doc, np.int64), np.full(m, label, np.int64), np.full(m, out), np.full(m, n, np.int32), at.astype(np.int32), at < n - -(-2 * percent * n // (100 + percent)) + 1))
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["sh", "doc_id", "label", "out", "n", "at", "first"])
-
-    posts = scratch.keep(sets.mapInArrow(prefix, "sh long, doc_id long, label long, out boolean, n int, at int, first boolean"), "prefixes")
-    x, y = posts.alias("x"), posts.where("first").alias("y")
-    near = F.expr(
-        f"(y.n < x.n OR y.n = x.n AND y.doc_id < x.doc_id) AND x.label <> y.label AND 100 * y.n >= {percent} * x.n"
-        f" AND {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)"
-    )
-    same = F.expr("x.sh = y.sh")
-    both = [p.join(q, same & near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")) for p, q in ((x.where("x.out"), y), (x.where("NOT x.out"), y.where("y.out")))]
-    return scratch.keep(both[0].unionByName(both[1]).distinct(), "pairs")
+    own = scratch.keep(join_groups(_labelled(members, known), opened, "bucket", "n_rows"), "own")
+    least = own.groupBy("bucket").agg(F.min("doc_id").alias("least"))
+    family = components(scratch, own.join(least, "bucket").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct())
+    # Of sizes n <= m at the threshold, m is in the class of n or in the next one.
+    step = F.floor(F.log(F.col("n_shingles")) / float(np.log(100 / percent) + 1e-6)).cast("int")
+    docs = family.select(F.col("node").alias("doc_id"), F.col("label").alias("family")).join(own.select("doc_id", "label").distinct(), "doc_id").join(nodes.select("doc_id", "n_shingles"), "doc_id")
+    each = docs.withColumn("step", step).withColumn("class", F.explode(F.array(F.col("step"), F.col("step") - 1))).withColumn("guest", F.col("class") != F.col("step"))
+    each = scratch.keep(each.select("doc_id", "label", "n_shingles", "family", "class", "guest"), "families")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    # Where all have one label, or all are guests, nothing is open.
+    groups = each.groupBy("family", "class").agg(blocks, F.min("guest").alias("guests"), (F.min("label") == F.max("label")).alias("one")).where("NOT guests AND NOT one").select("family", "class", "blocks")
+    dealt = each.join(groups, ["family", "class"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = scratch.keep(dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "dealt")
+    if not dealt.n_rows:
+        return None
+    jobs = dealt.join(sets, "doc_id").select("family", "class", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "doc_id", "label", "guest", "set")
+
+    def run(table: pa.Table) -> pa.Table:
+        return _job_links(table, percent)
+
+    return scratch.keep(jobs.groupBy("family", "class", "one", "two").applyInArrow(run, "a long, b long"), "links")
+
+
+def _job_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) that join the components of a job's documents, each confirmed on
+    the full sets.
+
+    Shingles are ordered by rarity in the job. A pair that reaches the threshold has
+    its rarest common shingle within the first n - ceil(p n) + 1 of the larger set
+    and the first m - ceil(2 p m / (1 + p)) + 1 of the smaller one."""
+    ids, labels, block, guest = (table.column(c).to_numpy() for c in ("doc_id", "label", "block", "guest"))
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+    apart = table.column("one")[0].as_py() != table.column("two")[0].as_py()
+    n = np.array([len(x) for x in sets], np.int64)
+    start = np.cumsum(n) - n
+    _, sh, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(sets)), n)
+    by = np.lexsort((sh, times[sh], doc))
+    sh, at = sh[by], np.arange(len(doc)) - start[doc]
+    # A shingle of one document only can't be shared.
+    keep = (at < (n - -(-percent * n // 100) + 1)[doc]) & (times[sh] > 1)
+    sh, doc, at = sh[keep], doc[keep], at[keep]
+    by = np.lexsort((doc, n[doc], sh))
+    sh, doc, at = sh[by], doc[by], at[by]
+    first, rest, size = at < (n - -(-2 * percent * n // (100 + percent)) + 1)[doc], n[doc] - at, n[doc]
+    _, root = np.unique(labels, return_inverse=True)
+    links: list[tuple[int, int]] = []
+    # A list is sorted by size, so what is too long for a document stays so further on.
+    x, step = np.arange(max(0, len(sh) - 1)), 1
+    while len(x):
+        y = x + step
+        ok = (sh[y] == sh[x]) & (percent * size[y] <= 100 * size[x])
+        x, y = x[ok], y[ok]
+        a, b = doc[x], doc[y]
+        near = (first[x] | (size[x] == size[y]) & first[y]) & ((100 + percent) * np.minimum(rest[x], rest[y]) >= percent * (size[x] + size[y]))
+        near &= (root[a] != root[b]) & ~(guest[a] & guest[b]) & ((block[a] != block[b]) | (not apart))
+        for i, j in np.unique(np.sort(np.stack([a[near], b[near]], axis=1), axis=1), axis=0).tolist():
+            if root[i] != root[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    links.append((int(ids[i]), int(ids[j])))
+                    root[root == root[j]] = root[i]
+        step += 1
+        x = x[x + step < len(sh)]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

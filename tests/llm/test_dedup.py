@@ -149,6 +149,44 @@ def test_links_between_middle_ids_of_a_family_are_found(spark, n, pairs):
     assert got == want
 
 
+def test_a_crowd_is_settled_without_writing_its_pairs(spark, monkeypatch):
+    """Texts of one template with changes that several share: most pairs come near the
+    threshold and few reach it."""
+    rng, n, wrote = random.Random(12), 400, []
+    texts = []
+    for _ in range(n):
+        copy = [f"b{i}" for i in range(200)]
+        for j in rng.sample(range(1, 200, 3), 8):
+            copy[j] = f"c{j}_{rng.randrange(2)}"
+        texts.append(" ".join(copy))
+    sets = [shingle_set(t, 2) for t in texts]
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(n), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    keep = Scratch.keep
+
+    def counted(self, *given, **counts):
+        out = keep(self, *given, **counts)
+        wrote.append(out.n_rows)
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK", 64, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(df, 2).collect()}
+    assert got == {i: root(i) for i in range(n)} and 1 < len(set(got.values())) < n
+    # No table has more rows than a document has buckets, for each document.
+    assert max(wrote) <= near_dedup.BANDS * n
+
+
 def test_small_sets_and_repeated_ids(spark):
     """Sets of four and five shingles at similarity 0.8; a doc_id with two texts."""
     rows = [(i, f"a{i // 2} b{i // 2} c{i // 2} d{i // 2} e{i // 2}" + (f" f{i // 2}" if i % 2 else "")) for i in range(200)]
