@@ -18,6 +18,7 @@ word that stands in one line only can't be shared and is left out.
 
 Every filter is necessary for a match, so no match is lost.
 """
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ SLOTS, SLOT_BLOCK = 1 << 24, 1 << 16
 #: Lines of a list whose pairs are written, of one that a task may get whole (2 MB),
 #: and of a block of a longer one than the first.
 LONG, WHOLE, BLOCK = 256, 1 << 16, 2048
+#: Rounds that lists are met in.
+ROUNDS = 4
 #: Lines of a block that are compared at once.
 TILE = 512
 #: Lines whose places are broadcast to fetch their texts (about 24 MB).
@@ -217,9 +220,15 @@ def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
         long = scratch.keep(frequent.groupBy("sig").agg(F.count(F.lit(1)).alias("n_list")).where(F.col("n_list") > LONG), "long")
         whole = whole.unionByName(frequent.join(_few(long.select("sig"), long.n_rows), "sig", "left_anti").select("sig", "h", "bits", "size_at"))
         rows = join_groups(frequent, long, "sig", "n_list").select("sig", "h", "bits", "size_at", "n_list")
-    met = scratch.keep(_met(whole, percent, LONG), "met", long=F.col("sig").isNotNull())
+    # Each round deals a share of the keys, so that only that share is on disk at once.
+    rounds = []
+    for k in range(ROUNDS):
+        some = whole.where(F.pmod(F.xxhash64("sig"), F.lit(ROUNDS)) == k)
+        rounds.append(scratch.keep(_met(some, percent, LONG), "met", long=F.col("sig").isNotNull()))
+        scratch.release()
+    met = functools.reduce(DataFrame.unionByName, rounds)
     pairs = scratch.keep(met.where("sig IS NULL").select("a", "b").distinct(), "pairs")
-    if met.long:
+    if any(r.long for r in rounds):
         own = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("h"), "bits", "size_at", "n_list")
         rows = own if rows is None else rows.unionByName(own)
     # The keys have been used; the lines go on without them.
@@ -238,10 +247,11 @@ def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     need = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
     need = need if rows is None else need.union(rows.select("h"))
     sets = scratch.keep(_sets(scratch, docs, classes, need.distinct()), "sets")
+    scratch.release()
     found = _confirmed(pairs, sets, percent)
     found = found if rows is None else found.unionByName(_jobs(scratch, rows, sets, percent))
     found = scratch.keep(found, "found")
-    scratch.drop(sets, frequent, met)
+    scratch.drop(sets, frequent, *rounds)
     found = found.groupBy("set_key").agg(F.sum("n_other").alias("n_other"), F.min("other").alias("other"))
     scratch.release()
 

@@ -273,6 +273,22 @@ def test_lines_match_brute_force(spark, monkeypatch, long, whole, block, tile):
         cloudpickle.unregister_pickle_by_value(line_dedup)
 
 
+def test_lists_of_lines_are_met_in_rounds(spark, monkeypatch):
+    """Each round deals a part of the keys, and all rounds together find every link."""
+    rng, met, keep = random.Random(10), [], Scratch.keep
+
+    def seen(self, part, name, **counts):
+        out = keep(self, part, name, **counts)
+        met.extend([out.n_rows] * (name == "met"))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    texts = [t for _, t in corpus(40, seed=5)]
+    docs = [(i, "\n".join(rng.sample(texts, 4))) for i in range(20)]
+    assert lines_found(spark.createDataFrame(docs, "doc_id long, text string")) == brute_lines(docs)
+    assert len(met) > 1 and max(met) < sum(met)
+
+
 @pytest.mark.parametrize("shared", [None, 1])
 def test_near_copies_of_lines_under_one_id_go(spark, shared):
     """Six texts that share a doc_id, and six later near copies of them."""
