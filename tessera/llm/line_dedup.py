@@ -9,13 +9,17 @@ word that stands in one line only can't be shared and is left out.
 
 * Lists of at most LONG lines are met inside the partitions that they are dealt to,
   and pairs leave them that pass the length and positional filters and a bound of
-  the symmetric difference by 64-bit parity maps. Words that may stand in more than
+  the symmetric difference by 128-bit parity maps. Words that may stand in more than
   WHOLE lines are counted before, so that no list of that size is dealt to a task.
 * Longer lists are cut into blocks of about BLOCK lines. Each two blocks are one
   job, which verifies on the full sets and gives sums for each line, so that the
   pairs of a large group are counted but never written. A pair that shares several
   of these lists is counted in the first.
 
+* A pair that leaves a list is confirmed on the full sets in the part of the smallest
+  partner of its second line, so that the sets of a group travel once, not with each pair.
+  A group of more than GROUP pairs is dealt to several parts, so that none is large.
+
 Every filter is necessary for a match, so no match is lost.
 """
 import functools
@@ -23,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, join_groups
@@ -35,17 +40,27 @@ SLOTS, SLOT_BLOCK = 1 << 24, 1 << 16
 #: and of a block of a longer one than the first.
 LONG, WHOLE, BLOCK = 256, 1 << 16, 2048
 #: Rounds that lists are met in.
-ROUNDS = 4
+ROUNDS = 2
+#: Keys that a task holds before it deals them out (8 MB).
+DEALT = 1 << 18
 #: Lines of a block that are compared at once.
 TILE = 512
 #: Lines whose places are broadcast to fetch their texts (about 24 MB).
 FEW_LINES = 1 << 19
 #: Ids and pairs are broadcast up to this number (16 MB).
 FEW_IDS = 1 << 20
-#: Bytes of text whose words are hashed at once.
-TEXT_BYTES = 1 << 22
+#: Bytes of text whose words are hashed at once: their arrays, of 8 bytes for each, stay
+#: below the size from which the workers' allocator maps each array anew.
+TEXT_BYTES = 1 << 17
+#: Pairs of a group that are confirmed in one place.
+GROUP = 1 << 11
+#: Lines whose words are packed at once and pairs that are confirmed at once, at most 2**16,
+#: and bytes of these pairs' sets.
+PACKED, PAIR_BYTES = 1 << 14, 1 << 20
 #: Columns of a matrix of lines and words.
 COLUMNS = 1 << 13
+#: A line's parity map: of each of 128 values of a word's hash, whether its words are odd in number.
+BITS = ("bits", "more_bits")
 _LOW = 55
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +103,7 @@ class Lines:
         n = len(sizes)
         self.n_words = np.zeros(n, np.int32)
         self.key = np.zeros((n, 2), np.uint64)
-        self.bits = np.zeros(n, np.int64)
+        self.bits = np.zeros((2, n), np.int64)
         self.grids: list[tuple[np.ndarray, np.ndarray]] = []
         starts = np.cumsum(sizes) - sizes
         width = np.where(sizes > 0, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
@@ -109,7 +124,9 @@ class Lines:
             self.key[lines, 0] = np.where(own, h, np.uint64(0)).sum(axis=1, dtype=np.uint64)
             self.key[lines, 1] = np.where(own, mix(h ^ _ODD), np.uint64(0)).sum(axis=1, dtype=np.uint64)
             one = np.where(own, np.uint64(1) << (h >> np.uint64(58)), np.uint64(0))
-            self.bits[lines] = np.bitwise_xor.reduce(one, axis=1).view(np.int64)
+            half = (h >> np.uint64(57)) & np.uint64(1)
+            for k in range(2):
+                self.bits[k, lines] = np.bitwise_xor.reduce(np.where(half == k, one, np.uint64(0)), axis=1).view(np.int64)
             self.grids.append((lines, grid))
 
     def keys(self, wanted: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,9 +175,10 @@ def spread(texts: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _lines(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
     """A row per line. h is a class's number, half of its set's digest; classes
     that share one are told apart when pairs are verified. Keys are given once per
-    task for a set that repeats."""
+    task for a set that repeats: in sigs, 8 bytes each, first the ``short`` ones in
+    lists up to WHOLE, then the ``often`` others."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    names = ["doc_id", "text_key", "line_no", "n_words", "set_key", "h", "bits", "once", "short", "sigs"]
+    names = ["doc_id", "text_key", "line_no", "n_words", "set_key", "h", *BITS, "once", "short", "often", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -178,13 +196,26 @@ def _lines(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
                         seen.add(k)
                 sig, count, once, short = got.keys(wanted, percent)
                 key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(got.key.tobytes())]).cast(pa.binary())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sig))
+                sigs = _binary(sig.tobytes(), 8 * count)
                 own = pa.array(line + at)
                 spot = np.arange(len(line)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
-                columns = [batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(spot.astype(np.int32)), pa.array(n), key, pa.array(got.key[:, 0].view(np.int64)), pa.array(got.bits), pa.array(once), pa.array(short), lists]
+                columns = [batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(spot.astype(np.int32)), pa.array(n), key, pa.array(got.key[:, 0].view(np.int64)), *map(pa.array, got.bits), pa.array(once), pa.array(short), pa.array(count - short), sigs]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, line_no int, n_words int, set_key binary, h long, bits long, once int, short int, sigs array<long>")
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, line_no int, n_words int, set_key binary, h long, bits long, more_bits long, once int, short int, often int, sigs binary")
+
+
+def _binary(data: bytes, sizes: np.ndarray) -> pa.BinaryArray:
+    """An array of values of these sizes, one after the other in data."""
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _bytes(values: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, size of each) of values that are not null."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], np.diff(at)
 
 
 def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,32 +240,32 @@ def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     lines = scratch.keep(_lines(docs, line_counts(docs), percent), "lines")
-    place = F.struct("doc_id", "line_no")
     classes = lines.where("n_words > 0").groupBy("set_key", "h").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("first"), F.count(F.lit(1)).alias("n_rows"))
     classes = scratch.keep(classes.select("set_key", "h", "n_rows", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), F.col("first.text_key").alias("text_key")), "classes")
     scratch.release()
 
-    frequent = scratch.keep(_postings(lines, False).groupBy("sig", "h").agg(F.first("bits").alias("bits"), F.first("size_at").alias("size_at")), "frequent")
-    whole, rows = _postings(lines, True), None
+    frequent = scratch.keep(_postings(lines).groupBy("sig", "h").agg(*[F.first(c).alias(c) for c in (*BITS, "size_at")]), "frequent")
+    more, rows = None, None
     if frequent.n_rows:
         long = scratch.keep(frequent.groupBy("sig").agg(F.count(F.lit(1)).alias("n_list")).where(F.col("n_list") > LONG), "long")
-        whole = whole.unionByName(frequent.join(_few(long.select("sig"), long.n_rows), "sig", "left_anti").select("sig", "h", "bits", "size_at"))
-        rows = join_groups(frequent, long, "sig", "n_list").select("sig", "h", "bits", "size_at", "n_list")
+        more = frequent.join(_few(long.select("sig"), long.n_rows), "sig", "left_anti").select(*POSTING)
+        rows = join_groups(frequent, long, "sig", "n_list").select(*POSTING, "n_list")
     # Each round deals a share of the keys, so that only that share is on disk at once.
     rounds = []
     for k in range(ROUNDS):
-        some = whole.where(F.pmod(F.xxhash64("sig"), F.lit(ROUNDS)) == k)
+        some = _dealt(lines.where("short > 0").select(*POSTED), k)
+        some = some if more is None else some.unionByName(_dealt(more, k))
         rounds.append(scratch.keep(_met(some, percent, LONG), "met", long=F.col("sig").isNotNull()))
         scratch.release()
     met = functools.reduce(DataFrame.unionByName, rounds)
-    pairs = scratch.keep(met.where("sig IS NULL").select("a", "b").distinct(), "pairs")
+    # first, b's smallest partner, is the same in most of a group.
+    pairs = met.where("sig IS NULL").select("a", "b").repartition("b").distinct()
+    pairs = scratch.keep(pairs.withColumn("first", F.min("a").over(Window.partitionBy("b"))), "pairs")
     if any(r.long for r in rounds):
-        own = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("h"), "bits", "size_at", "n_list")
+        own = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("h"), *BITS, "size_at", "n_list")
         rows = own if rows is None else rows.unionByName(own)
-    # The keys have been used; the lines go on without them.
-    places = scratch.keep(lines.select("doc_id", "line_no", "n_words", "set_key"), "places")
-    scratch.drop(lines)
     scratch.release()
+    places = lines.select("doc_id", "line_no", "n_words", "set_key")
     rows = None if rows is None else scratch.keep(rows, "long-rows")
     if rows is not None:
         own = scratch.keep(rows.groupBy("h").agg(F.sort_array(F.collect_set("sig")).alias("longs")), "hot")
@@ -242,66 +273,131 @@ def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
         # These pairs are counted where their long lists are met.
         a, b = _few(own).toDF("a", "la"), _few(own).toDF("b", "lb")
         apart = ~F.coalesce(F.arrays_overlap("la", "lb"), F.lit(False))
-        pairs = scratch.keep(pairs.join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b"), "pairs")
+        pairs = scratch.keep(pairs.join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b", "first"), "pairs")
 
     need = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
     need = need if rows is None else need.union(rows.select("h"))
-    sets = scratch.keep(_sets(scratch, docs, classes, need.distinct()), "sets")
+    need = scratch.keep(need.distinct(), "need")
+    scratch.drop(frequent, *rounds)
     scratch.release()
-    found = _confirmed(pairs, sets, percent)
-    found = found if rows is None else found.unionByName(_jobs(scratch, rows, sets, percent))
-    found = scratch.keep(found, "found")
-    scratch.drop(sets, frequent, *rounds)
-    found = found.groupBy("set_key").agg(F.sum("n_other").alias("n_other"), F.min("other").alias("other"))
+    sets = _sets(scratch, docs, classes, need)
+    scratch.release()
+    parts = [scratch.keep(_confirmed(scratch, pairs, sets, percent), "confirmed")]
+    scratch.release()
+    if rows is not None:
+        parts.append(scratch.keep(_jobs(scratch, rows, sets, percent), "jobs"))
+    scratch.drop(sets)
+    scratch.release()
+    found = functools.reduce(DataFrame.unionByName, parts)
+    found = scratch.keep(found.groupBy("set_key").agg(F.sum("n_other").alias("n_other"), F.min("other").alias("other")), "found")
     scratch.release()
 
     first = F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))
-    told = classes.join(found, "set_key", "left").select("set_key", "n_rows", first.alias("first"), F.least(first, "other").alias("earliest"), (F.col("n_rows") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"))
+    told = classes.join(_few(found), "set_key", "left").select("set_key", "n_rows", first.alias("first"), F.least(first, "other").alias("earliest"), (F.col("n_rows") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"))
     there = join_groups(places.where("n_words > 0"), scratch.keep(told, "told"), "set_key", "n_rows")
-    there = there.select("doc_id", "line_no", "n_words", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), F.col("n_rows").alias("class_size"), "n_links", place.eqNullSafe(F.col("earliest")).alias("kept"))
+    there = there.select("doc_id", "line_no", "n_words", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), F.col("n_rows").alias("class_size"), "n_links", F.struct("doc_id", "line_no").eqNullSafe(F.col("earliest")).alias("kept"))
     null = lambda kind: F.lit(None).cast(kind)
     none = places.where("n_words = 0").select("doc_id", "line_no", "n_words", null("long").alias("class_doc"), null("int").alias("class_line"), null("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return there.unionByName(none)
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _few(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     """A table of known size, to be broadcast if it is small."""
     return F.broadcast(df) if (df.n_rows if n_rows is None else n_rows) <= FEW_IDS else df
 
 
-def _postings(lines: DataFrame, short: bool) -> DataFrame:
-    """(sig, h, bits, size_at) of keys in lists of surely at most WHOLE lines, or the rest."""
-    mine = lines.where(F.col("short") > 0 if short else F.size("sigs") > F.col("short"))
-    some = F.slice("sigs", F.lit(1), F.col("short")) if short else F.slice("sigs", F.col("short") + 1, F.size("sigs") - F.col("short"))
-    each = mine.select("h", "bits", "n_words", (F.col("once") + (F.lit(0) if short else F.col("short"))).alias("from"), F.posexplode(some).alias("at", "sig"))
-    return each.select("sig", "h", "bits", (F.col("n_words").cast("long") * (1 << 31) + F.col("from") + F.col("at")).alias("size_at"))
+POSTED = ("h", *BITS, "n_words", "once", "short", "often", "sigs")
+POSTING = ("sig", "h", *BITS, "size_at")
+
+
+def _posted(batch: pa.RecordBatch, often: bool) -> list[np.ndarray]:
+    """The columns POSTING of keys in lists of surely at most WHOLE lines, or the rest."""
+    h, bits, more, n_words, once, short, rest = (batch.column(c).to_numpy() for c in POSTED[:-1])
+    data, sizes = _bytes(batch.column("sigs"))
+    count, skip = (rest, short) if often else (short, np.zeros_like(short))
+    own = np.repeat(np.arange(len(h)), count)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count) + skip[own]
+    sig = data.view(np.int64)[(np.cumsum(sizes) - sizes)[own] // 8 + at]
+    return [sig, h[own], bits[own], more[own], (n_words[own].astype(np.int64) << 31) + once[own] + at]
+
+
+def _postings(lines: DataFrame) -> DataFrame:
+    """The keys in lists that may have more than WHOLE lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _posted(batch, True)], POSTING)
+
+    return lines.where("often > 0").select(*POSTED).mapInArrow(run, ", ".join(f"{c} long" for c in POSTING))
+
+
+def _dealt(keys: DataFrame, k: int) -> DataFrame:
+    """(part, rows): the keys of round k of lines, or of postings, by the partition
+    that their list is met in. A task packs many into one row: bytes of like places
+    stand together, which compresses them."""
+    n, rounds, whole = _partitions(keys.sparkSession), np.uint64(ROUNDS), "sigs" not in keys.columns
+
+    def packs(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        sig, *more = (np.concatenate(c) for c in zip(*held, strict=True))
+        part = (mix(sig.view(np.uint64)) % np.uint64(n)).astype(np.int32)
+        by = np.lexsort((sig, part))
+        rows, part = np.stack([sig[by], *(x[by] for x in more)]), part[by]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = np.append(first[1:], len(part))
+        data = [rows[:, i:j].copy().view(np.uint8).reshape(len(rows), j - i, 8).transpose(0, 2, 1).tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(data, pa.binary())], ["part", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in POSTING] if whole else _posted(batch, False)
+            # Rounds go by other bits of a key's hash than partitions.
+            mine = (mix(cols[0].view(np.uint64)) >> np.uint64(32)) % rounds == k
+            held.append([c[mine] for c in cols])
+            size += len(held[-1][0])
+            if size >= DEALT:
+                yield packs(held)
+                held, size = [], 0
+        if size:
+            yield packs(held)
+
+    return keys.mapInArrow(run, "part int, rows binary")
 
 
 def _met(postings: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs (a, b) of class numbers under the same key that pass the filters; of
-    lists of more than ``most`` lines, the rows (sig, a, bits, size_at, n_list). No
+    """Pairs (a, b) of class numbers under the same key of dealt postings that pass the filters; of
+    lists of more than ``most`` lines, the rows (sig, a, bits, more_bits, size_at, n_list). No
     list is longer than WHOLE, so a partition's rows are as many as in any shuffle."""
-    names = ["a", "b", "sig", "bits", "size_at", "n_list"]
+    names = ["a", "b", "sig", *BITS, "size_at", "n_list"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(c).to_numpy() for c in ("sig", "h", "bits", "size_at")] for b in batches if b.num_rows]
+        held = []
+        for batch in batches:
+            for rows in batch.column("rows"):
+                rows = np.frombuffer(rows.as_buffer(), np.uint8).reshape(len(POSTING), 8, -1)
+                held.append(np.ascontiguousarray(rows.transpose(0, 2, 1)).view(np.int64)[:, :, 0])
         if not held:
             return
-        sig, h, bits, size_at = (np.concatenate(c) for c in zip(*held, strict=True))
+        sig, h, bits, more, size_at = (np.concatenate(c) for c in zip(*held, strict=True))
         del held
         by = np.lexsort((h, size_at, sig))
-        sig, h, bits, size_at = sig[by], h[by], bits[by].view(np.uint64), size_at[by]
+        sig, h, size_at = sig[by], h[by], size_at[by]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])
-        sig, h, bits, size_at = sig[new], h[new], bits[new], size_at[new]
+        by = by[new]
+        sig, h, bits, more, size_at = sig[new], h[new], bits[by].view(np.uint64), more[by].view(np.uint64), size_at[new]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         n_list = np.diff(np.append(first, len(sig)))
         n_list = np.repeat(n_list, n_list)
         long = n_list > most
         if long.any():
             none = pa.nulls(int(long.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h[long]), none, *(pa.array(x[long]) for x in (sig, bits.view(np.int64), size_at, n_list))], names)
-            sig, h, bits, size_at = (x[~long] for x in (sig, h, bits, size_at))
+            yield pa.RecordBatch.from_arrays([pa.array(h[long]), none, *(pa.array(x[long]) for x in (sig, bits.view(np.int64), more.view(np.int64), size_at, n_list))], names)
+            sig, h, bits, more, size_at = (x[~long] for x in (sig, h, bits, more, size_at))
         size = size_at >> 31
         rest = size - (size_at & ((1 << 31) - 1))
         # A list is sorted by size, so what is too long for a line stays so further on.
@@ -315,7 +411,8 @@ def _met(postings: DataFrame, percent: int, most: int) -> DataFrame:
             both = size[at] + size[to]
             near = (100 + percent) * np.minimum(rest[at], rest[to]) >= percent * both
             # (100 + p) * overlap >= p * both, so the symmetric difference is at most both (100 - p) / (100 + p).
-            near &= (100 + percent) * np.bitwise_count(bits[at] ^ bits[to]).astype(np.int64) <= (100 - percent) * both
+            apart = np.bitwise_count(bits[at] ^ bits[to]).astype(np.int64) + np.bitwise_count(more[at] ^ more[to])
+            near &= (100 + percent) * apart <= (100 - percent) * both
             x, y = h[at[near]], h[to[near]]
             out.append((np.minimum(x, y), np.maximum(x, y)))
             n += len(x)
@@ -323,45 +420,62 @@ def _met(postings: DataFrame, percent: int, most: int) -> DataFrame:
             at = at[at + step < len(sig)]
             if n > 1 << 18 or not len(at):
                 a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 4], names)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * (len(names) - 2)], names)
                 out, n = [], 0
 
-    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return postings.repartition(n, "sig").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return postings.repartitionById(_partitions(postings.sparkSession), "part").select("rows").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _sets(scratch: Scratch, docs: DataFrame, classes: DataFrame, need: DataFrame) -> DataFrame:
     """(h, set_key, n_rows, d, l, words): the packed word hashes of the classes
     needed, out of the text that has the first line of each."""
-    wanted = scratch.keep(classes.join(need, "h"), "wanted")
+    wanted = scratch.keep(classes.join(_few(need), "h"), "wanted")
     asked = F.collect_list(F.struct("l", "h", "set_key", "n_rows", "d")).alias("asked")
     by_text = wanted.groupBy(F.col("d").alias("id"), F.col("text_key").alias("key")).agg(asked)
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
     # The texts stay where they are if the places are few; else both are shuffled.
     texts = docs.join(F.broadcast(by_text) if wanted.n_rows <= FEW_LINES else by_text, same).select("text", "asked")
-    names = ["h", "set_key", "n_rows", "d", "l", "words"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["h", "set_key", "n_rows", "d", "l"]
+
+    def packs(asked: pa.StructArray, own: list[int], lines: list[bytes]) -> pa.RecordBatch:
+        asked = asked.take(pa.array(own, pa.int64()))
+        return pa.RecordBatch.from_arrays([*(asked.field(c) for c in names), packed(pa.array(lines, pa.binary()))], [*names, "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, asked in zip(batch.column("text"), batch.column("asked"), strict=True):
-                asked = asked.as_py()
-                lines = lines_of(text.as_py())
-                own = [w for w in asked if w["l"] < len(lines)]
-                h, n = words.counted(pa.array([lines[w["l"]] for w in own], pa.binary()).cast(pa.string()))
-                ends = np.cumsum(n)
-                for w, end, k in zip(own, ends.tolist(), n.tolist(), strict=True):
-                    rows.append((w["h"], w["set_key"], w["n_rows"], w["d"], w["l"], packed(h[end - k : end])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
-
-    # Repeated rows have the same text under the same id.
-    return texts.mapInArrow(run, "h long, set_key binary, n_rows long, d long, l int, words binary").dropDuplicates(["set_key"])
-
-
-def packed(h: np.ndarray) -> bytes:
-    """The upper 48 bits of hashes: two given words share them with probability 4e-15."""
-    return np.unique(h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            asked = batch.column("asked")
+            places, n = asked.flatten(), asked.value_lengths().to_pylist()
+            line_no = places.field("l").to_pylist()
+            own, found, size, at = [], [], 0, 0
+            for text, k in zip(batch.column("text"), n, strict=True):
+                lines = (text.as_py() or "").encode().split(b"\n")
+                for i in range(at, at + k):
+                    if line_no[i] < len(lines):
+                        own.append(i)
+                        found.append(lines[line_no[i]])
+                        size += len(found[-1])
+                    if size >= TEXT_BYTES or len(found) >= PACKED:
+                        yield packs(places, own, found)
+                        own, found, size = [], [], 0
+                at += k
+            if found:
+                yield packs(places, own, found)
+
+    sets = scratch.keep(texts.mapInArrow(run, "h long, set_key binary, n_rows long, d long, l int, words binary"), "sets")
+    if sets.n_rows == wanted.n_rows:
+        return sets
+    # Rows repeat, with the same text under the same id.
+    return scratch.keep(sets.dropDuplicates(["set_key"]), "sets")
+
+
+def packed(lines: pa.BinaryArray) -> pa.BinaryArray:
+    """Of each line the upper 48 bits of its words' hashes, in order: two given words
+    share them with probability 4e-15."""
+    h, n = words.counted(lines.cast(pa.string()))
+    own = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(48), n)
+    h = np.unique(own | (h >> np.uint64(16)))
+    sizes = np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=len(n))
+    return _binary(h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), 6 * sizes)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -373,43 +487,88 @@ def unpacked(data: bytes) -> np.ndarray:
 FOUND = "set_key binary, n_other long, other struct<doc_id: bigint, line_no: int>"
 
 
-def _told(keys: list, n: list, docs: list, lines: list) -> pa.RecordBatch:
-    other = pa.StructArray.from_arrays([pa.array(docs, pa.int64()), pa.array(lines, pa.int32())], ["doc_id", "line_no"])
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), other], ["set_key", "n_other", "other"])
+def _told(keys: pa.Array, n: pa.Array, docs: pa.Array, lines: pa.Array) -> pa.RecordBatch:
+    other = pa.StructArray.from_arrays([docs, lines], ["doc_id", "line_no"])
+    return pa.RecordBatch.from_arrays([keys, n, other], ["set_key", "n_other", "other"])
+
+
+def overlaps(left: pa.BinaryArray, right: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each left set, of each right one, words that both have) of at most 2**16 pairs of packed sets."""
+    flat, sizes = [], []
+    for sets in (left, right):
+        data, n = _bytes(sets)
+        wide = np.zeros((len(data) // 6, 8), np.uint8)
+        wide[:, :6] = data.reshape(-1, 6)
+        sizes.append(n // 6)
+        flat.append(wide.view(np.uint64)[:, 0] | np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(48), sizes[-1]))
+    both = np.concatenate(flat)
+    both.sort()
+    pair = both[1:][both[1:] == both[:-1]] >> np.uint64(48)
+    return *sizes, np.bincount(pair.astype(np.int64), minlength=len(left))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For each of the pairs (a, b) that matches on the full sets, two rows: what
-    either class gains by the other."""
+def _confirmed(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each of the pairs (a, b, first) that matches on the full sets, two rows: what
+    either class gains by the other. Pairs of one ``first`` go to one part, or to more
+    by their b if they are over GROUP. A set goes once to each part that asks for it,
+    and a partition's sets and pairs are held, which are as many as in any shuffle."""
+    names = ["set_key", "n_rows", "d", "l"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("words_a"), batch.column("words_b"), strict=True):
-                x, y = unpacked(x.as_py()), unpacked(y.as_py())
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            batch = batch.filter(pa.array(ok, pa.bool_()))
-            for x, y in (("a", "b"), ("b", "a")):
-                yield _told(batch.column(f"set_key_{x}").to_pylist(), *(batch.column(f"{c}_{y}").to_pylist() for c in ("n_rows", "d", "l")))
-
-    cols = ["set_key", "n_rows", "d", "l", "words"]
-    side = lambda x: sets.select(F.col("h").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    ids = pairs.select("b").distinct()
-    left, right = side("a").join(_few(pairs), "a"), side("b").join(F.broadcast(ids) if pairs.n_rows <= FEW_IDS else ids, "b", "left_semi")
-    both = left.join(right, "b").where("set_key_a <> set_key_b")
-    return both.select(*[f"{c}_{x}" for x in "ab" for c in cols]).mapInArrow(run, FOUND)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        del held
+        lone = table.column("b").is_null()
+        own = table.filter(lone).drop_columns(["b"]).sort_by("a").combine_chunks()
+        asked = table.filter(pc.invert(lone)).select(["a", "b"])
+        del table
+        h, a, b = own.column("a").to_numpy(), asked.column("a").to_numpy(), asked.column("b").to_numpy()
+        # Classes may share a number, so a pair of numbers may stand for several pairs.
+        pair, i = _each(np.searchsorted(h, a), np.searchsorted(h, a, "right"))
+        again, j = _each(np.searchsorted(h, b[pair]), np.searchsorted(h, b[pair], "right"))
+        i = i[again]
+        size = pc.binary_length(own.column("words")).to_numpy().astype(np.int64)
+        ends = np.cumsum(size[i] + size[j])
+        at = 0
+        while at < len(i):
+            to = max(at + 1, min(at + PACKED, int(np.searchsorted(ends, ends[at] + PAIR_BYTES))))
+            x, y = pa.array(i[at:to]), pa.array(j[at:to])
+            n, m, same = overlaps(*(own.column("words").take(k).combine_chunks() for k in (x, y)))
+            ok = pa.array(100 * same >= percent * (n + m - same))
+            x, y = x.filter(ok), y.filter(ok)
+            for mine, other in ((x, y), (y, x)):
+                yield _told(*(own.column(c).take(k).combine_chunks() for c, k in zip(names, (mine, other, other, other), strict=True)))
+            at = to
+
+    n = _partitions(pairs.sparkSession)
+    large = scratch.keep(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n_pairs")).where(F.col("n_pairs") > GROUP), "large-groups")
+    split = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n_pairs", F.lit(1)) / GROUP))
+    pairs = pairs.join(_few(large), "first", "left").select("a", "b", F.pmod(F.xxhash64("first", split), F.lit(n)).cast("int").alias("part"))
+    asks = pairs.select(F.col("a").alias("h"), "part").union(pairs.select("b", "part")).distinct()
+    asks = scratch.keep(asks, "asks")
+    there = sets.join(_few(asks), "h").select("part", F.col("h").alias("a"), *names, "words")
+    both = there.unionByName(pairs, allowMissingColumns=True)
+    return both.repartitionById(n, "part").select("a", "b", *names, "words").mapInArrow(run, FOUND)
+
+
+def _each(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of each place of the ranges."""
+    n = end - first
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) - (np.cumsum(n) - n)[own] + first[own]
 
 
 def _jobs(scratch: Scratch, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The same for long lists: rows (sig, h, bits, size_at, n_list, longs). A list
+    """The same for long lists: rows (sig, h, bits, more_bits, size_at, n_list, longs). A list
     has blocks of about BLOCK lines, and each two blocks, or one with itself, are a
     group of bounded size."""
     blocks = F.ceil(F.col("n_list") / BLOCK).cast("int")
     own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("h", "sig"), F.col("blocks")).cast("int"))
-    own = own.select("sig", "h", "bits", "longs", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    own = own.select("sig", "h", *BITS, "longs", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     hot = scratch.keep(rows.select("h").distinct(), "hot-sets")
-    own = own.join(sets.join(_few(hot), "h", "left_semi"), "h").select("sig", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "bits", "longs", "set_key", "n_rows", "d", "l", "words")
+    own = own.join(sets.join(_few(hot), "h", "left_semi"), "h").select("sig", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", *BITS, "longs", "set_key", "n_rows", "d", "l", "words")
 
     def run(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_job(table, percent)])
@@ -425,7 +584,7 @@ def _job(table: pa.Table, percent: int) -> pa.RecordBatch:
         table = pa.concat_tables([table.filter(ids.is_null()), table.filter(ids.is_valid())])
     table = table.combine_chunks()
     sig, one, two = (table.column(c)[0].as_py() for c in ("sig", "one", "two"))
-    block, bits, n_rows = (table.column(c).to_numpy() for c in ("block", "bits", "n_rows"))
+    block, bits, more, n_rows = (table.column(c).to_numpy() for c in ("block", *BITS, "n_rows"))
     sets = [unpacked(x.as_py()) for x in table.column("words")]
     size = np.array([len(x) for x in sets], np.int64)
     # A pair is counted in the first of the long lists that both stand in.
@@ -438,7 +597,8 @@ def _job(table: pa.Table, percent: int) -> pa.RecordBatch:
             j = cols[to : to + TILE]
             both = size[i][:, None] + size[j]
             ok = 100 * np.minimum(size[i][:, None], size[j]) >= percent * np.maximum(size[i][:, None], size[j])
-            ok &= (100 + percent) * np.bitwise_count((bits[i][:, None] ^ bits[j]).view(np.uint64)).astype(np.int64) <= (100 - percent) * both
+            apart = sum(np.bitwise_count((x[i][:, None] ^ x[j]).view(np.uint64)).astype(np.int64) for x in (bits, more))
+            ok &= (100 + percent) * apart <= (100 - percent) * both
             if one == two:
                 ok &= i[:, None] < j
             ok &= _common([earlier[k] for k in i], [earlier[k] for k in j], ok) == 0
@@ -452,7 +612,8 @@ def _job(table: pa.Table, percent: int) -> pa.RecordBatch:
                 first[mine[some]] = np.minimum(first[mine[some]], other[hit[some].argmax(axis=1)])
     some = np.flatnonzero(gained).tolist()
     keys, docs, lines = (table.column(c).to_pylist() for c in ("set_key", "d", "l"))
-    return _told([keys[i] for i in some], gained[some].tolist(), [docs[first[i]] for i in some], [lines[first[i]] for i in some])
+    n, docs, lines = pa.array(gained[some]), [docs[first[i]] for i in some], [lines[first[i]] for i in some]
+    return _told(pa.array([keys[i] for i in some], pa.binary()), n, pa.array(docs, pa.int64()), pa.array(lines, pa.int32()))
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray], ok: np.ndarray) -> np.ndarray:

@@ -2,13 +2,14 @@
 import collections
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tessera.llm import components, exact_dedup, line_dedup, near_dedup
-from tessera.runtime import Scratch
+from tessera.runtime import Scratch, release
 
 
 def words_of(text):
@@ -289,6 +290,82 @@ def test_lists_of_lines_are_met_in_rounds(spark, monkeypatch):
     assert len(met) > 1 and max(met) < sum(met)
 
 
+@pytest.mark.parametrize("group, least, most", [(line_dedup.GROUP, 40, 40), (100, 41, 8 * 40)])
+def test_the_sets_of_a_group_travel_once(spark, monkeypatch, group, least, most):
+    """Forty near copies are 780 pairs; each set is asked for once in the part of its
+    group, or in some of the eight that a large group is dealt to."""
+    tables, keep = {}, Scratch.keep
+
+    def seen(self, part, name, **counts):
+        tables[name] = out = keep(self, part, name, **counts)
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    monkeypatch.setattr(line_dedup, "GROUP", group)
+    family = [f"w{j}" for j in range(40)]
+    docs = [(i, " ".join([*family, f"own{i}"])) for i in range(40)] + [(100 + i, f"alone{i} " + " ".join(family[:3])) for i in range(5)]
+    assert lines_found(spark.createDataFrame(docs, "doc_id long, text string")) == brute_lines(docs)
+    assert tables["pairs"].n_rows == 780 and least <= tables["asks"].n_rows <= most
+
+
+def test_repeated_rows_do_not_repeat_sets(spark):
+    docs = [(i, f"a b c d e f g h i j{i}\nx{i} y z") for i in range(6)] * 2 + [(9, None)]
+    assert lines_found(spark.createDataFrame(docs, "doc_id long, text string")) == brute_lines(docs)
+
+
+def test_parity_maps_tell_unrelated_lines_apart():
+    """Maps never differ in more places than sets do; those of unrelated lines of 95
+    words differ in more than a match of them may."""
+    rng = random.Random(12)
+    lines = [{f"w{rng.randrange(50_000)}" for _ in range(95)} for _ in range(60)]
+    lines += [(s - set(rng.sample(sorted(s), 6))) | {f"n{i}"} for i, s in enumerate(lines[:20])]
+    flat, sizes, _ = line_dedup.spread(pa.array([" ".join(sorted(s)) for s in lines]), np.full(1 << 10, 200, np.uint8))
+    bits = line_dedup.Lines(flat, sizes).bits.view(np.uint64)
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            apart = int(np.bitwise_count(bits[:, i] ^ bits[:, j]).sum())
+            assert apart <= len(x ^ y)
+            assert (180 * apart <= 20 * (len(x) + len(y))) == (5 * len(x & y) >= 4 * len(x | y))
+
+
+def test_overlaps_of_packed_lines():
+    rng = random.Random(13)
+    lines = [" ".join(rng.choice("abcdefghijk") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    left, right = (line_dedup.packed(pa.array(x, pa.string()).cast(pa.binary())) for x in (lines[:200], lines[200:]))
+    for got, x, y in zip(zip(*line_dedup.overlaps(left[50:], right[50:]), strict=True), lines[50:200], lines[250:], strict=True):
+        assert got == (len(set(x.split())), len(set(y.split())), len(set(x.split()) & set(y.split())))
+    own, place = line_dedup._each(np.array([3, 5, 7]), np.array([4, 5, 9]))
+    assert own.tolist() == [0, 2, 2] and place.tolist() == [3, 7, 8]
+
+
+def test_release_drops_plans_at_once(spark):
+    """References that Python has given up don't wait for the gateway's thread."""
+    for _ in range(5):
+        time.sleep(0.3)
+        df = spark.range(5)
+        reference = df._jdf._target_id
+        del df
+        release(spark)
+        queue = spark.sparkContext._gateway._gateway_client.finalizer_deque
+        assert reference not in [x[1] for x in list(queue)]
+
+
+def test_release_frees_the_last_step(spark):
+    """Its shuffle files go without a further query."""
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    scratch = Scratch(spark, "release")
+    release(spark)
+    time.sleep(2)
+    before = files()
+    scratch.keep(spark.range(1000).repartition(4, "id"), "a")
+    assert files() > before
+    release(spark)
+    end = time.time() + 5
+    while files() > before and time.time() < end:
+        time.sleep(0.1)
+    assert files() <= before
+
+
 @pytest.mark.parametrize("shared", [None, 1])
 def test_near_copies_of_lines_under_one_id_go(spark, shared):
     """Six texts that share a doc_id, and six later near copies of them."""
