@@ -7,14 +7,18 @@ sets are one class. Two classes with Jaccard similarity of at least 0.8 share a
 word within the first size - ceil(0.8 size) + 1 of both, which are a line's keys; a
 word that stands in one line only can't be shared and is left out.
 
-* Lists of at most LONG lines are met inside the partitions that they are dealt to,
+* Lists of at most WHOLE lines are met inside the partitions that they are dealt to,
   and pairs leave them that pass the length and positional filters and a bound of
-  the symmetric difference by 128-bit parity maps. Words that may stand in more than
-  WHOLE lines are counted before, so that no list of that size is dealt to a task.
-* Longer lists are cut into blocks of about BLOCK lines. Each two blocks are one
+  the symmetric difference by 128-bit parity maps. At the first word that two lines
+  share, all words before it differ, so the shorter one must have it early, and only such
+  lines are compared with longer ones. Words that may stand in more than
+  WHOLE lines are counted before, so that no list over that size is dealt to a task.
+* Lists over WHOLE, and those over LONG that give more pairs than CROWD for each of their
+  lines, are cut into blocks of about BLOCK lines. Each two blocks are one
   job, which verifies on the full sets and gives sums for each line, so that the
   pairs of a large group are counted but never written. A pair that shares several
-  of these lists is counted in the first.
+  of these lists is counted in the first. A list that is long because its word is
+  frequent gives few pairs, and its lines don't carry their sets to jobs.
 
 * A pair that leaves a list is confirmed on the full sets in the part of the smallest
   partner of its second line, so that the sets of a group travel once, not with each pair.
@@ -36,9 +40,13 @@ from . import arrays, words
 from .words import mix
 
 SLOTS, SLOT_BLOCK = 1 << 24, 1 << 16
-#: Lines of a list whose pairs are written, of one that a task may get whole (2 MB),
-#: and of a block of a longer one than the first.
+#: Lines of a list whose pairs are written, however many, of one that a task may get whole
+#: (2 MB), and of a block of a list that is met by jobs.
 LONG, WHOLE, BLOCK = 256, 1 << 16, 2048
+#: Pairs for each line that a list of more than LONG lines may give.
+CROWD = 32
+#: Pairs of lines that are compared at once: their arrays stay in the cache.
+COMPARED = 1 << 15
 #: Rounds that lists are met in.
 ROUNDS = 2
 #: Keys that a task holds before it deals them out (8 MB).
@@ -233,8 +241,8 @@ def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     table gives no rows.
 
     The links of a group of m lines that all differ and all match are m (m - 1) / 2
-    comparisons, whatever the method; no row is written for them beyond lists of
-    LONG lines."""
+    comparisons, whatever the method; beyond lists of LONG lines at most CROWD rows
+    are written for each line of a list."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -247,7 +255,7 @@ def line_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     frequent = scratch.keep(_postings(lines).groupBy("sig", "h").agg(*[F.first(c).alias(c) for c in (*BITS, "size_at")]), "frequent")
     more, rows = None, None
     if frequent.n_rows:
-        long = scratch.keep(frequent.groupBy("sig").agg(F.count(F.lit(1)).alias("n_list")).where(F.col("n_list") > LONG), "long")
+        long = scratch.keep(frequent.groupBy("sig").agg(F.count(F.lit(1)).alias("n_list")).where(F.col("n_list") > WHOLE), "long")
         more = frequent.join(_few(long.select("sig"), long.n_rows), "sig", "left_anti").select(*POSTING)
         rows = join_groups(frequent, long, "sig", "n_list").select(*POSTING, "n_list")
     # Each round deals a share of the keys, so that only that share is on disk at once.
@@ -314,14 +322,18 @@ POSTED = ("h", *BITS, "n_words", "once", "short", "often", "sigs")
 POSTING = ("sig", "h", *BITS, "size_at")
 
 
-def _posted(batch: pa.RecordBatch, often: bool) -> list[np.ndarray]:
-    """The columns POSTING of keys in lists of surely at most WHOLE lines, or the rest."""
+def _posted(batch: pa.RecordBatch, often: bool, k: int | None = None) -> list[np.ndarray]:
+    """The columns POSTING of keys in lists of surely at most WHOLE lines, or the rest; all or
+    those of round k."""
     h, bits, more, n_words, once, short, rest = (batch.column(c).to_numpy() for c in POSTED[:-1])
     data, sizes = _bytes(batch.column("sigs"))
     count, skip = (rest, short) if often else (short, np.zeros_like(short))
     own = np.repeat(np.arange(len(h)), count)
     at = np.arange(len(own)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count) + skip[own]
     sig = data.view(np.int64)[(np.cumsum(sizes) - sizes)[own] // 8 + at]
+    if k is not None:
+        mine = _of_round(sig, k)
+        sig, own, at = sig[mine], own[mine], at[mine]
     return [sig, h[own], bits[own], more[own], (n_words[own].astype(np.int64) << 31) + once[own] + at]
 
 
@@ -335,11 +347,16 @@ def _postings(lines: DataFrame) -> DataFrame:
     return lines.where("often > 0").select(*POSTED).mapInArrow(run, ", ".join(f"{c} long" for c in POSTING))
 
 
+def _of_round(sig: np.ndarray, k: int) -> np.ndarray:
+    """The places of round k. Rounds go by other bits of a key's hash than partitions."""
+    return np.flatnonzero((mix(sig.view(np.uint64)) >> np.uint64(32)) % np.uint64(ROUNDS) == k)
+
+
 def _dealt(keys: DataFrame, k: int) -> DataFrame:
     """(part, rows): the keys of round k of lines, or of postings, by the partition
     that their list is met in. A task packs many into one row: bytes of like places
     stand together, which compresses them."""
-    n, rounds, whole = _partitions(keys.sparkSession), np.uint64(ROUNDS), "sigs" not in keys.columns
+    n, whole = _partitions(keys.sparkSession), "sigs" not in keys.columns
 
     def packs(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         sig, *more = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -354,10 +371,12 @@ def _dealt(keys: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in POSTING] if whole else _posted(batch, False)
-            # Rounds go by other bits of a key's hash than partitions.
-            mine = (mix(cols[0].view(np.uint64)) >> np.uint64(32)) % rounds == k
-            held.append([c[mine] for c in cols])
+            if whole:
+                cols = [batch.column(c).to_numpy() for c in POSTING]
+                mine = _of_round(cols[0], k)
+                held.append([c[mine] for c in cols])
+            else:
+                held.append(_posted(batch, False, k))
             size += len(held[-1][0])
             if size >= DEALT:
                 yield packs(held)
@@ -370,8 +389,9 @@ def _dealt(keys: DataFrame, k: int) -> DataFrame:
 
 def _met(postings: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (a, b) of class numbers under the same key of dealt postings that pass the filters; of
-    lists of more than ``most`` lines, the rows (sig, a, bits, more_bits, size_at, n_list). No
-    list is longer than WHOLE, so a partition's rows are as many as in any shuffle."""
+    lists of more than ``most`` lines that give over CROWD pairs a line, the rows (sig, a, bits,
+    more_bits, size_at, n_list). No list is longer than WHOLE, so a partition's rows are as many
+    as in any shuffle, and the pairs held of one list are bounded."""
     names = ["a", "b", "sig", *BITS, "size_at", "n_list"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,36 +412,60 @@ def _met(postings: DataFrame, percent: int, most: int) -> DataFrame:
         sig, h, bits, more, size_at = sig[new], h[new], bits[by].view(np.uint64), more[by].view(np.uint64), size_at[new]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         n_list = np.diff(np.append(first, len(sig)))
-        n_list = np.repeat(n_list, n_list)
-        long = n_list > most
-        if long.any():
-            none = pa.nulls(int(long.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h[long]), none, *(pa.array(x[long]) for x in (sig, bits.view(np.int64), more.view(np.int64), size_at, n_list))], names)
-            sig, h, bits, more, size_at = (x[~long] for x in (sig, h, bits, more, size_at))
-        size = size_at >> 31
-        rest = size - (size_at & ((1 << 31) - 1))
-        # A list is sorted by size, so what is too long for a line stays so further on.
-        at = np.arange(max(0, len(sig) - 1))
-        at = at[sig[1:] == sig[:-1]]
-        step, out, n = 1, [], 0
-        while len(at):
-            to = at + step
-            ok = (sig[to] == sig[at]) & (percent * size[to] <= 100 * size[at])
-            at, to = at[ok], to[ok]
-            both = size[at] + size[to]
-            near = (100 + percent) * np.minimum(rest[at], rest[to]) >= percent * both
-            # (100 + p) * overlap >= p * both, so the symmetric difference is at most both (100 - p) / (100 + p).
-            apart = np.bitwise_count(bits[at] ^ bits[to]).astype(np.int64) + np.bitwise_count(more[at] ^ more[to])
-            near &= (100 + percent) * apart <= (100 - percent) * both
-            x, y = h[at[near]], h[to[near]]
-            out.append((np.minimum(x, y), np.maximum(x, y)))
-            n += len(x)
-            step += 1
-            at = at[at + step < len(sig)]
-            if n > 1 << 18 or not len(at):
-                a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * (len(names) - 2)], names)
+        size, at = size_at >> 31, size_at & ((1 << 31) - 1)
+        # At the first word that both have, the overlap is at most the rest of a line from there, and
+        # (100 + p) * overlap >= p * both: a line can't match one of more words than its reach.
+        reach = np.minimum((100 * size - (100 + percent) * at) // percent, (1 << 31) - 1)
+        early = np.flatnonzero(reach >= size)
+        # A list is sorted by size, so the lines within a line's reach are a range.
+        number = np.repeat(np.arange(len(first), dtype=np.int64) << 31, n_list)
+        low, high = early + 1, np.searchsorted(number + size, (number + reach)[early], "right")
+        ends = np.cumsum(high - low)
+
+        def near(start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Places of the pairs of these early lines with later ones that pass, in pieces."""
+            while start < end:
+                to = min(end, max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COMPARED, "right"))))
+                own, y = _each(low[start:to], high[start:to])
+                x = early[start:to][own]
+                ok = np.flatnonzero(reach[y] >= size[x])
+                x, y = x[ok], y[ok]
+                # The symmetric difference is at most both (100 - p) / (100 + p).
+                apart = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(more[x] ^ more[y])
+                ok = (100 + percent) * apart <= (100 - percent) * (size[x] + size[y])
+                yield x[ok], y[ok]
+                start = to
+
+        def told(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            x, y = (h[np.concatenate(c)] for c in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *[pa.nulls(len(x), pa.int64())] * (len(names) - 2)], names)
+
+        # Runs of lists of at most ``most`` lines, and each longer list.
+        long = np.flatnonzero(n_list > most)
+        cuts = np.unique(np.concatenate([[0], first[long], first[long] + n_list[long], [len(sig)]]))
+        places, crowds = np.searchsorted(early, cuts), set(first[long].tolist())
+        out, n = [], 0
+        for i, (begin, end) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            own, n_own = [], 0
+            for x, y in near(int(places[i]), int(places[i + 1])):
+                own.append((x, y))
+                n_own += len(x)
+                if begin in crowds and n_own > CROWD * (end - begin):
+                    whole = slice(begin, end)
+                    none, n_lines = pa.nulls(end - begin, pa.int64()), pa.array(np.full(end - begin, end - begin))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[whole]), none, *(pa.array(c[whole]) for c in (sig, bits.view(np.int64), more.view(np.int64), size_at)), n_lines], names)
+                    own = []
+                    break
+                if begin not in crowds and n_own > 1 << 18:
+                    yield told(own)
+                    own, n_own = [], 0
+            out += own
+            n += sum(len(x) for x, _ in own)
+            if n > 1 << 18:
+                yield told(out)
                 out, n = [], 0
+        if n:
+            yield told(out)
 
     return postings.repartitionById(_partitions(postings.sparkSession), "part").select("rows").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 

@@ -397,3 +397,23 @@ def test_line_oddities(odd, spark):
     clean = line_dedup.drop_lines(df)
     assert clean.columns == df.columns
     assert {r["doc_id"]: r["text"] for r in clean.collect()} == {1: "keep me\nand this line", 2: "new", 3: None}
+
+
+def test_lists_of_a_frequent_word_go_to_no_jobs(spark, monkeypatch):
+    """A word of more than LONG lines that differ otherwise gives few pairs, which are written;
+    the sets of its lines aren't dealt to jobs, as those of a group of near copies are."""
+    tables, keep = {}, Scratch.keep
+
+    def seen(self, part, name, **counts):
+        tables[name] = out = keep(self, part, name, **counts)
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    rng = random.Random(15)
+    docs = [(i, " ".join([f"rare{i % 2}", *rng.sample([f"w{j}" for j in range(14)], 9)])) for i in range(700)]
+    assert lines_found(spark.createDataFrame(docs, "doc_id long, text string")) == brute_lines(docs)
+    assert tables["pairs"].n_rows and "jobs" not in tables
+    family = [f"f{j}" for j in range(40)]
+    docs += [(2000 + i, " ".join([*family, f"own{i}"])) for i in range(line_dedup.LONG + 20)]
+    assert lines_found(spark.createDataFrame(docs, "doc_id long, text string")) == brute_lines(docs)
+    assert tables["jobs"].n_rows and tables["long-rows"].n_rows % (line_dedup.LONG + 20) == 0
